@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from visarium.llm.chunks import tokenizer_path
 from visarium.llm.decontaminate import contamination
 from visarium.llm.exact_dedup import exact_groups
+from visarium.llm.language import languages
 from visarium.llm.packing import packed
+from visarium.llm.piece_counts import token_counts
+from visarium.llm.revisits import crawl_of, resolve_revisits
 from visarium.llm.sharding import shard_table
 from visarium.llm.simhash import near_duplicates
+from visarium.llm.toxicity import toxicity
 from visarium.llm.wavelet import token_table
 
 
@@ -35,21 +40,46 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(_table(spark, sf_dir, "documents"))
 
 
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(crawl_of(_table(spark, sf_dir, "pages")))
+    entries = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("record_id", "url_key", "outcome", "response_id", F.array_join(F.array_sort(entries), "; ").alias("headers"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_exact_dedup": op1_exact_dedup,
-    "op2_simhash": op2_simhash,
-    "op3_token_files": op3_token_files,
-    "op4_packing": op4_packing,
-    "op7_sharding": op7_sharding,
-    "op9_decontamination": op9_decontamination,
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_simhash,
+        op3_token_files,
+        op4_packing,
+        op5_language,
+        op6_token_counts,
+        op7_sharding,
+        op8_revisits,
+        op9_decontamination,
+        op10_toxicity,
+    )
 }
 
 ORACLES: dict[str, str] = {
@@ -57,4 +87,27 @@ ORACLES: dict[str, str] = {
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op8_revisits": r"""
+        WITH p AS (
+            SELECT page_id, url, '"' || substr(md5(html), 1, 16) || '"' AS tag, CAST(octet_length(encode(html)) AS VARCHAR) AS size,
+                regexp_replace(trim(url), '#.*$', '') AS bare FROM pages),
+        q AS (
+            SELECT *, regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', '') AS host,
+                regexp_replace(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') AS rest FROM p),
+        r AS (
+            SELECT *, array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+                lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&') AS params FROM q),
+        k AS (
+            SELECT *, host || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '')
+                || CASE WHEN params <> '' THEN '?' || params ELSE '' END AS url_key FROM r),
+        j AS (
+            SELECT v.page_id AS v, v.url_key, f.page_id AS f, f.tag AS f_tag, f.size,
+                CASE WHEN v.page_id % 4 = 3 THEN '"changed"' ELSE 'W/' || v.tag END AS v_tag,
+                row_number() OVER (PARTITION BY v.page_id ORDER BY f.page_id DESC) AS n
+            FROM k v JOIN k f ON v.url_key = f.url_key AND f.page_id < v.page_id + 43200)
+        SELECT v * 2 + 1 AS record_id, url_key, CASE WHEN replace(v_tag, 'W/', '') = f_tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
+            CASE WHEN replace(v_tag, 'W/', '') = f_tag THEN f * 2 END AS response_id,
+            CASE WHEN replace(v_tag, 'W/', '') = f_tag
+                THEN 'content-length=' || size || '; content-type=text/html; date=' || (v + 43200) || '; etag=' || v_tag END AS headers
+        FROM j WHERE n = 1""",
 }
