@@ -55,7 +55,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resolve_revisits(crawl_of(_table(spark, sf_dir, "pages")))
     entries = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return found.select("record_id", "url_key", "outcome", "response_id", F.array_join(F.array_sort(entries), "; ").alias("headers"))
+    return found.select("record_id", "url_key", "outcome", F.coalesce("response_id", F.lit(-1)).alias("response_id"), F.array_join(F.array_sort(entries), "; ").alias("headers"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ ORACLES: dict[str, str] = {
                 row_number() OVER (PARTITION BY v.page_id ORDER BY f.page_id DESC) AS n
             FROM k v JOIN k f ON v.url_key = f.url_key AND f.page_id < v.page_id + 43200)
         SELECT v * 2 + 1 AS record_id, url_key, CASE WHEN replace(v_tag, 'W/', '') = f_tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
-            CASE WHEN replace(v_tag, 'W/', '') = f_tag THEN f * 2 END AS response_id,
+            CASE WHEN replace(v_tag, 'W/', '') = f_tag THEN f * 2 ELSE -1 END AS response_id,
             CASE WHEN replace(v_tag, 'W/', '') = f_tag
                 THEN 'content-length=' || size || '; content-type=text/html; date=' || (v + 43200) || '; etag=' || v_tag END AS headers
         FROM j WHERE n = 1""",

@@ -216,16 +216,34 @@ def links_of(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return copies.repartition(parts, "anchor").sortWithinPartitions("anchor", "visit").mapInArrow(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
-    fps = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    spread = distinct.select("fp").repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
+def _classes(fps: DataFrame, threshold: int) -> DataFrame:
+    """fp, component_id, keep (uid of the row that stays) of every distinct fingerprint of fps (doc_id, fp, uid)."""
+    first = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("uid"))
+    distinct = stored(fps.groupBy("fp").agg(F.min(first).alias("least")), "distinct")
+    spread = distinct.select("fp").repartition(max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
     roots = components(stored(links_of(spread, threshold), "found"))
     grouped = distinct.join(roots.withColumnRenamed("key", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = grouped.filter("root <> fp").groupBy("root").agg(F.min("least").alias("others"))
-    least = grouped.join(named, "root", "left").select("root", "fp", "least", "others")
-    # The root fingerprint's own smallest doc_id counts as well.
-    root_least = grouped.filter("root = fp").select("root", F.col("least").alias("own"))
-    named_all = least.join(root_least, "root").select("fp", F.least("own", "others").alias("component_id"))
-    return fps.join(stored(named_all, "named"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Only classes of several fingerprints meet; the others know their smallest row already.
+    several = grouped.filter("root <> fp").groupBy("root").agg(F.min("least").alias("others"))
+    own = distinct.select(F.col("fp").alias("root"), F.col("least").alias("own"))
+    best = stored(several.join(own, "root").select("root", F.least("own", "others").alias("best")), "classes")
+    out = grouped.join(best, "root", "left").withColumn("best", F.coalesce("best", "least"))
+    return stored(out.select("fp", F.col("best.doc_id").alias("component_id"), F.col("best.uid").alias("keep")), "named")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
+    fps = stored(fingerprints(docs, shingle, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
+    return fps.join(_classes(fps, threshold), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, all columns as they came.
+
+    The documents are written once with a number for each row, by which the rows that go are told; repeated doc_ids
+    are rows like any other.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    fps = stored(fingerprints(rows.select(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("both"), F.col(text_col).alias("text")), shingle, "both").select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.row").alias("uid"), "fp"), "fingerprints")
+    gone = stored(fps.join(_classes(fps, threshold), "fp").filter("keep <> uid").select(F.col("uid").alias("_row")), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
