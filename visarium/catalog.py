@@ -5,6 +5,578 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from visarium import views as v
+from visarium.functions import boxes, geometry, images, names, vectors
+from visarium.functions.geometry import CropConfig
+from visarium.operators import density, frames as fr, links, reconcile as rc, track
+from visarium.plans import pipelines as pl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Thresholds that mean something on these tables: their vectors are near to random, 64 numbers of unit norm.
+COS, EUCLID = 0.3, 1.1832159566199232
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the oracle's SQL; {name} in it is a shared view."""
+
+    def put(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            text = sql
+            for name, part in v.SQL.items():
+                text = text.replace("{" + name + "}", part)
+            ORACLES[fn.__name__] = text
+        return fn
+
+    return put
+
+
+def _sides(*extra):
+    return [*extra, *(F.col(f"bbox.{s}").alias(s) for s in boxes.SIDES)]
+
+
+# Frames, detections, files
+
+
+@query("WITH {frames} SELECT video_id, frame_idx, ts_sec, frame_name FROM frames WHERE frame_idx % 10 = 0")
+def frame_sample(spark, d):
+    return fr.sample_frames(v.frames(spark, d), 10).select("video_id", "frame_idx", "ts_sec", "frame_name")
+
+
+@query("""WITH {frames} SELECT event_id, regexp_replace(frame_name, '\\.[^.]*$', '') || printf('_face_%05d.jpg', event_id) AS face_name,
+    regexp_replace(frame_name, '\\.[^.]*$', '') || printf('_face%05d', event_id) || '.jpg' AS original_name, printf('%02d:%02d', frame_idx // 60, frame_idx % 60) AS clock FROM frames""")
+def frame_names(spark, d):
+    f, n, e = v.frames(spark, d), F.col("frame_name"), F.col("event_id")
+    return f.select("event_id", names.face_name(n, e).alias("face_name"), names.original_name(n, e).alias("original_name"), names.clock(F.col("frame_idx")).alias("clock"))
+
+
+@query("WITH {frames} SELECT video_id, frame_idx, row_number() OVER (PARTITION BY video_id ORDER BY frame_name, frame_idx) - 1 AS file_ord FROM frames")
+def file_order(spark, d):
+    return fr.file_order(v.frames(spark, d)).select("video_id", "frame_idx", "file_ord")
+
+
+@query("""WITH {faces}, ok AS (SELECT *, printf('frame_%02d.jpg', frame_idx) AS frame_name FROM faces),
+    pos AS (SELECT *, row_number() OVER (PARTITION BY frame_name ORDER BY face_id) - 1 AS pos FROM ok),
+    kept AS (SELECT frame_name, pos, l, t, r, b, coalesce(CASE WHEN face_id % 3 <> 0 THEN (face_id % 100) / 100.0::DOUBLE END, CASE WHEN face_id % 5 <> 0 THEN (face_id % 50) / 50.0::DOUBLE END, 1.0::DOUBLE) AS confidence FROM pos WHERE r > l AND b > t)
+    SELECT row_number() OVER (ORDER BY frame_name, pos) - 1 AS face_id, frame_name, confidence, l::INT AS "left", t::INT AS top, r::INT AS "right", b::INT AS bottom,
+        regexp_replace(frame_name, '\\.[^.]*$', '') || printf('_face_%05d.jpg', row_number() OVER (ORDER BY frame_name, pos) - 1) AS file_name FROM kept""")
+def detections_explode(spark, d):
+    return fr.explode_detections(v.detections(spark, d)).select(*_sides("face_id", "frame_name", "confidence", "file_name"))
+
+
+@query("""WITH {faces} SELECT face_id, 'trbl' AS kind, l::INT AS "left", t::INT AS top, r::INT AS "right", b::INT AS bottom FROM faces
+    UNION ALL SELECT face_id, 'xywh', l::INT, t::INT, r::INT, b::INT FROM faces
+    UNION ALL SELECT face_id, 'unit', trunc(l / 1600.0::DOUBLE * 1920)::INT, trunc(t / 800.0::DOUBLE * 1080)::INT, trunc(r / 1600.0::DOUBLE * 1920)::INT, trunc(b / 800.0::DOUBLE * 1080)::INT FROM faces""")
+def bbox_normalise(spark, d):
+    f = v.faces(spark, d)
+    lt, tp, rt, bt = (F.col(f"bbox.{s}") for s in boxes.SIDES)
+    forms = {
+        "trbl": boxes.box_from("trbl", tp, rt, bt, lt),
+        "xywh": boxes.box_from("xywh", lt, tp, rt - lt, bt - tp),
+        "unit": boxes.box_from("unit", lt / F.lit(1600.0), tp / F.lit(800.0), rt / F.lit(1600.0), bt / F.lit(800.0), F.lit(1920), F.lit(1080)),
+    }
+    out = f.select("face_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), b.alias("bbox")) for k, b in forms.items()))).alias("x"))
+    return out.select("face_id", "x.kind", "x.bbox").select(*_sides("face_id", "kind"))
+
+
+@query("""WITH {faces} SELECT face_id, greatest(l, 0)::INT AS "left", greatest(t, 0)::INT AS top, least(r, 1500)::INT AS "right", least(b, 700)::INT AS bottom FROM faces
+    WHERE r > l AND b > t AND least(r, 1500) > greatest(l, 0) AND least(b, 700) > greatest(t, 0)""")
+def bbox_valid(spark, d):
+    f = v.faces(spark, d).filter(boxes.valid(F.col("bbox"))).withColumn("bbox", boxes.clamped(F.col("bbox"), F.lit(1500), F.lit(700)))
+    return f.filter(boxes.valid(F.col("bbox"))).select(*_sides("face_id"))
+
+
+@query("""WITH {faces}, p AS (SELECT *, trunc((r - l) * 0.15::DOUBLE)::INT AS dx, trunc((b - t) * 0.15::DOUBLE)::INT AS dy FROM faces)
+    SELECT face_id, greatest(0, l - dx)::INT AS "left", greatest(0, t - dy)::INT AS top, least(1600, r + dx)::INT AS "right", least(800, b + dy)::INT AS bottom FROM p""")
+def bbox_pad(spark, d):
+    return v.faces(spark, d).withColumn("bbox", boxes.padded(F.col("bbox"), F.lit(1600), F.lit(800))).select(*_sides("face_id"))
+
+
+@query("WITH {faces}, c AS (SELECT face_id, CASE WHEN face_id % 3 <> 0 THEN (face_id % 100) / 100.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM faces) SELECT * FROM c WHERE confidence >= 0.8")
+def conf_filter(spark, d):
+    f = v.faces(spark, d).select("face_id", F.when(F.col("face_id") % 3 != 0, (F.col("face_id") % 100) / 100.0).otherwise(1.0).alias("confidence"))
+    return fr.confident(f)
+
+
+@query("WITH {faces} SELECT face_id FROM faces WHERE (r - l) * (b - t) / (300.0::DOUBLE * 300) >= 0.01")
+def area_ratio_filter(spark, d):
+    return fr.large_enough(v.faces(spark, d), F.lit(300), F.lit(300)).select("face_id")
+
+
+@query("SELECT vec_id, (label * 2)::INT AS cls FROM embeddings WHERE label * 2 IN (0, 1, 2, 3, 16, 17, 18)")
+def class_filter(spark, d):
+    return fr.of_classes(v.table(spark, d, "embeddings").select("vec_id", (F.col("label") * 2).cast("int").alias("cls")), list(CropConfig().object_classes))
+
+
+def _placed(spark, d):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("frame_idx").orderBy("face_id")
+    return v.faces(spark, d).filter(boxes.valid(F.col("bbox"))).withColumn("pos", F.row_number().over(order) - 1)
+
+
+_PLACED = "{faces}, p AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY face_id) - 1 AS pos FROM faces WHERE r > l AND b > t)"
+
+
+def _flat(df):
+    return df.select(*(c for c in df.columns if c != "face_location"), *(F.col(f"face_location.{s}").alias(s) for s in boxes.SIDES))
+
+
+@query(f'WITH {_PLACED}, q AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY (r - l) * (b - t) DESC, pos) AS n FROM p) SELECT frame_idx, l::INT AS "left", t::INT AS top, r::INT AS "right", b::INT AS bottom FROM q WHERE n = 1')
+def largest_face(spark, d):
+    return _flat(fr.largest_face(_placed(spark, d), "frame_idx"))
+
+
+@query(f'WITH {_PLACED} SELECT frame_idx, l::INT AS "left", t::INT AS top, r::INT AS "right", b::INT AS bottom FROM p WHERE pos = 0')
+def first_face(spark, d):
+    return _flat(fr.first_face(_placed(spark, d), "frame_idx"))
+
+
+@query(f"WITH {_PLACED} SELECT frame_idx, count(*) AS n, string_agg(l || ' ' || t || ' ' || r || ' ' || b, ';' ORDER BY pos) AS boxes FROM p GROUP BY frame_idx")
+def all_faces(spark, d):
+    found = fr.all_faces(_placed(spark, d), "frame_idx")
+    return found.select("frame_idx", F.size("all_face").cast("bigint").alias("n"), F.array_join(F.transform("all_face", lambda b: F.concat_ws(" ", *(b[s].cast("string") for s in boxes.SIDES))), ";").alias("boxes"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 3 <> 0 AND event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
+def unprocessed_anti(spark, d):
+    tasks = v.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, True).alias("already_processed_face"))
+    return fr.unprocessed(tasks, v.table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("event_id")), "event_id").select("event_id")
+
+
+@query("SELECT vec_id, CASE WHEN label - 1 = -1 THEN 'unknown' ELSE printf('person_%03d', label - 1) END AS cluster FROM embeddings")
+def cluster_names(spark, d):
+    return v.table(spark, d, "embeddings").select("vec_id", names.cluster_name(F.col("label") - 1).alias("cluster"))
+
+
+@query("SELECT 'given' AS method, count(DISTINCT CASE WHEN label <> 0 THEN label END) AS persons, count(*) FILTER (label = 0) AS unknown, round(avg(CASE WHEN label <> 0 THEN label / 16.0::DOUBLE END), 6) AS mean_probability FROM embeddings")
+def label_summary(spark, d):
+    lab = v.table(spark, d, "embeddings").select(F.lit("given").alias("method"), (F.col("label") - 1).alias("label"), (F.col("label") / 16.0).alias("probability"))
+    return fr.label_summary(lab).withColumn("mean_probability", F.round("mean_probability", 6))
+
+
+@query("""WITH {frames}, {faces}, m AS (SELECT video_id, frame_idx, string_agg(printf('person_%03d', label) || ':' || l, ';' ORDER BY face_id) AS marks FROM faces GROUP BY ALL)
+    SELECT f.video_id, f.frame_idx, coalesce(marks, '') AS marks FROM frames f LEFT JOIN m USING (video_id, frame_idx)""")
+def annotation_join(spark, d):
+    marked = fr.annotate(v.frames(spark, d), v.faces(spark, d).withColumn("cluster", names.cluster_name(F.col("label"))))
+    text = F.array_join(F.transform("annotations", lambda a: F.concat_ws(":", a["label"], a["bbox"]["left"].cast("string"))), ";")
+    return marked.select("video_id", "frame_idx", F.coalesce(text, F.lit("")).alias("marks"))
+
+
+@query("WITH {faces} SELECT face_id, round(face_id / 100.0::DOUBLE, 2) AS seconds, face_id AS frame, l::INT AS l, b::INT AS b FROM faces WHERE r > 0 AND b >= 0 AND r >= 0")
+def parse_annotation_name(spark, d):
+    f = v.faces(spark, d).filter("bbox.right > 0 and bbox.bottom >= 0")
+    name = F.format_string("scene_0055_%s_%d_face_%05d_(%d, %d, %d, %d).jpg", F.round(F.col("face_id") / 100.0, 2).cast("string"), "face_id", "face_id", "bbox.left", "bbox.top", "bbox.right", "bbox.bottom")
+    a = names.annotation(F.col("name"))
+    return f.withColumn("name", name).select("face_id", a["seconds"].alias("seconds"), a["frame"].alias("frame"), a["bbox"]["left"].alias("l"), a["bbox"]["bottom"].alias("b"))
+
+
+@query("SELECT source, arg_min(printf('doc_%06d', doc_id), (-n_chars, printf('doc_%06d', doc_id))) AS path, max(n_chars) AS length FROM documents GROUP BY source")
+def largest_file(spark, d):
+    files = v.table(spark, d, "documents").select("source", F.format_string("doc_%06d", "doc_id").alias("path"), F.col("n_chars").alias("length"))
+    return fr.largest_file(files, "source")
+
+
+@query("SELECT page_id, rtrim(ltrim(regexp_replace(regexp_replace(url, '[<>:\"/\\\\|?*]', '_', 'g'), '^\\s+|\\s+$', '', 'g'), '.'), '.') AS safe FROM pages")
+def sanitize_name(spark, d):
+    return v.table(spark, d, "pages").select("page_id", names.sanitised(F.col("url")).alias("safe"))
+
+
+@query("SELECT doc_id, printf('%s_%03d', source, row_number() OVER (PARTITION BY source ORDER BY printf('n%d.txt', doc_id))) || '.txt' AS new_name FROM documents")
+def rename_seq(spark, d):
+    files = v.table(spark, d, "documents").select("doc_id", "source", F.format_string("n%d.txt", "doc_id").alias("name"))
+    return fr.rename_in_order(files, "source", F.col("source")).select("doc_id", "new_name")
+
+
+@query("""WITH n AS (SELECT doc_id, source, 'f' || (n_chars % 7) || '.jpg' AS name FROM documents),
+    p AS (SELECT *, row_number() OVER (PARTITION BY source, name ORDER BY doc_id) - 1 AS k FROM n)
+    SELECT doc_id, CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') || printf('_%03d', k) || '.jpg' END AS target FROM p""")
+def collision_suffix(spark, d):
+    files = v.table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("f"), (F.col("n_chars") % 7).cast("string"), F.lit(".jpg")).alias("name"))
+    return fr.unique_names(files, "source", "doc_id").select("doc_id", "target")
+
+
+@query("""WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
+    SELECT doc_id, CASE WHEN k = 1 THEN source ELSE source || '_' || (k - 2) END AS new_folder FROM p""")
+def folder_suffix(spark, d):
+    return fr.unique_folders(v.table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "new_folder")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN round(event_id / 100.0::DOUBLE, 2) WHEN event_id % 3 = 1 THEN event_id::DOUBLE END AS seconds FROM events""")
+def name_seconds(spark, d):
+    e = F.col("event_id")
+    name = F.when(e % 3 == 0, F.concat(F.lit("at_"), F.round(e / 100.0, 2).cast("string"), F.lit("s_x.jpg"))).when(e % 3 == 1, F.concat(F.lit("frame_"), e.cast("string"), F.lit("_x.jpg"))).otherwise("other.jpg")
+    return v.table(spark, d, "events").select("event_id", names.seconds_of(name).alias("seconds"))
+
+
+# Vectors
+
+
+@query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS s FROM embeddings)
+    SELECT vec_id, round(e[1] / s, 6) AS first, round(e[64] / s, 6) AS last FROM n""")
+def l2_normalise(spark, d):
+    n = v.table(spark, d, "embeddings").select("vec_id", vectors.l2_normalise(vectors.doubles(F.col("embedding"))).alias("n"))
+    return n.select("vec_id", F.round(F.element_at("n", 1), 6).alias("first"), F.round(F.element_at("n", 64), 6).alias("last"))
+
+
+_PAIRS = "FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id"
+
+
+@query(f"SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS value {_PAIRS} WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {COS}")
+def cosine_pairs(spark, d):
+    return links.vector_links(v.table(spark, d, "embeddings"), COS).withColumn("value", F.round("value", 6))
+
+
+@query(f"SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS value {_PAIRS} WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {COS}")
+def dot_pairs(spark, d):
+    return links.vector_links(v.table(spark, d, "embeddings"), COS, "dot").withColumn("value", F.round("value", 6))
+
+
+@query(f"SELECT a.vec_id AS src, b.vec_id AS dst, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS value {_PAIRS} WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= {EUCLID}")
+def euclid_pairs(spark, d):
+    return links.vector_links(v.table(spark, d, "embeddings"), EUCLID, "euclid").withColumn("value", F.round("value", 6))
+
+
+@query("SELECT label, pos, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos")
+def centroid(spark, d):
+    return vectors.centroid(v.table(spark, d, "embeddings"), "embedding", ["label"]).select("label", F.posexplode("centroid").alias("pos", "x")).select("label", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
+
+
+_CENTRE = """parts AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+    mean AS (SELECT pos, avg(x) AS m FROM parts GROUP BY pos),
+    quality AS (SELECT vec_id, 1 / (1 + sqrt(sum((x - m) * (x - m)))) AS q FROM parts JOIN mean USING (pos) GROUP BY vec_id)"""
+
+
+@query(f"WITH {_CENTRE} SELECT vec_id, round(q, 6) AS quality FROM quality")
+def centrality(spark, d):
+    return vectors.centrality(v.table(spark, d, "embeddings"), "vec_id", "embedding").withColumn("quality", F.round("quality", 6))
+
+
+_SCALED = """parts AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+    st AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM parts GROUP BY pos),
+    scaled AS (SELECT vec_id, list((x - m) / s ORDER BY pos) AS z FROM parts JOIN st USING (pos) GROUP BY vec_id)"""
+
+
+@query(f"WITH {_SCALED} SELECT vec_id, round(z[1], 6) AS first, round(z[64], 6) AS last FROM scaled")
+def standardise(spark, d):
+    s = vectors.standardise(v.table(spark, d, "embeddings"), "vec_id", "embedding")
+    return s.select("vec_id", F.round(F.element_at("scaled", 1), 6).alias("first"), F.round(F.element_at("scaled", 64), 6).alias("last"))
+
+
+@query(f"WITH {_SCALED} SELECT a.vec_id AS src, b.vec_id AS dst, round(list_distance(a.z, b.z), 4) AS value FROM scaled a JOIN scaled b ON a.vec_id < b.vec_id WHERE list_distance(a.z, b.z) <= 9.5")
+def pca_distances(spark, d):
+    from visarium.tables import stored
+
+    p = stored(vectors.pca(v.table(spark, d, "embeddings"), "vec_id", "embedding"), "pca")
+    return links.vector_links(p, 9.5, "euclid", vec_col="reduced").withColumn("value", F.round("value", 4))
+
+
+def _leader_sql(low: str) -> str:
+    return f"WITH RECURSIVE {low}, {{leaders}} SELECT o.i AS vec_id, (dense_rank() OVER (ORDER BY leader) - 1)::INT AS label FROM r JOIN ord o USING (k)"
+
+
+_LOW = "low AS (SELECT b.vec_id AS i, b.vec_id AS o, list(a.rk) FILTER (WHERE a.vec_id IS NOT NULL) AS nb FROM embeddings b LEFT JOIN (SELECT *, row_number() OVER (ORDER BY vec_id) AS rk FROM embeddings) a ON a.vec_id < b.vec_id AND {} GROUP BY ALL)"
+
+
+@query(_leader_sql(_LOW.format(f"list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {COS}")))
+def leader_cosine(spark, d):
+    return pl.cosine_leaders(v.table(spark, d, "embeddings"), COS, metric="dot")
+
+
+@query(_leader_sql(_LOW.format(f"list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= {EUCLID}")))
+def leader_euclid(spark, d):
+    return pl.euclid_leaders(v.table(spark, d, "embeddings"), EUCLID)
+
+
+@query(f"""WITH RECURSIVE {_CENTRE},
+    v AS (SELECT vec_id, embedding::DOUBLE[] AS e, 1.05 * (1 + (1 - q) * 0.3) AS tol, row_number() OVER (ORDER BY q DESC, vec_id) AS o FROM embeddings JOIN quality USING (vec_id)),
+    low AS (SELECT b.vec_id AS i, b.o AS o, list(a.o) FILTER (WHERE a.vec_id IS NOT NULL) AS nb FROM v b LEFT JOIN v a ON a.o < b.o AND list_distance(a.e, b.e) <= a.tol GROUP BY ALL),
+    {{leaders}} SELECT o.i AS vec_id, (dense_rank() OVER (ORDER BY leader) - 1)::INT AS label FROM r JOIN ord o USING (k)""")
+def leader_adaptive(spark, d):
+    return pl.adaptive_leaders(v.table(spark, d, "embeddings"), 1.05)
+
+
+# Quality and reconciliation
+
+
+@query("""WITH {tiles}, m AS (SELECT vec_id, tile, list_transform(range(0, 64), lambda k:
+        tile[(CASE WHEN k % 8 = 0 THEN k + 1 ELSE k - 1 END) + 1] + tile[(CASE WHEN k % 8 = 7 THEN k - 1 ELSE k + 1 END) + 1]
+        + tile[(CASE WHEN k < 8 THEN k + 8 ELSE k - 8 END) + 1] + tile[(CASE WHEN k >= 56 THEN k - 8 ELSE k + 8 END) + 1] - 4 * tile[k + 1]) AS lap FROM tiles),
+    s AS (SELECT vec_id, list_sum(tile) / 64.0::DOUBLE AS mean,
+        (list_sum(list_transform(tile, lambda x: x::BIGINT * x)) * 64 - list_sum(tile) * list_sum(tile))::DOUBLE / 4096 AS var,
+        (list_sum(list_transform(lap, lambda x: x::BIGINT * x)) * 64 - list_sum(lap) * list_sum(lap))::DOUBLE / 4096 AS lvar FROM m)
+    SELECT vec_id, round(0.3 * 0.0064 + 0.3 * least(1.0, lvar / 1000.0) + 0.2 * (sqrt(var) / 127.5) + 0.1 * (1 - abs(mean - 127.5) / 127.5) + 0.1 * least(1.0, vec_id * 200 / 50000.0::DOUBLE), 6) AS quality FROM s""")
+def quality_score(spark, d):
+    return v.tiles(spark, d).select("vec_id", F.round(images.face_quality(F.col("tile"), 8, 8, F.col("vec_id") * 200), 6).alias("quality"))
+
+
+_REPS = "{people}, reps AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY quality DESC, face_id) AS rank FROM people QUALIFY rank <= 3)"
+
+
+@query(f"WITH {_REPS} SELECT cluster, face_id, rank::INT AS rank FROM reps")
+def top_reps(spark, d):
+    return rc.top_reps(v.people(spark, d), 3).select("cluster", "face_id", "rank")
+
+
+@query("WITH {people}, b AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY quality DESC, face_id) AS n FROM people WHERE quality > 0) SELECT cluster, face_id FROM b WHERE n = 1")
+def best_representative(spark, d):
+    return rc.best_face(v.people(spark, d))
+
+
+_CONS = _REPS + """, pairs AS (
+    SELECT a.cluster AS a, b.cluster AS b, avg(CASE WHEN list_cosine_similarity(a.embedding, b.embedding) >= 0.1 THEN 1.0 ELSE 0.0 END) AS consensus,
+        avg(list_cosine_similarity(a.embedding, b.embedding)) AS mean_sim, max(list_cosine_similarity(a.embedding, b.embedding)) AS max_sim
+    FROM reps a JOIN reps b ON a.cluster < b.cluster GROUP BY ALL)"""
+
+
+@query(f"WITH {_CONS} SELECT a, b, round(consensus, 6) AS consensus, round(mean_sim, 6) AS mean_sim, round(max_sim, 6) AS max_sim FROM pairs WHERE consensus > 0")
+def consensus_pairs(spark, d):
+    p = rc.consensus_pairs(rc.top_reps(v.people(spark, d), 3), 0.1)
+    return p.select("a", "b", *(F.round(c, 6).alias(c) for c in ("consensus", "mean_sim", "max_sim")))
+
+
+def _merge_sql(views: str, edges: str, source: str) -> str:
+    """Leaders among cluster names in name order, merges applied, clusters numbered anew."""
+    return f"""WITH RECURSIVE {views}, e AS ({edges}), c AS (SELECT cluster, row_number() OVER (ORDER BY cluster) AS rk FROM (SELECT DISTINCT cluster FROM {source})),
+        low AS (SELECT c.cluster AS i, c.cluster AS o, list(x.rk) FILTER (WHERE x.rk IS NOT NULL) AS nb FROM c LEFT JOIN e ON e.b = c.cluster LEFT JOIN c x ON x.cluster = e.a GROUP BY ALL),
+        {{leaders}}, led AS (SELECT o.i AS src, l.i AS dst FROM r JOIN ord o USING (k) JOIN ord l ON l.k = r.leader)
+        SELECT face_id, printf('person_%03d', dense_rank() OVER (ORDER BY dst) - 1) AS cluster FROM {source} JOIN led ON src = cluster"""
+
+
+@query(_merge_sql(_CONS, "SELECT a, b FROM pairs WHERE consensus >= 0.34", "people"))
+def consensus_merge(spark, d):
+    f = v.people(spark, d)
+    return rc.renumber(rc.apply_merges(f, rc.consensus_merges(f, 3, 0.1, 0.34))).select("face_id", "cluster")
+
+
+@query(f"""WITH {_REPS}, known AS (SELECT * FROM reps WHERE cluster <= 'person_007'), unknown AS (SELECT * FROM people WHERE cluster > 'person_007'),
+    s AS (SELECT u.face_id, k.cluster, max(list_cosine_similarity(u.embedding, k.embedding)) AS sim FROM unknown u CROSS JOIN known k GROUP BY ALL),
+    b AS (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY sim DESC, cluster) AS n FROM s)
+    SELECT face_id, cluster, round(sim, 6) AS sim FROM b WHERE n = 1 AND sim >= 0.15""")
+def unknown_assign(spark, d):
+    f = v.people(spark, d)
+    known, unknown = f.filter("cluster <= 'person_007'"), f.filter("cluster > 'person_007'")
+    return rc.assign_unknown(unknown, rc.top_reps(known, 3), 0.15).withColumn("sim", F.round("sim", 6))
+
+
+_ASSIGN = ORACLES["unknown_assign"]
+
+
+@query(f"SELECT cluster, count(*) AS n FROM ({_ASSIGN}) GROUP BY cluster")
+def dest_summary(spark, d):
+    return rc.destination_summary(unknown_assign(spark, d))
+
+
+@query(f"SELECT total, moved, round(100.0::DOUBLE * moved / total, 6) AS percent FROM (SELECT count(*) AS total FROM embeddings WHERE vec_id % 12 > 7), (SELECT count(*) AS moved FROM ({_ASSIGN}))")
+def move_rate(spark, d):
+    unknown = v.people(spark, d).filter("cluster > 'person_007'")
+    return rc.move_rate(unknown, unknown_assign(spark, d)).withColumn("percent", F.round("percent", 6))
+
+
+_JACCARD = """{timed}, sets AS (SELECT cluster, list(DISTINCT ts) AS s FROM timed GROUP BY cluster),
+    jac AS (SELECT a.cluster AS a, b.cluster AS b, len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS jaccard FROM sets a JOIN sets b ON a.cluster < b.cluster)"""
+
+
+@query(f"WITH {_JACCARD} SELECT a, b, round(jaccard, 6) AS jaccard FROM jac WHERE jaccard > 0.3")
+def temporal_jaccard(spark, d):
+    return rc.time_overlap(v.timed(spark, d)).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(_merge_sql(_JACCARD + """, best AS (SELECT cluster, arg_min(embedding, (-quality, face_id)) AS e FROM timed WHERE quality > 0 GROUP BY cluster)""",
+    "SELECT jac.a, jac.b FROM jac JOIN best x ON x.cluster = jac.a JOIN best y ON y.cluster = jac.b WHERE jaccard > 0.3 AND list_cosine_similarity(x.e, y.e) >= 0.09", "timed"))
+def temporal_merge(spark, d):
+    f = v.timed(spark, d)
+    return rc.renumber(rc.apply_merges(f, rc.temporal_merges(f, 0.1))).select("face_id", "cluster")
+
+
+@query("WITH {people} SELECT face_id, printf('person_%03d', dense_rank() OVER (ORDER BY cluster) - 1) AS cluster FROM people WHERE cluster <> 'person_003'")
+def renumber(spark, d):
+    return rc.renumber(v.people(spark, d).filter("cluster <> 'person_003'")).select("face_id", "cluster")
+
+
+# Crop and track
+
+
+@query("""WITH {tiles}, l AS (SELECT *, lag(tile) OVER (PARTITION BY video_id ORDER BY frame_idx) AS p FROM tiles)
+    SELECT video_id, frame_idx, coalesce(list_sum(list_transform(list_zip(tile, p), lambda z: abs(z[1] - z[2]))) / 64.0 > 36, false) AS scene FROM l""")
+def scene_change(spark, d):
+    return track.scene_changes(v.tiles(spark, d), F.col("tile"), 36).select("video_id", "frame_idx", "scene")
+
+
+_SIGNALS = """{frames}, sig AS (SELECT *, event_type = 'click' AS face, event_type = 'error' AND frame_idx > 0 AS scene, floor(value)::INT AS x FROM frames),
+    isl AS (SELECT *, sum((face OR scene)::INT) OVER (PARTITION BY video_id ORDER BY frame_idx) AS g FROM sig),
+    run AS (SELECT *, CASE WHEN face THEN 0 ELSE sum((NOT face)::INT) OVER (PARTITION BY video_id, g ORDER BY frame_idx) END::BIGINT AS missing FROM isl),
+    can AS (SELECT *, CASE WHEN face THEN x WHEN missing >= 5 AND event_type IN ('view', 'purchase') THEN x END AS cand FROM run)"""
+
+
+@query(f"WITH {_SIGNALS} SELECT video_id, frame_idx, missing FROM run")
+def missing_run(spark, d):
+    return track.missing_runs(v.signals(spark, d)).select("video_id", "frame_idx", "missing")
+
+
+@query(f"WITH {_SIGNALS} SELECT video_id, frame_idx, cand FROM can WHERE cand IS NOT NULL")
+def crop_candidate(spark, d):
+    return track.crop_candidates(track.missing_runs(v.signals(spark, d)), 5).filter("cand is not null").select("video_id", "frame_idx", "cand")
+
+
+_SMALL = CropConfig(target_width=200, tolerance=5)
+
+
+@query(f"""WITH RECURSIVE {_SIGNALS}, t AS (
+        SELECT video_id, frame_idx, trunc(0.12::DOUBLE * x.c + 0.88::DOUBLE * 250)::INT AS center FROM can, LATERAL (SELECT coalesce(cand, 250) - 250 AS m) y,
+            LATERAL (SELECT CASE WHEN m > 35 THEN 285 WHEN m < -35 THEN 215 WHEN abs(m) < 20 THEN 250 ELSE coalesce(cand, 250) END AS c) x WHERE frame_idx = 0
+        UNION ALL
+        SELECT n.video_id, n.frame_idx, trunc(0.12::DOUBLE * x.c + 0.88::DOUBLE * p.p)::INT FROM t JOIN can n ON n.video_id = t.video_id AND n.frame_idx = t.frame_idx + 1,
+            LATERAL (SELECT CASE WHEN n.scene THEN 250 ELSE t.center END AS p) p, LATERAL (SELECT coalesce(n.cand, p.p) - p.p AS m) y,
+            LATERAL (SELECT CASE WHEN m > 35 THEN p.p + 35 WHEN m < -35 THEN p.p - 35 WHEN abs(m) < 20 THEN p.p ELSE coalesce(n.cand, p.p) END AS c) x)
+    SELECT video_id, frame_idx, center, least(greatest(0, center - 100), 300)::INT AS "left" FROM t""")
+def crop_track(spark, d):
+    cand = track.crop_candidates(track.missing_runs(v.signals(spark, d)), _SMALL.tolerance)
+    return track.crop_track(cand, 500, _SMALL)
+
+
+@query("""WITH RECURSIVE {frames}, c AS (SELECT video_id, frame_idx, CASE WHEN event_type IN ('view', 'click') THEN value END AS cx FROM frames), t AS (
+        SELECT video_id, frame_idx, trunc(0.15::DOUBLE * coalesce(cx, 250) + 0.85::DOUBLE * coalesce(cx, 250))::INT AS center FROM c WHERE frame_idx = 0
+        UNION ALL
+        SELECT n.video_id, n.frame_idx, trunc(0.15::DOUBLE * x.c + 0.85::DOUBLE * t.center)::INT FROM t JOIN c n ON n.video_id = t.video_id AND n.frame_idx = t.frame_idx + 1,
+            LATERAL (SELECT coalesce(n.cx, CASE WHEN t.center <> 0 THEN t.center ELSE 250 END)::DOUBLE AS v) v, LATERAL (SELECT v.v - t.center AS m) y,
+            LATERAL (SELECT CASE WHEN m > 40 THEN t.center + 40 WHEN m < -40 THEN t.center - 40 WHEN abs(m) < 10 THEN t.center ELSE v.v END AS c) x)
+    SELECT video_id, frame_idx, center FROM t""")
+def person_track(spark, d):
+    f = v.frames(spark, d).withColumn("center_x", F.when(F.col("event_type").isin("view", "click"), F.col("value")))
+    return track.person_track(f, 500)
+
+
+def _boxes_of(spark, d):
+    row = F.struct("face_id", F.struct("bbox.left", "bbox.right", (F.col("label") % 4).alias("cls")).alias("b"))
+    return v.faces(spark, d).filter(boxes.valid(F.col("bbox"))).withColumn("row", row).groupBy("frame_idx").agg(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["b"]).alias("boxes"))
+
+
+@query("""WITH {faces}, ok AS (SELECT *, (l + r) / 2.0::DOUBLE AS c, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY (r - l) * (r - l) DESC, face_id) AS n FROM faces WHERE r > l AND b > t)
+    SELECT video_id, frame_idx, CASE WHEN count(*) = 1 THEN trunc(max(c)) WHEN max(c) - min(c) <= 300 THEN trunc((min(c) + max(c)) / 2)
+        ELSE trunc(max(c) FILTER (n = 1) * 0.8::DOUBLE + max(c) FILTER (n = 2) * 0.2::DOUBLE) END::INT AS center FROM ok GROUP BY ALL""")
+def face_center(spark, d):
+    row = F.struct("face_id", "bbox")
+    f = v.faces(spark, d).filter(boxes.valid(F.col("bbox"))).withColumn("row", row).groupBy("video_id", "frame_idx").agg(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["bbox"]).alias("faces"))
+    return f.select("video_id", "frame_idx", geometry.face_center(F.col("faces"), 300).alias("center"))
+
+
+@query("WITH {faces} SELECT frame_idx, trunc(avg((l + r) / 2.0::DOUBLE))::INT AS center FROM faces WHERE r > l AND b > t AND label % 4 = 0 GROUP BY frame_idx")
+def person_center(spark, d):
+    return _boxes_of(spark, d).select("frame_idx", geometry.class_center(F.col("boxes"), (0,)).alias("center")).filter("center is not null")
+
+
+@query("WITH {faces} SELECT frame_idx, trunc(avg((l + r) / 2.0::DOUBLE))::INT AS center FROM faces WHERE r > l AND b > t AND label % 4 IN (0, 1, 2, 3, 16, 17, 18) GROUP BY frame_idx")
+def object_center(spark, d):
+    return _boxes_of(spark, d).select("frame_idx", geometry.class_center(F.col("boxes"), CropConfig().object_classes).alias("center")).filter("center is not null")
+
+
+@query("""WITH s AS (SELECT event_id, 400 + event_id % 1500 AS w, 300 + event_id * 7 % 1700 AS h FROM events),
+    k AS (SELECT *, 1080.0::DOUBLE / w AS kw, 1920.0::DOUBLE / h AS kh FROM s),
+    f AS (SELECT *, floor(w * least(kw, kh))::INT AS fw, floor(h * least(kw, kh))::INT AS fh FROM k),
+    x AS (SELECT *, trunc(fw * 1.2::DOUBLE)::INT AS sw, trunc(fh * 1.2::DOUBLE)::INT AS sh FROM f)
+    SELECT event_id, CASE WHEN kw <= kh THEN 1080 WHEN fw >= 1080 OR sw >= 1080 THEN 1080 ELSE sw END::INT AS width,
+        CASE WHEN kw > kh THEN 1920 WHEN fh >= 1920 OR sh >= 1920 THEN 1920 ELSE sh END::INT AS height,
+        CASE WHEN kw <= kh THEN NOT (fh >= 1920 OR sh >= 1920) ELSE NOT (fw >= 1080 OR sw >= 1080) END AS blur FROM x""")
+def resize_dims(spark, d):
+    e = v.table(spark, d, "events").select("event_id", geometry.resize_dims(400 + F.col("event_id") % 1500, 300 + F.col("event_id") * 7 % 1700).alias("r"))
+    return e.select("event_id", "r.width", "r.height", "r.blur")
+
+
+@query("SELECT user_id, least(greatest(0, max(event_id) % 2000 - 540), 1920 - 1080)::INT AS \"left\" FROM events GROUP BY user_id")
+def crop_left(spark, d):
+    c = v.table(spark, d, "events").groupBy("user_id").agg((F.max("event_id") % 2000).cast("int").alias("c"))
+    return c.select("user_id", geometry.crop_left(F.col("c"), F.lit(1920), 1080).alias("left"))
+
+
+_OVAL = "list_transform(range(0, 64), lambda k: CASE WHEN ((k % 8) - 4) * ((k % 8) - 4) * 4 + ((k // 8) - 4) * ((k // 8) - 4) * 9 <= 36 THEN 255 ELSE 0 END)"
+_UNION = "list_transform(range(1, 65), lambda k: CASE WHEN tile[k] / 255.0::DOUBLE > 0.5 OR tile[65 - k] / 255.0::DOUBLE > 0.5 THEN 255 ELSE 0 END)"
+
+
+def _join(tile):
+    return F.array_join(F.transform(tile, lambda x: x.cast("string")), " ")
+
+
+@query(f"SELECT vec_id, array_to_string({_OVAL}, ' ') AS mask FROM embeddings")
+def oval_mask(spark, d):
+    return v.table(spark, d, "embeddings").select("vec_id", _join(images.oval_mask(8, 8, 0.4, 0.3)).alias("mask"))
+
+
+def _masks():
+    return F.array(F.transform("tile", lambda x: x / 255.0), F.reverse(F.transform("tile", lambda x: x / 255.0)))
+
+
+@query(f"WITH {{tiles}} SELECT vec_id, array_to_string({_UNION}, ' ') AS mask FROM tiles")
+def union_mask(spark, d):
+    return v.tiles(spark, d).select("vec_id", _join(images.union_mask(_masks(), 0.5)).alias("mask"))
+
+
+@query(f"WITH {{tiles}} SELECT vec_id, array_to_string(CASE WHEN vec_id % 3 = 0 THEN {_OVAL} ELSE {_UNION} END, ' ') AS mask FROM tiles")
+def mask_choice(spark, d):
+    masks = F.when(F.col("vec_id") % 3 != 0, _masks())
+    return v.tiles(spark, d).select("vec_id", _join(images.mask_choice(masks, 64, images.oval_mask(8, 8, 0.4, 0.3), oval_fallback=True, threshold=0.5)).alias("mask"))
+
+
+@query(f"WITH {{tiles}}, m AS (SELECT vec_id, tile, {_UNION} AS mask FROM tiles) SELECT vec_id, array_to_string(list_transform(range(1, 65), lambda k: CASE WHEN mask[k] = 255 THEN tile[k] ELSE 200 END), ' ') AS frame FROM m")
+def composite(spark, d):
+    t = v.tiles(spark, d)
+    out = images.composite(F.col("tile"), images.union_mask(_masks(), 0.5), images.background(F.col("tile"), color=200))
+    return t.select("vec_id", _join(out).alias("frame"))
+
+
+# Density
+
+
+_CORE = "core AS (SELECT vec_id, d AS core FROM (SELECT a.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS n FROM embeddings a CROSS JOIN embeddings b) WHERE n = 3)"
+
+
+@query(f"WITH {_CORE} SELECT vec_id, round(core, 6) AS core FROM core")
+def core_distance(spark, d):
+    return links.nearest_distances(v.table(spark, d, "embeddings"), 3).withColumn("core", F.round("core", 6))
+
+
+@query(f"""WITH {_CORE} SELECT a.vec_id AS src, b.vec_id AS dst, round(greatest(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), x.core, y.core), 6) AS value
+    {_PAIRS} JOIN core x ON x.vec_id = a.vec_id JOIN core y ON y.vec_id = b.vec_id WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= {EUCLID}""")
+def mutual_reachability(spark, d):
+    e = v.table(spark, d, "embeddings")
+    core = links.nearest_distances(e, 3)
+    near = links.vector_links(e, EUCLID, "euclid")
+    both = near.join(core.toDF("src", "ca"), "src").join(core.toDF("dst", "cb"), "dst")
+    return both.select("src", "dst", F.round(F.greatest("value", "ca", "cb"), 6).alias("value"))
+
+
+@query()
+def hdbscan(spark, d):
+    return density.cluster(v.table(spark, d, "embeddings"), "hdbscan")
+
+
+@query()
+def spectral(spark, d):
+    return density.cluster(v.table(spark, d, "embeddings"), "spectral")
+
+
+@query()
+def agglomerative(spark, d):
+    return density.cluster(v.table(spark, d, "embeddings"), "agglomerative")
+
+
+@query()
+def affinity_propagation(spark, d):
+    return density.cluster(v.table(spark, d, "embeddings"), "affinity_propagation")
+
+
+@query()
+def chinese_whispers(spark, d):
+    return density.cluster(v.table(spark, d, "embeddings"), "chinese_whispers", tolerance=EUCLID)
+
+
+@query()
+def cluster_methods(spark, d):
+    out, failed = density.run_methods(v.table(spark, d, "embeddings"), ["hdbscan", "agglomerative"])
+    if failed:
+        raise next(iter(failed.values()))
+    return fr.label_summary(out)
