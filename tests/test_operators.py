@@ -86,6 +86,7 @@ def test_thresholds_are_inclusive(spark):
 
 def test_nearest_distances(spark):
     x = np.random.default_rng(4).normal(size=(50, 3))
+    x[20:35] = x[20]
     d = np.sort(np.linalg.norm(x[:, None] - x[None], axis=2), axis=1)[:, 2]
     got = [r.core for r in nearest_distances(vecs(spark, x), 3, block=8).orderBy("vec_id").collect()]
     assert np.allclose(got, d)
@@ -96,6 +97,11 @@ def test_leaders_by_vectors(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     got = [r.label for r in pl.cosine_leaders(vecs(spark, x), 0.7).orderBy("vec_id").collect()]
     assert got == greedy(70, lambda i, j: u[i] @ u[j] >= 0.7)
+    copies = np.concatenate([x, x[:30], x[:30]])
+    uc = np.concatenate([u, u[:30], u[:30]])
+    got = [r.label for r in pl.cosine_leaders(vecs(spark, copies), 0.7).orderBy("vec_id").collect()]
+    assert got == greedy(130, lambda i, j: uc[i] @ uc[j] >= 0.7)
+    assert len(set(r.label for r in pl.cosine_leaders(vecs(spark, [[0, 0], [0, 0], [1, 1], [2, 2]]), 0.7).collect())) == 3
     rows = [None if k == 3 else v for k, v in enumerate(x)]
     real = [k for k in range(70) if k != 3]
     want = greedy(69, lambda i, j: np.linalg.norm(x[real[i]] - x[real[j]]) <= 0.9)

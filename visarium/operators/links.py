@@ -39,14 +39,15 @@ def _packed(df: DataFrame, id_col: str, vec_col: str, metric: str, block: int) -
     else:
         rows = rows.withColumn("block", F.lit(0))
 
+    # Many vectors with one projection share a block: it is split by id into parts of a bounded size.
+    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    rows = rows.join(F.broadcast(sizes), "block").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for lo in range(0, len(pdf), block):
-            part = pdf.iloc[lo : lo + block]
-            out.append((int(part["block"].iloc[0]), lo // block, float(part["at"].min()), float(part["at"].max()), part["id"].to_numpy("<i8").tobytes(), np.stack(part["v"].to_numpy()).astype("<f8").tobytes()))
-        return pd.DataFrame(out, columns=["block", "sub", "lo", "hi", "ids", "vecs"])
+        row = (int(pdf["block"].iloc[0]), int(pdf["sub"].iloc[0]), float(pdf["at"].min()), float(pdf["at"].max()), pdf["id"].to_numpy("<i8").tobytes(), np.stack(pdf["v"].to_numpy()).astype("<f8").tobytes())
+        return pd.DataFrame([row], columns=["block", "sub", "lo", "hi", "ids", "vecs"])
 
-    return rows.groupBy("block").applyInPandas(pack, "block int, sub int, lo double, hi double, ids binary, vecs binary")
+    return rows.groupBy("block", "sub").applyInPandas(pack, "block int, sub int, lo double, hi double, ids binary, vecs binary")
 
 
 def _unpack(ids: bytes, vecs: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -119,24 +120,38 @@ def vector_links(df: DataFrame, threshold: float, metric: str = "cosine", id_col
 def nearest_distances(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """id, core: Euclidean distance to the k-th nearest vector, the vector itself counting as the first.
 
-    Each pair of blocks gives every vector its k nearest of the other block; the k nearest of those are the answer."""
+    Within its own block a vector finds k neighbours, whose distance bounds the answer. Only blocks whose stretch of the
+    projection is nearer than the largest of a block's bounds are compared with it, exactly."""
     a = stored(_packed(df, id_col, vec_col, "euclid", block), "blocks")
-    name = lambda s: a.select(*(F.col(c).alias(f"{c}_{s}") for c in ("block", "sub", "ids", "vecs")))
-    keys = a.select(F.struct("block", "sub").alias("k"))
-    pairs = keys.select(F.col("k").alias("ka")).join(F.broadcast(keys.select(F.col("k").alias("kb"))), F.lit(True)).select(F.col("ka.block").alias("block_a"), F.col("ka.sub").alias("sub_a"), F.col("kb.block").alias("block_b"), F.col("kb.sub").alias("sub_b"))
+    side = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in d.columns))
+
+    def closest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T)
+        m = min(k + 2, rough.shape[1])
+        j = np.argpartition(rough, m - 1, axis=1)[:, :m]
+        return np.sort(np.sqrt(((x[:, None] - y[j]) ** 2).sum(2)), axis=1)[:, :k]
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = []
+            for i, v in zip(b.column("ids"), b.column("vecs"), strict=True):
+                _, x = _unpack(i.as_py(), v.as_py())
+                most.append(float(closest(x, x)[:, -1].max()) if len(x) >= k else float("inf"))
+            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in ("block", "sub", "lo", "hi")} | {"reach": pa.array(most)})
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 ia, x = _unpack(b.column("ids_a")[r].as_py(), b.column("vecs_a")[r].as_py())
                 _, y = _unpack(b.column("ids_b")[r].as_py(), b.column("vecs_b")[r].as_py())
-                rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T)
-                m = min(k + 2, rough.shape[1])
-                j = np.argpartition(rough, m - 1, axis=1)[:, :m]
-                d = np.sort(np.sqrt(((x[:, None] - y[j]) ** 2).sum(2)), axis=1)[:, :k]
+                d = closest(x, y)
                 yield pa.RecordBatch.from_pydict({"id": np.repeat(ia, d.shape[1]), "d": d.ravel()})
 
-    full = pairs.join(name("a"), ["block_a", "sub_a"]).join(name("b"), ["block_b", "sub_b"])
+    stretch = stored(a.mapInArrow(bound, "block int, sub int, lo double, hi double, reach double"), "stretch")
+    near_by = (F.col("lo_a") - F.col("hi_b") <= F.col("reach_a") + 1e-9) & (F.col("lo_b") - F.col("hi_a") <= F.col("reach_a") + 1e-9)
+    pairs = side(stretch, "a").join(F.broadcast(side(stretch.drop("reach"), "b")), near_by).select("block_a", "sub_a", "block_b", "sub_b")
+    packed = a.select("block", "sub", "ids", "vecs")
+    full = pairs.join(side(packed, "a"), ["block_a", "sub_a"]).join(side(packed, "b"), ["block_b", "sub_b"])
     near = full.select("ids_a", "vecs_a", "ids_b", "vecs_b").mapInArrow(some, "id bigint, d double")
     ranked = F.slice(F.array_sort(F.collect_list("d")), 1, k)
     return near.groupBy("id").agg(F.element_at(ranked, -1).alias("core")).withColumnRenamed("id", id_col)
