@@ -325,8 +325,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     sent_blocks = list(_blocks(benchmark, "item_id", "text", BLOCK_BYTES))
     kept = docs
     if len(sent_blocks) > 1:
-        bad = contamination(docs, benchmark, window, share).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+        bad = contamination(docs, benchmark, window, share).filter("contaminated").select(F.col("doc_id").alias("__visarium_bad")).distinct()
+        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__visarium_bad")), "left_anti")
     sent = docs.sparkSession.sparkContext.broadcast(sent_blocks[0])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

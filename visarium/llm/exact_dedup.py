@@ -21,6 +21,8 @@ from visarium.llm.tables import stored
 RUNS, FAN_IN = 256, 16
 #: Leading digest bytes that name a digest range.
 SPAN_BYTES = 2
+#: Columns that a filter adds for a while beside those that come in.
+KEY, GONE = "__visarium_key", "__visarium_gone"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,9 +88,9 @@ def drop_exact_copies(docs: DataFrame, keep: str = "min", id_col: str = "doc_id"
     key = F.struct(F.col(id_col).alias("a"), F.sha2(normalised(F.col(text_col)), 256).alias("b"))
     same = F.struct(F.col("doc_id").alias("a"), F.col("text_sha256").alias("b"))
     twice = groups.filter("group_size > 1").groupBy(same.alias("same")).agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    gone = twice.filter(~F.col("kept")).select(F.col("same").alias("_gone"))
-    keyed = docs.withColumn("_key", key)
-    left = keyed.join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = twice.filter(~F.col("kept")).select(F.col("same").alias(GONE))
+    keyed = docs.withColumn(KEY, key)
+    left = keyed.join(gone, F.col(KEY).eqNullSafe(F.col(GONE)), "left_anti")
     if not twice.filter("kept and n > 1").isEmpty():
-        left = left.dropDuplicates(["_key"])
-    return left.drop("_key")
+        left = left.dropDuplicates([KEY])
+    return left.drop(KEY)
