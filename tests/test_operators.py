@@ -180,7 +180,7 @@ def test_smoothers(spark):
     pairs = [(random.Random(k).randint(0, 2000), random.Random(-k).randint(0, 2000)) for k in range(200)]
     got = spark.createDataFrame(pairs, "a int, b int").select("a", "b", geometry.smoothed_column(F.col("a"), F.col("b"), c.alpha, c.deadzone, c.max_jump).alias("x")).collect()
     assert all(r.x == smoothed(r.a, r.b, c.alpha, c.deadzone, c.max_jump) for r in got)
-    assert list(track.fold_person(np.array([np.nan, 700.0]), 500)) == [250, 256]
+    assert track.step_person(None, None, 500) == 250 and track.step_person(700.0, 250, 500) == 256 and track.step_person(None, 0, 500) == 40 * 3 // 20
 
 
 def test_missing_and_candidates(spark):

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def gray(blue: Column, green: Column, red: Column) -> Column:
     """Luma of a pixel."""
     return F.round(F.lit(0.299) * red + F.lit(0.587) * green + F.lit(0.114) * blue).cast("int")
@@ -17,9 +22,9 @@ def mean(tile: Column) -> Column:
 
 def variance(tile: Column) -> Column:
     """Population variance from whole-number sums: exact whatever the order."""
-    n = F.size(tile)
-    sums = F.aggregate(tile, F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")), lambda s, x: F.struct((s["a"] + x).alias("a"), (s["b"] + x.cast("bigint") * x).alias("b")))
-    return (sums["b"] * n - sums["a"] * sums["a"]).cast("double") / (n * n)
+    zero = F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("n"))
+    add = lambda s, x: F.struct((s["a"] + x).alias("a"), (s["b"] + x.cast("bigint") * x).alias("b"), (s["n"] + 1).alias("n"))
+    return F.aggregate(tile, zero, add, lambda s: (s["b"] * s["n"] - s["a"] * s["a"]).cast("double") / (s["n"] * s["n"]))
 
 
 def laplacian(tile: Column, width: int, height: int) -> Column:
@@ -37,14 +42,18 @@ def laplacian(tile: Column, width: int, height: int) -> Column:
 def face_quality(tile: Column, width: int, height: int, file_bytes: Column) -> Column:
     """0 to 1 from area, sharpness, contrast, brightness and file size; 0 for no image."""
     capped = lambda x: F.least(F.lit(1.0), x)
-    score = (
-        F.lit(0.3) * capped(F.lit(width * height / 10000.0))
-        + F.lit(0.3) * capped(variance(laplacian(tile, width, height)) / 1000.0)
-        + F.lit(0.2) * (F.sqrt(variance(tile)) / 127.5)
-        + F.lit(0.1) * (1 - F.abs(mean(tile) - 127.5) / 127.5)
-        + F.lit(0.1) * capped(file_bytes / 50000.0)
-    )
-    return F.when(tile.isNull() | (F.size(tile) == 0), 0.0).otherwise(score)
+
+    def score(t: Column) -> Column:
+        parts = (
+            F.lit(0.3) * capped(F.lit(width * height / 10000.0))
+            + F.lit(0.3) * capped(variance(laplacian(t, width, height)) / 1000.0)
+            + F.lit(0.2) * (F.sqrt(variance(t)) / 127.5)
+            + F.lit(0.1) * (1 - F.abs(mean(t) - 127.5) / 127.5)
+            + F.lit(0.1) * capped(file_bytes / 50000.0)
+        )
+        return F.when(t.isNull() | (F.size(t) == 0), 0.0).otherwise(parts)
+
+    return let(tile, score)
 
 
 def mean_difference(a: Column, b: Column) -> Column:

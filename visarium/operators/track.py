@@ -6,7 +6,7 @@ is its next input, runs through a video's frames in order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,43 +46,52 @@ def crop_candidates(frames: DataFrame, tolerance: int = 15) -> DataFrame:
     return frames.withColumn("cand", F.coalesce("face_x", late))
 
 
+def step_track(cand: float | None, cut: bool, at: int | None, middle: int, config: CropConfig) -> int:
+    """The smoothed centre after one frame: a cut goes back to the middle, a missing candidate holds the last centre."""
+    at = middle if cut or at is None else at
+    return smoothed(at if cand is None or cand != cand else int(cand), at, config.alpha, config.deadzone, config.max_jump)
+
+
+def step_person(center: float | None, at: int | None, width: int, config: TrackConfig = TrackConfig()) -> int:
+    """The person tracker: it starts at the first centre; without one it takes the last position, or the middle if that is 0 or unset."""
+    now = float(center) if center is not None and center == center else float(at or width // 2)
+    return smoothed(now, now if at is None else at, config.alpha, config.deadzone, config.max_jump)
+
+
 def fold_track(cand: np.ndarray, scene: np.ndarray, middle: int, config: CropConfig, start: int | None = None) -> Iterator[int]:
-    """The smoothed centre of each frame: a cut goes back to the middle, a missing candidate holds the last centre."""
-    at = middle if start is None else start
+    at = start
     for c, cut in zip(cand, scene, strict=True):
-        if cut:
-            at = middle
-        at = smoothed(at if c is None or c != c else int(c), at, config.alpha, config.deadzone, config.max_jump)
+        at = step_track(c, cut, at, middle, config)
         yield at
 
 
-def crop_track(frames: DataFrame, frame_width: int, config: CropConfig = CropConfig()) -> DataFrame:
-    """video_id, frame_idx, center, left of every frame (with cand, scene)."""
+def _folded(frames: DataFrame, inputs: list[str], step: Callable[..., int]) -> DataFrame:
+    """video_id, frame_idx, center: step(inputs..., last centre or None) over each video's frames in order.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        out = list(fold_track(pdf["cand"].to_numpy(float, na_value=np.nan), pdf["scene"].to_numpy(bool), frame_width // 2, config))
-        return pd.DataFrame({"video_id": pdf["video_id"], "frame_idx": pdf["frame_idx"], "center": np.array(out, "int32")})
+    Videos are dealt and sorted by Spark and read as a stream, so a video of any length takes one batch's memory."""
 
-    track = frames.select("video_id", "frame_idx", F.col("cand").cast("int").alias("cand"), "scene").groupBy("video_id").applyInPandas(run, "video_id bigint, frame_idx bigint, center int")
-    return track.withColumn("left", crop_left(F.col("center"), F.lit(frame_width), config.target_width))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, at = object(), None
+        for pdf in batches:
+            out = []
+            for v, *values in zip(pdf["video_id"], *(pdf[c] for c in inputs), strict=True):
+                at = step(*values, at if v == video else None)
+                video = v
+                out.append(at)
+            yield pd.DataFrame({"video_id": pdf["video_id"], "frame_idx": pdf["frame_idx"], "center": np.array(out, "int32")})
 
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = frames.select("video_id", "frame_idx", *inputs).repartition(parts, "video_id").sortWithinPartitions("video_id", "frame_idx")
+    return ordered.mapInPandas(run, "video_id bigint, frame_idx bigint, center int")
 
-def fold_person(centers: np.ndarray, width: int, config: TrackConfig = TrackConfig()) -> Iterator[int]:
-    """The person tracker: it starts at the first centre; without one it takes the last position, or the middle if that is 0 or unset."""
-    at: int | None = None
-    for c in centers:
-        now = float(c) if c is not None and c == c else float(at or width // 2)
-        at = smoothed(now, now if at is None else at, config.alpha, config.deadzone, config.max_jump)
-        yield at
+
+def crop_track(frames: DataFrame, frame_width: int, config: CropConfig = CropConfig()) -> DataFrame:
+    """video_id, frame_idx, center, left of every frame (with cand, scene)."""
+    middle = frame_width // 2
+    track = _folded(frames.withColumn("cand", F.col("cand").cast("double")), ["cand", "scene"], lambda c, cut, at: step_track(c, cut, at, middle, config))
+    return track.withColumn("left", crop_left(F.col("center"), F.lit(frame_width), config.target_width))
 
 
 def person_track(frames: DataFrame, width: int, config: TrackConfig = TrackConfig()) -> DataFrame:
     """video_id, frame_idx, center of every frame (with center_x, null without a person)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        out = list(fold_person(pdf["center_x"].to_numpy(float, na_value=np.nan), width, config))
-        return pd.DataFrame({"video_id": pdf["video_id"], "frame_idx": pdf["frame_idx"], "center": np.array(out, "int32")})
-
-    return frames.select("video_id", "frame_idx", F.col("center_x").cast("double").alias("center_x")).groupBy("video_id").applyInPandas(run, "video_id bigint, frame_idx bigint, center int")
+    return _folded(frames.withColumn("center_x", F.col("center_x").cast("double")), ["center_x"], lambda c, at: step_person(c, at, width, config))
