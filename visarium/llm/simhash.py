@@ -17,6 +17,7 @@ others but never names a component unless all are null; repeated rows all come b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -75,17 +76,16 @@ class Covering:
 
     def __init__(self, threshold: int = THRESHOLD):
         self.threshold = threshold
-        x = np.arange(1 << HALF, dtype=np.int64)
-        syn = self.syndrome(x)
-        weight = np.bitwise_count(x).astype(np.int64)
-        near = np.flatnonzero(weight <= 3 + threshold)
-        near = near[np.lexsort((near, weight[near], syn[near]))]
-        self.error, self.excess = near, np.maximum(0, weight[near] - 3)
-        self.first = np.searchsorted(syn[near], np.arange(1 << 11))
+        near = np.array([sum(1 << b for b in bits) for w in range(4 + threshold) for bits in combinations(range(HALF), w)], np.int64)
+        syn, weight = self.syndrome(near), np.bitwise_count(near).astype(np.int64)
+        order = np.lexsort((near, weight, syn))
+        near, syn, weight = near[order], syn[order], weight[order]
+        self.error, self.excess = near, np.maximum(0, weight - 3)
+        self.first = np.searchsorted(syn, np.arange(1 << 11))
         # Patterns of a syndrome are sorted by excess: how many there are up to each excess.
         self.upto = np.zeros((threshold + 1, 1 << 11), np.int64)
         for t in range(threshold + 1):
-            self.upto[t] = np.bincount(syn[near[self.excess <= t]], minlength=1 << 11)
+            self.upto[t] = np.bincount(syn[self.excess <= t], minlength=1 << 11)
 
     @staticmethod
     def syndrome(x: np.ndarray) -> np.ndarray:
