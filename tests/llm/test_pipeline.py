@@ -60,3 +60,14 @@ def test_pipeline(spark, tmp_path):
 def test_empty(spark, tmp_path, k):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.STAGES[k][1](spark, spark.createDataFrame([], SCHEMA), str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_repeated_rows(spark, tmp_path):
+    """Filters return every column as it came, whatever its name, and one of rows that are the same."""
+    names = "uid digest verify node span best n shard _key _row _gone fp keep fold a b".split()
+    rows = [(k, t, "en", *([k] * len(names))) for k, t in [(1, "ab cd ef"), (1, "ab cd ef"), (2, "AB cd ef"), (3, "other words here"), (4, None), (5, "")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} long" for n in names))
+    spark.createDataFrame([(1, "other words here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = [sorted(r.doc_id for r in out.collect()) for k in range(4) for out in [cp.STAGES[k][1](spark, docs, str(tmp_path))] if out.columns == docs.columns]
+    assert kept == [[1, 1, 2, 3], [2, 3, 5], [1, 3, 4], [1, 1, 2, 4, 5]]
+    assert {r.doc_id for r in cp.STAGES[4][1](spark, docs, str(tmp_path)).collect()} == {1, 2, 3, 4, 5}

@@ -34,6 +34,8 @@ SHINGLE, THRESHOLD, SEED = 3, 2, 42
 GOLAY, HALF = 0b110001110101, 23
 #: Above so many homes in an anchor, and hashes held of one text at a time.
 MANY_HOMES, HASHES = 512, 1 << 20
+#: The column that a filter adds for a while beside those that come in.
+ROW = "__visarium_row"
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -243,7 +245,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, threshold: int = T
     The documents are written once with a number for each row, by which the rows that go are told; repeated doc_ids
     are rows like any other.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    fps = stored(fingerprints(rows.select(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("both"), F.col(text_col).alias("text")), shingle, "both").select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.row").alias("uid"), "fp"), "fingerprints")
-    gone = stored(fps.join(_classes(fps, threshold), "fp").filter("keep <> uid").select(F.col("uid").alias("_row")), "gone")
-    return rows.join(gone, "_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "documents")
+    fps = stored(fingerprints(rows.select(F.struct(F.col(id_col).alias("id"), F.col(ROW).alias("row")).alias("both"), F.col(text_col).alias("text")), shingle, "both").select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.row").alias("uid"), "fp"), "fingerprints")
+    gone = stored(fps.join(_classes(fps, threshold), "fp").filter("keep <> uid").select(F.col("uid").alias(ROW)), "gone")
+    return rows.join(gone, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
