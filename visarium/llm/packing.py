@@ -3,8 +3,8 @@
 Each partition keeps OPEN windows. A document's ids (with the end id) first fill whole windows; what is left goes to the open
 window that it fills best. If none has room, the fullest window is filled up with the piece's beginning and emitted, and
 a new one opens. So a window leaves a partition full, and pieces are cut only when nothing fits. At the end
-the open windows of MERGE partitions are packed together, the same way, and again until few are left; only the
-last windows of the last round are padded.
+the open windows of MERGE partitions are poured together into full windows and one that stays open, and those of MERGE
+such groups again, until MERGE or fewer are left; only the last window is padded.
 
 Defined results: null text is a document of the end id alone; null doc_id is carried as it is; repeated rows are
 packed each; an empty table gives no sequences; further columns are not read.
@@ -27,7 +27,7 @@ from visarium.llm.chunks import encoder
 from visarium.llm.tables import stored
 
 #: Tokens of a window, windows open at a time, partitions whose leftovers are merged in one task.
-WINDOW, OPEN, MERGE = 1024, 32, 32
+WINDOW, OPEN, MERGE = 1024, 32, 8
 
 PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("seq", pa.int64()), ("offset", pa.int64()), ("part", pa.int64()), ("ids", pa.binary())]
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, seq bigint, offset bigint, part bigint, ids binary"
@@ -99,11 +99,11 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, PIECE, strict=True)], names=[n for n, _ in PIECE])
 
 
-def _merge_group(window: int, open_windows: int, last: bool):
+def _merge_group(window: int, last: bool):
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         """Leftover pieces of some partitions in one stream: windows are filled by cutting, the last stays open."""
         pdf = pdf.sort_values(["part", "seq", "offset"], ascending=[True, False, True])
-        out = Packer(int(pdf["part"].min()), window, 1 if last else open_windows)
+        out = Packer(int(pdf["part"].min()), window, 1)
         for doc, start, n, ids, total in zip(pdf["doc_id"], pdf["start"], pdf["length"], pdf["ids"], pdf["doc_tokens"], strict=True):
             out.place(None if pd.isna(doc) else int(doc), int(start), np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4"), int(total))
         if last:
@@ -149,7 +149,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDO
         parts *= merge
         last = left <= merge
         group = F.floor(F.col("part") / parts)
-        merged = stored(open_.groupBy(group.alias("g")).applyInPandas(_merge_group(window, open_windows, last), SCHEMA), "merged")
+        merged = stored(open_.groupBy(group.alias("g")).applyInPandas(_merge_group(window, last), SCHEMA), "merged")
         done.append(merged.filter("seq >= 0").withColumn("turn", F.lit(turn)))
         open_ = merged.filter("seq < 0")
         left = 0 if last else open_.agg(F.countDistinct("part")).first()[0]
