@@ -1,30 +1,5 @@
-"""Tables that cut a lineage: written once to the folder that every executor shares, then read back."""
+"""Tables that cut a lineage, as everywhere in the engine."""
 
-from __future__ import annotations
+from visarium.tables import shared_dir, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where a session (a test's) names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="visarium-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """The same rows, read back from Parquet in the shared folder: a lost executor costs no recomputation, and the
-    planner knows the table's true size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/visarium/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "stored"]
