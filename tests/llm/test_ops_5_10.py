@@ -285,3 +285,23 @@ def test_toxicity_held_out(spark):
     assert by[1002].predicted == 1 and by[None].predicted == 1 and by[1003].predicted == 0 and by[1000].score == by[1001].score
     assert toxicity(frame(spark, []), labels).count() == 0
     assert {r.score for r in toxicity(frame(spark, rows[:20]), labels.filter("false")).collect()} == {0.0}
+
+
+def test_toxicity_beyond_the_bound(spark):
+    """Longer strings set the classes apart at every size: a model beyond the bound gives the scores of one within it."""
+    rng = random.Random(9)
+    rows, marks = [], []
+    for k in range(300):
+        w = ["".join(rng.choices("abcdef", k=rng.randint(1, 9))) for _ in range(rng.randint(3, 40))]
+        w += ["qwrxzab" if k % 3 == 0 else "rwqxzab"] * 2  # apart by a byte five before the last
+        rows.append((k, " ".join(w)))
+        marks.append((k, int(k % 3 == 0)))
+    rows += [(1000, None), (1001, "12 34"), (None, "qwrxzab"), (1, rows[1][1]), (1002, "日本 ÿ zzzz")]
+    docs, labels = frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    key = lambda r: (str(r.doc_id), r.held_out, r.score)
+    near, far = (sorted(toxicity(docs, labels, most=m).collect(), key=key) for m in (6_000_000, 10))
+    assert len(near) == len(far) == len(rows)
+    assert [(r.doc_id, r.held_out, r.predicted) for r in near] == [(r.doc_id, r.held_out, r.predicted) for r in far]
+    assert [r.score for r in far] == pytest.approx([r.score for r in near], abs=1e-6)
+    short = {str(r.doc_id): r.score for r in toxicity(docs, labels, context=2).collect()}
+    assert max(abs(short[str(r.doc_id)] - r.score) for r in far) > 0.01  # a shorter context tells other scores

@@ -11,9 +11,10 @@ A text's figures are the difference of log-likelihoods per word: over all its wo
 STRETCH words, and over its most toxic stretch of different words. The counts take a word once from each document, so repeated lines don't weigh. A logistic function, fitted on a bounded sample of labelled rows (CALIBRATE of
 each class), turns them into the score: each sample row is scored by counts of the other fold only.
 
-The counts cover every labelled row with crc32(doc_id) mod 3 other than 1. They are summed by Spark; the table of
-distinct byte strings goes to the driver and the workers while it has at most GRAMS rows (24 bytes each), else a
-shorter context is used, whose table is smaller.
+The counts cover every labelled row with crc32(doc_id) mod 3 other than 1, at every size with the same context. They
+are summed by Spark; the table of distinct byte strings goes to the driver and the workers while it has at most GRAMS
+rows (24 bytes each). A larger one stays in the shared folder: the models are then tables too, and each step of
+texts is joined with the strings behind its own contexts. Both ways give the same scores.
 
 Defined results: null and wordless text has figures 0 and the score that follows; labels that are null are not read;
 of several labels of a doc_id the largest counts; null doc_id is not held out and never trains; without labels of both
@@ -22,17 +23,19 @@ classes every score is 0; repeated rows are scored each; empty tables give no ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visarium.llm.arrays import as_bytes, binary_array, lowered, runs, steps
 from visarium.llm.language import remainder
+from visarium.llm.tables import stored
 
 #: Bytes of context, words of a stretch, discount, threshold of `predicted`.
 CONTEXT, STRETCH, DISCOUNT, THRESHOLD = 5, 32, 0.75, 0.7
@@ -109,6 +112,17 @@ class Model:
         self.ratio = np.log(p[0] / p[1]).astype(np.float32)
         self.unseen = np.log(rest[0] / rest[1]).astype(np.float32)
 
+    @classmethod
+    def of(cls, keys: np.ndarray, ratio: np.ndarray, unseen: np.ndarray, context: int) -> Model:
+        """The part of a model that its strings with some of the contexts make; unseen: of each string's context."""
+        m = cls.__new__(cls)
+        order = np.argsort(keys)
+        m.context = context
+        m.keys, m.ratio = np.append(-1, keys[order]), np.append(np.float32(0), ratio[order])  # never empty
+        m.ctx, first = np.unique(m.keys >> 8, return_index=True)
+        m.unseen = np.append(np.float32(0), unseen[order])[first]
+        return m
+
     @staticmethod
     def _shared(keys: np.ndarray, context: int, discount: float = DISCOUNT) -> np.ndarray:
         """Backoff probability of each string's last byte after its context less the first byte: Kneser-Ney over both classes."""
@@ -214,27 +228,94 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, context: int = CONTEXT, most: int = GRAMS) -> tuple[Model, np.ndarray] | None:
-    """The model of all counts, and the weights of the score; None without rows of both classes."""
+def _model_table(table: DataFrame, n1: Column, n0: Column, context: int, discount: float = DISCOUNT) -> DataFrame:
+    """What Model holds, as a table of any size: gram, ctx, ratio, unseen. A context has 256 strings at most."""
+    keys = table.select("gram", n1.alias("n1"), n0.alias("n0")).filter("n1 + n0 > 0")
+    # The levels of Model._shared: the distinct strings of k bytes, and in how many of k + 1 bytes each ends.
+    levels = [keys.select(F.col("gram").alias("s"))]
+    for k in range(context, 0, -1):
+        levels.append(stored(levels[-1].groupBy(F.col("s").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("s")).agg(F.count("*").cast("double").alias("n")), "level"))
+    below = None
+    for k, level in enumerate(reversed(levels[1:])):  # strings of k + 1 bytes
+        of = Window.partitionBy(F.shiftright("s", 8))
+        sums = level.withColumn("total", F.sum("n").over(of)).withColumn("kinds", F.count("*").over(of))
+        if below is None:
+            sums = sums.withColumn("below", F.lit(1 / 256))
+        else:
+            sums = sums.withColumn("end", F.col("s").bitwiseAND(F.lit((1 << (8 * k)) - 1))).join(below, "end")
+        p = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total") + discount * (F.col("kinds") / F.col("total")) * F.col("below")
+        below = sums.select(F.col("s").alias("end"), p.alias("below"))
+    of = Window.partitionBy("ctx")
+    rows = keys.withColumn("ctx", F.shiftright("gram", 8)).withColumn("end", F.col("gram").bitwiseAND(F.lit((1 << (8 * context)) - 1))).join(below, "end")
+    p, rest = [], []
+    for n in ("n1", "n0"):
+        total, kinds = F.sum(n).over(of), F.sum(F.when(F.col(n) > 0, 1).otherwise(0)).over(of)
+        left = F.when(total > 0, discount * kinds / F.greatest(total, F.lit(1))).otherwise(1.0)
+        own = F.when(total > 0, F.greatest(F.col(n) - discount, F.lit(0.0)) / F.greatest(total, F.lit(1))).otherwise(0.0)
+        p.append(own + left * F.col("below"))
+        rest.append(left)
+    return stored(rows.select("gram", "ctx", F.log(p[0] / p[1]).cast("float").alias("ratio"), F.log(rest[0] / rest[1]).cast("float").alias("unseen")), "model")
+
+
+def _by_join(rows: DataFrame, model: DataFrame, context: int, out: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """out of rows (with a column text) and their figures, by a model that is a table. A step asks once for each context."""
+    few = rows.columns
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        for k, (part, _, _) in enumerate(steps(batches)):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, first + k, np.int64))], [*few, "step"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offs in steps(batches):
+            step = part.column("step").to_numpy()
+            cut = np.concatenate([np.flatnonzero(np.diff(step, prepend=-1)), [len(step)]])
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                own, ends, _, _ = words_of(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                ctx = np.unique(grams(own, ends, context)[0] >> 8)
+                yield pa.RecordBatch.from_pydict({"step": pa.array(np.full(len(ctx), step[a])), "ctx": pa.array(ctx)})
+
+    def answer(part: pa.Table, near: pa.Table) -> pa.Table:
+        gram, first = np.unique(near.column("gram").to_numpy(), return_index=True)  # a step that was read in two pieces asks twice
+        m = Model.of(gram, near.column("ratio").to_numpy()[first], near.column("unseen").to_numpy()[first], context)
+        return out(part, m.figures(*as_bytes(part.column("text"))))
+
+    placed = stored(rows.mapInArrow(number, rows.withColumn("step", F.lit(0).cast("long")).schema), "steps")
+    near = placed.select("step", "text").mapInArrow(ask, "step bigint, ctx bigint").join(model, "ctx").select("step", "gram", "ratio", "unseen")
+    return placed.groupBy("step").cogroup(near.groupBy("step")).applyInArrow(answer, schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame, context: int = CONTEXT, most: int = GRAMS) -> tuple[Model | DataFrame, np.ndarray] | None:
+    """The model of all counts, as a table if it has more than so many strings, and the weights of the score; None without
+    rows of both classes."""
     rows = labelled(docs, labels)
-    table = counts(rows, context).limit(most + 1).toArrow()  # one row more shows that the bound is passed
-    while table.num_rows > most:
-        context -= 1
-        table = counts(rows, context).limit(most + 1).toArrow()
-    c = {k: table.column(k).to_numpy() for k in ("gram", "t0", "t2", "o0", "o2")}
-    if not (c["t0"] + c["t2"]).any() or not (c["o0"] + c["o2"]).any():
+    table = stored(counts(rows, context), "grams")
+    toxic, plain, *by_fold = table.agg(*(F.sum(F.expr(x)) for x in ("t0 + t2", "o0 + o2", "t0 + o0", "t2 + o2"))).first()
+    if not toxic or not plain:
         return None
+    # The sample is drawn by a hash of doc_id; its bound holds for either class, whatever the corpus' size.
+    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20))
+    bound = lambda k: int(min(1, CALIBRATE / max(sizes.get(k, 1), 1)) * (1 << 20)) + 1
+    sample = rows.filter(draw < F.when(F.col("toxic") > 0, bound(1)).otherwise(bound(0))).select("text", F.col("toxic").cast("int").alias("toxic"), F.col("fold").cast("int").alias("fold"))
+    kind = "a double, b double, c double, toxic int"
+    if table.count() > most:
+        whole = _model_table(table, F.col("t0") + F.col("t2"), F.col("o0") + F.col("o2"), context)
+        out = lambda part, x: pa.table({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "toxic": part.column("toxic")})
+        found = None
+        for fold, other, n in ((0, "2", by_fold[1]), (2, "0", by_fold[0])):
+            part = _model_table(table, F.col(f"t{other}"), F.col(f"o{other}"), context) if n else whole
+            scored = _by_join(sample.filter(F.col("fold") == fold), part, context, out, kind)
+            found = scored if found is None else found.unionAll(scored)
+        return whole, _weights(found.toArrow())
+    table = table.toArrow()
+    c = {k: table.column(k).to_numpy() for k in ("gram", "t0", "t2", "o0", "o2")}
     whole = Model(c["gram"], c["t0"] + c["t2"], c["o0"] + c["o2"], context)
     parts = {}
     for fold, other in ((0, "2"), (2, "0")):
         seen = (c[f"t{other}"] + c[f"o{other}"]) > 0
         parts[fold] = Model(c["gram"][seen], c[f"t{other}"][seen], c[f"o{other}"][seen], context) if seen.any() else whole
     sent = docs.sparkSession.sparkContext.broadcast(parts)
-    # The sample is drawn by a hash of doc_id; its bound holds for either class, whatever the corpus' size.
-    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20))
-    bound = lambda k: int(min(1, CALIBRATE / max(sizes.get(k, 1), 1)) * (1 << 20)) + 1
-    sample = rows.filter(draw < F.when(F.col("toxic") > 0, bound(1)).otherwise(bound(0))).select("text", F.col("toxic").cast("int").alias("toxic"), F.col("fold").cast("int").alias("fold"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in steps(batches):
@@ -242,16 +323,32 @@ def fit(docs: DataFrame, labels: DataFrame, context: int = CONTEXT, most: int =
             x = np.where((fold == 0)[:, None], sent.value[0].figures(data, offs), sent.value[2].figures(data, offs))
             yield pa.RecordBatch.from_pydict({"a": pa.array(x[:, 0]), "b": pa.array(x[:, 1]), "c": pa.array(x[:, 2]), "toxic": part.column("toxic")})
 
-    seen = sample.mapInArrow(scan, "a double, b double, c double, toxic int").toArrow()
+    return whole, _weights(sample.mapInArrow(scan, kind).toArrow())
+
+
+def _weights(seen: pa.Table) -> np.ndarray:
+    """The score's weights from the sample's figures and labels."""
     x, y = np.column_stack([seen.column("a"), seen.column("b"), seen.column("c")]), seen.column("toxic").to_numpy()
     order = np.lexsort((y, x[:, 2], x[:, 1], x[:, 0]))  # sums in one order, whichever task came first
-    return whole, _logistic(x[order], y[order])
+    return _logistic(x[order], y[order])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, most: int = GRAMS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, context))
+    fitted = fit(docs, labels, context, most)
     few = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(remainder(F.col(id_col)) == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    schema = f"doc_id {few.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int"
+
+    def columns(part: pa.RecordBatch | pa.Table, score: np.ndarray) -> dict:
+        return {"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))}
+
+    def scored(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x @ w[:3] + w[3], -30, 30)))
+
+    if fitted is not None and isinstance(fitted[0], DataFrame):
+        model, weights = fitted
+        return _by_join(few, model, context, lambda part, x: pa.table(columns(part, scored(x, weights))), schema)
+    sent = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in steps(batches):
@@ -259,7 +356,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
                 score = np.zeros(part.num_rows)
             else:
                 model, w = sent.value
-                score = 1 / (1 + np.exp(-np.clip(model.figures(data, offs) @ w[:3] + w[3], -30, 30)))
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
+                score = scored(model.figures(data, offs), w)
+            yield pa.RecordBatch.from_pydict(columns(part, score))
 
-    return few.mapInArrow(scan, f"doc_id {few.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return few.mapInArrow(scan, schema)
