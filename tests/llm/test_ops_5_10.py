@@ -244,6 +244,17 @@ def test_contamination_longest_and_empty(spark, bench_rows):
     assert [r.doc_id for r in kept.collect()] == [2] and kept.columns == ["doc_id", "text", "n", "digest"]
 
 
+def test_drop_contaminated_by_rows_at_every_size(spark):
+    """Rows are decided one by one, however large the benchmark: those that share an id with a contaminated one stay."""
+    item = " ".join(f"w{k}" for k in range(15))
+    rows = [(1, item), (1, "a clean text"), (None, item), (None, "another clean text"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, body string")
+    bench = spark.createDataFrame([(7, item), (8, "some other item")], "item_id long, text string")
+    for block in (1 << 20, 20):
+        kept = drop_contaminated(docs, bench, text_col="body", block_bytes=block)
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
 # Toxicity
 
 

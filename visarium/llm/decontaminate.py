@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visarium.llm.arrays import runs, steps
+from visarium.llm.simhash import ROW
 from visarium.llm.tables import stored
 
 #: Words of a window; the benchmark text that is looked up at once.
@@ -320,13 +322,18 @@ def _by_blocks(few: DataFrame, blocks: list, window: int, share: int) -> DataFra
     return rows.select("uid", "doc_id").join(out, "uid").select(F.col("doc_id").cast(kind).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, text_col: str = "text") -> DataFrame:
-    """The documents that are not contaminated, all columns as they came: decided where a document is read."""
-    sent_blocks = list(_blocks(benchmark, "item_id", "text", BLOCK_BYTES))
-    kept = docs
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that are not contaminated, all columns as they came: decided where a document is read.
+
+    For a benchmark beyond one block the documents are written once with a number for each row, by which the rows that
+    go are told; null and repeated doc_ids are rows like any other.
+    """
+    sent_blocks = list(islice(_blocks(benchmark, "item_id", "text", block_bytes), 2))
     if len(sent_blocks) > 1:
-        bad = contamination(docs, benchmark, window, share).filter("contaminated").select(F.col("doc_id").alias("__visarium_bad")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__visarium_bad")), "left_anti")
+        rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "documents")
+        found = contamination(rows, benchmark, window, share, id_col=ROW, text_col=text_col, block_bytes=block_bytes)
+        gone = stored(found.filter("contaminated").select(F.col("doc_id").alias(ROW)), "gone")
+        return rows.join(gone, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     sent = docs.sparkSession.sparkContext.broadcast(sent_blocks[0])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,4 +343,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             n_hit = covered(first, last, before)
             yield part.filter(pa.array(~((n_hit > 0) & (share * n_hit >= np.diff(before)))))
 
-    return kept.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(scan, docs.schema)
