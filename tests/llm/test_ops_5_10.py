@@ -255,6 +255,16 @@ def test_drop_contaminated_by_rows_at_every_size(spark):
         assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
 
 
+def test_longest_matches_beyond_one_block(spark, bench_rows):
+    """A benchmark in several blocks gives the same matches as in one."""
+    docs, items = bench_rows
+    words = [f"w{k}" for k in range(30)]
+    docs = [*docs, (9001, "a b " + " ".join(words[5:25]) + " c"), (9001, " ".join(words[:14])), (None, " ".join(words))]
+    bench = spark.createDataFrame([*items, (9007, " ".join(words)), (9008, " ".join(words[3:20])), (9007, " ".join(words[8:]))], "item_id long, text string").coalesce(1)
+    one, more = (sorted((str(r.doc_id), r.n_words, r.n_hit, [tuple(m) for m in r.matches]) for r in contamination(frame(spark, docs), bench, longest=True, block_bytes=b).collect()) for b in (1 << 26, 200))
+    assert one == more and any(("9007", 2, 5, 20) in r[3] and len(r[3]) == 3 for r in more) and any(not r[3] for r in more)
+
+
 # Toxicity
 
 

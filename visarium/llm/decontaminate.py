@@ -18,8 +18,8 @@ clean rows; further columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -220,8 +220,10 @@ def shard_hits(bench: Benchmark, data: np.ndarray, offs: np.ndarray, longest: bo
             end, stop, dstop = n, bench.before[i + 1], before[d + 1]
             while w + end < stop and f + end < dstop and low[data[starts[f + end] : ends[f + end]]].tobytes() == bench.words[w + end]:
                 end += 1
-            if end > best.get((d, i), (0, 0, 0))[2]:
-                best[d, i] = (int(f - before[d]), int(w - bench.before[i]), int(end))
+            here = (int(f - before[d]), int(w - bench.before[i]), int(end))
+            was = best.setdefault((d, i), here)
+            if (-end, *here[:2]) < (-was[2], *was[:2]):  # of equal ones the first in the document, then in the item
+                best[d, i] = here
     return before, first, last, item, [(d, i, *x) for (d, i), x in best.items()]
 
 
@@ -258,10 +260,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     the longest verbatim match with each item and where it lies."""
     spark = docs.sparkSession
     few = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = list(_blocks(benchmark, item_col, "text", block_bytes))
-    if len(blocks) > 1:
-        return _by_blocks(few, blocks, window, share)
-    sent = spark.sparkContext.broadcast(blocks[0])
+    blocks = _blocks(benchmark, item_col, "text", block_bytes)
+    some = list(islice(blocks, 2))
+    if len(some) > 1:
+        return _by_blocks(few, chain(some, blocks), window, share, longest)
+    sent = spark.sparkContext.broadcast(some[0])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Benchmark(sent.value, window)
@@ -280,36 +283,52 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                 "contaminated": pa.array((n_hit > 0) & (share * n_hit >= n_words)),
             }
             if longest:
-                at: dict[int, list] = {}
-                for d, i, f, w, n in best:
-                    at.setdefault(int(d), []).append({"item_id": bench.ids[i], "doc_word": f, "item_word": w, "n_words": n})
-                kind = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))
-                cols["matches"] = pa.array([at.get(d, []) for d in range(len(n_words))], kind)
+                cols["matches"] = _matches(bench, best, len(n_words))
             yield pa.RecordBatch.from_pydict(cols)
 
     kind = few.schema["doc_id"].dataType.simpleString()
     return few.mapInArrow(scan, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" + f", matches {MATCH}" * longest)
 
 
-def _by_blocks(few: DataFrame, blocks: list, window: int, share: int) -> DataFrame:
-    """A benchmark beyond one block: hits of all blocks, as stretches of words, meet by row."""
+def _matches(bench: Benchmark, best: list, n: int) -> pa.Array:
+    """The longest matches of each of n documents."""
+    at: dict[int, list] = {}
+    for d, i, f, w, words in best:
+        at.setdefault(int(d), []).append({"item_id": bench.ids[i], "doc_word": f, "item_word": w, "n_words": words})
+    kind = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))
+    return pa.array([at.get(d, []) for d in range(n)], kind)
+
+
+def _by_blocks(few: DataFrame, blocks: Iterable[list], window: int, share: int, longest: bool = False) -> DataFrame:
+    """A benchmark beyond one block: hits of all blocks, as stretches of words, meet by row. A block's hits are written before
+    the next block is read. An item lies in one block, and so does its longest match."""
     spark = few.sparkSession
     kind = few.schema["doc_id"].dataType.simpleString()
     rows = stored(few.withColumn("uid", F.monotonically_increasing_id()), "rows")
     parts = []
-    for block in blocks:
+    for number, block in enumerate(blocks):
         sent = spark.sparkContext.broadcast(block)
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(sent.value, window)
             for part, data, offs in steps(batches):
-                before, first, last, item, _ = shard_hits(bench, data, offs)
+                before, first, last, item, best = shard_hits(bench, data, offs, longest)
                 doc = np.searchsorted(before, first, "right") - 1
                 uid = part.column("uid").to_numpy()
-                # One row per word stretch and item, and one without for each document's length.
-                yield pa.RecordBatch.from_pydict({"uid": pa.array(np.concatenate([uid, uid[doc]])), "n_words": pa.array(np.concatenate([np.diff(before), np.diff(before)[doc]])), "a": pa.array(np.concatenate([np.zeros(len(uid), np.int64), first - before[doc]])), "b": pa.array(np.concatenate([np.zeros(len(uid), np.int64), last - before[doc]])), "item": pa.array([None] * len(uid) + [bench.ids[i] for i in item], pa.string())})
-
-        parts.append(rows.mapInArrow(scan, "uid bigint, n_words bigint, a bigint, b bigint, item string"))
+                # One row per word stretch and item, and one without for each document's length and matches.
+                n, none = np.diff(before), np.zeros(len(uid), np.int64)
+                cols = {
+                    "uid": pa.array(np.concatenate([uid, uid[doc]])), "n_words": pa.array(np.concatenate([n, n[doc]])),
+                    "a": pa.array(np.concatenate([none, first - before[doc]])), "b": pa.array(np.concatenate([none, last - before[doc]])),
+                    "item": pa.array([None] * len(uid) + [bench.ids[i] for i in item], pa.string()),
+                }
+                if longest:
+                    found = _matches(bench, best, len(uid))
+                    cols |= {"block": pa.array(np.full(len(uid) + len(doc), number)), "matches": pa.concat_arrays([found, pa.nulls(len(doc), found.type)])}
+                yield pa.RecordBatch.from_pydict(cols)
+
+        parts.append(stored(rows.mapInArrow(scan, "uid bigint, n_words bigint, a bigint, b bigint, item string" + f", block bigint, matches {MATCH}" * longest), "hits"))
+        sent.destroy()
     union = parts[0]
     for p in parts[1:]:
         union = union.unionAll(p)
@@ -319,7 +338,11 @@ def _by_blocks(few: DataFrame, blocks: list, window: int, share: int) -> DataFra
     stretch = union.groupBy("uid", "a", "b").agg(F.max("n_words").alias("n_words"), F.collect_set("item").alias("items"))
     merged = stretch.withColumn("done", F.coalesce(F.max("b").over(before), F.lit(0))).withColumn("new", F.greatest(F.lit(0), F.col("b") - F.greatest("a", "done")))
     out = merged.groupBy("uid").agg(F.max("n_words").alias("n_words"), F.sum("new").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return rows.select("uid", "doc_id").join(out, "uid").select(F.col("doc_id").cast(kind).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    own = rows.select("uid", "doc_id").join(out, "uid")
+    if longest:
+        lists = union.filter(F.size("matches") > 0).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("block", "matches"))).alias("lists"))
+        own = own.join(lists.select("uid", F.flatten("lists.matches").alias("matches")), "uid", "left")
+    return own.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *([F.coalesce("matches", F.array().cast(MATCH)).alias("matches")] if longest else []))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
