@@ -24,7 +24,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id."""
+    """Of each group of near copies, the document with the smallest doc_id. Near copies are op2_simhash's: fingerprints of
+    3-word shingles within 2 of 64 bits, not a Jaccard similarity; README.md says how many others stay."""
     return drop_near_copies(docs)
 
 
