@@ -230,6 +230,14 @@ def test_regroup(spark):
         rc.regroup(people(spark, rows), "other")
     alone, _ = rc.regroup(people(spark, [rows[2], rows[3]]))
     assert {r.cluster for r in alone.collect()} == {"person_000"}
+    lost, _ = rc.regroup(people(spark, [*rows, (6, None, [1.0, 0.01], 1.0, 0.0), (7, None, [-1.0, 0.0], 1.0, 0.0)]))
+    assert {r.face_id: r.cluster for r in lost.collect() if r.face_id > 5} == {6: "person_000", 7: "unknown"}
+
+
+def test_folder_similarity_takes_the_first_face_whatever_its_quality(spark):
+    faces = people(spark, [(1, "a", [1.0, 0.0], 0.0, 0.0), (2, "b", [1.0, 0.0], 0.0, 0.0)])
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string")
+    assert sorted((r.b, r.sim) for r in rc.cluster_similarity(faces, pairs).collect()) == [("b", 1.0), ("c", 0.0)]
 
 
 def test_overlap_is_strict(spark):

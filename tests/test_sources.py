@@ -7,8 +7,11 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from visarium import tables
 from visarium.functions.geometry import CropConfig
 from visarium.operators import detect, frames as fr, track
 from visarium.plans import pipelines as pl
@@ -23,6 +26,10 @@ def png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
 
 
+def two_bytes(content):
+    return (content[0], content[1], 1, content[2:]) if content else None
+
+
 def decoder(path, start, stop):
     for k in range(start, stop):
         yield k, 2, 2, 3, bytes([k % 256] * 12)
@@ -82,6 +89,34 @@ def test_tasks_and_checkpoint(spark, tmp_path):
     assert writers.process_new(spark, tasks.limit(1), "frame_path", out, work).count() == 1
     assert writers.process_new(spark, tasks, "frame_path", out, work).count() == 3
     assert writers.process_new(spark, tasks, "frame_path", out, work).count() == 3
+    other = str(tmp_path / "other")
+    writers.process_new(spark, tasks.limit(1), "frame_path", other, lambda df: df.select(F.lit(1).alias("n")))
+    with pytest.raises(AnalysisException):  # results that lack the key are no first run
+        writers.process_new(spark, tasks, "frame_path", other, lambda df: df.select(F.lit(1).alias("n")))
+    assert spark.read.parquet(other).count() == 1
+
+
+def test_scope_deletes_its_tables(spark):
+    from pathlib import Path
+
+    folder = Path(tables.shared_dir(spark), "visarium")
+    before = set(folder.glob("*")) if folder.exists() else set()
+    with tables.scope(spark):
+        inner = tables.stored(spark.range(5), "inner")
+        with tables.scope(spark):
+            tables.stored(spark.range(7), "gone")
+            outer = tables.stored(inner.filter("id > 1"), "outer", keep=True)
+        assert outer.count() == 3 and not [p for p in folder.glob("gone-*") if p not in before]
+    assert set(folder.glob("*")) == before
+
+
+def test_images_beyond_sparks_decoder(spark, tmp_path):
+    (tmp_path / "a.webp").write_bytes(bytes([2, 1, 9, 9]))
+    (tmp_path / "b.webp").write_bytes(b"")
+    assert [r.name for r in readers.unreadable_images(spark, str(tmp_path)).orderBy("name").collect()] == ["a.webp", "b.webp"]
+    some = readers.read_images(spark, str(tmp_path), decoder="tests.test_sources:two_bytes").collect()
+    assert [(r.frame_name, r.image.height, r.image.width, r.image.data) for r in some] == [("a.webp", 2, 1, bytes([9, 9]))]
+    assert [r.name for r in readers.unreadable_images(spark, str(tmp_path), "tests.test_sources:two_bytes").collect()] == ["b.webp"]
 
 
 def test_crop_track_json(spark, tmp_path):

@@ -217,10 +217,10 @@ def name_seconds(spark, d):
 
 
 @query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS s FROM embeddings)
-    SELECT vec_id, round(e[1] / s, 6) AS first, round(e[64] / s, 6) AS last FROM n""")
+    SELECT vec_id, unnest(range(len(e))) AS pos, round(unnest(list_transform(e, lambda x: x / s)), 6) AS x FROM n""")
 def l2_normalise(spark, d):
-    n = v.table(spark, d, "embeddings").select("vec_id", vectors.l2_normalise(vectors.doubles(F.col("embedding"))).alias("n"))
-    return n.select("vec_id", F.round(F.element_at("n", 1), 6).alias("first"), F.round(F.element_at("n", 64), 6).alias("last"))
+    n = v.table(spark, d, "embeddings").select("vec_id", F.posexplode(vectors.l2_normalise(vectors.doubles(F.col("embedding")))).alias("pos", "x"))
+    return n.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
 
 
 _PAIRS = "FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id"
@@ -261,10 +261,10 @@ _SCALED = """parts AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_s
     scaled AS (SELECT vec_id, list((x - m) / s ORDER BY pos) AS z FROM parts JOIN st USING (pos) GROUP BY vec_id)"""
 
 
-@query(f"WITH {_SCALED} SELECT vec_id, round(z[1], 6) AS first, round(z[64], 6) AS last FROM scaled")
+@query(f"WITH {_SCALED} SELECT vec_id, unnest(range(len(z))) AS pos, round(unnest(z), 6) AS x FROM scaled")
 def standardise(spark, d):
-    s = vectors.standardise(v.table(spark, d, "embeddings"), "vec_id", "embedding")
-    return s.select("vec_id", F.round(F.element_at("scaled", 1), 6).alias("first"), F.round(F.element_at("scaled", 64), 6).alias("last"))
+    s = vectors.standardise(v.table(spark, d, "embeddings"), "vec_id", "embedding").select("vec_id", F.posexplode("scaled").alias("pos", "x"))
+    return s.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
 
 
 @query(f"WITH {_SCALED} SELECT a.vec_id AS src, b.vec_id AS dst, round(list_distance(a.z, b.z), 4) AS value FROM scaled a JOIN scaled b ON a.vec_id < b.vec_id WHERE list_distance(a.z, b.z) <= 9.5")
@@ -282,8 +282,13 @@ def _leader_sql(low: str) -> str:
 _LOW = "low AS (SELECT b.vec_id AS i, b.vec_id AS o, list(a.rk) FILTER (WHERE a.vec_id IS NOT NULL) AS nb FROM embeddings b LEFT JOIN (SELECT *, row_number() OVER (ORDER BY vec_id) AS rk FROM embeddings) a ON a.vec_id < b.vec_id AND {} GROUP BY ALL)"
 
 
-@query(_leader_sql(_LOW.format(f"list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {COS}")))
+@query(_leader_sql(_LOW.format(f"list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {COS}")))
 def leader_cosine(spark, d):
+    return pl.cosine_leaders(v.table(spark, d, "embeddings"), COS)
+
+
+@query(_leader_sql(_LOW.format(f"list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {COS}")))
+def leader_dot(spark, d):
     return pl.cosine_leaders(v.table(spark, d, "embeddings"), COS, metric="dot")
 
 
@@ -386,7 +391,7 @@ def temporal_jaccard(spark, d):
     return rc.time_overlap(v.timed(spark, d)).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query(_merge_sql(_JACCARD + """, best AS (SELECT cluster, arg_min(embedding, (-quality, face_id)) AS e FROM timed WHERE quality > 0 GROUP BY cluster)""",
+@query(_merge_sql(_JACCARD + """, best AS (SELECT cluster, arg_min(embedding, (-quality, face_id)) AS e FROM timed GROUP BY cluster)""",
     "SELECT jac.a, jac.b FROM jac JOIN best x ON x.cluster = jac.a JOIN best y ON y.cluster = jac.b WHERE jaccard > 0.3 AND list_cosine_similarity(x.e, y.e) >= 0.09", "timed"))
 def temporal_merge(spark, d):
     f = v.timed(spark, d)
@@ -531,7 +536,7 @@ def composite(spark, d):
 # Density
 
 
-_CORE = "core AS (SELECT vec_id, d AS core FROM (SELECT a.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS n FROM embeddings a CROSS JOIN embeddings b) WHERE n = 3)"
+_CORE = "core AS MATERIALIZED (SELECT vec_id, d AS core FROM (SELECT a.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS n FROM embeddings a CROSS JOIN embeddings b) WHERE n = 3)"
 
 
 @query(f"WITH {_CORE} SELECT vec_id, round(core, 6) AS core FROM core")
@@ -539,8 +544,8 @@ def core_distance(spark, d):
     return links.nearest_distances(v.table(spark, d, "embeddings"), 3).withColumn("core", F.round("core", 6))
 
 
-@query(f"""WITH {_CORE} SELECT a.vec_id AS src, b.vec_id AS dst, round(greatest(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), x.core, y.core), 6) AS value
-    {_PAIRS} JOIN core x ON x.vec_id = a.vec_id JOIN core y ON y.vec_id = b.vec_id WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= {EUCLID}""")
+@query(f"""WITH {_CORE}, near AS MATERIALIZED (SELECT src, dst, d FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d {_PAIRS}) WHERE d <= {EUCLID})
+    SELECT src, dst, round(greatest(d, x.core, y.core), 6) AS value FROM near JOIN core x ON x.vec_id = src JOIN core y ON y.vec_id = dst""")
 def mutual_reachability(spark, d):
     e = v.table(spark, d, "embeddings")
     core = links.nearest_distances(e, 3)

@@ -78,8 +78,9 @@ def time_overlap(faces: DataFrame, least: float = OVERLAP) -> DataFrame:
 
 
 def cluster_similarity(faces: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) with sim, the cosine of the two clusters' best faces; 0 where one has none. Gate first, compare then."""
-    best = faces.join(best_face(faces).select("face_id"), "face_id", "left_semi").select("cluster", doubles(F.col("embedding")).alias("v"))
+    """pairs (a, b) with sim, the cosine of the two clusters' first representatives, whatever their quality; 0 where one has
+    none. Gate first, compare then."""
+    best = top_reps(faces, 1).select("cluster", doubles(F.col("embedding")).alias("v"))
     full = pairs.join(best.toDF("a", "va"), "a", "left").join(best.toDF("b", "vb"), "b", "left")
     return full.withColumn("sim", F.coalesce(cosine(F.col("va"), F.col("vb")), F.lit(0.0))).drop("va", "vb")
 
@@ -143,10 +144,11 @@ def regroup(faces: DataFrame, method: str = "multiple_representatives", assign_t
     """Faces with reconciled clusters, and the run's figures.
 
     Known clusters merge and are numbered anew; faces of unknown clusters then go to the reconciled cluster that is most
-    similar, even if there is only one. Unknown methods are a ValueError."""
+    similar, even if there is only one. A face without a cluster (null) is unknown. Unknown methods are a ValueError."""
     if method not in STRATEGIES:
         raise ValueError(f"unknown method {method!r}; there are {', '.join(STRATEGIES)}")
     began = time.time()
+    faces = faces.withColumn("cluster", F.coalesce("cluster", F.lit("unknown"))).select(*faces.columns)
     known, unknown = faces.filter(~F.col("cluster").startswith("unknown")), faces.filter(F.col("cluster").startswith("unknown"))
     known = stored(known, "known")
     _, merges = STRATEGIES[method](known, **options)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -28,10 +30,37 @@ def read_files(spark: SparkSession, path: str, recursive: bool = False) -> DataF
     return _named(files, "path").filter(names.is_image(F.col("name")))
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """frame_name, image of the readable images of a folder; files that can't be read go."""
-    images = spark.read.format("image").option("dropInvalid", True).load(path)
-    return _named(images, "image.origin").select(F.col("name").alias("frame_name"), "image")
+def _decoded(spark: SparkSession, path: str, decoder: str | None) -> DataFrame:
+    """name, image of every image file of a folder by its extension; image is null where it cannot be read."""
+    if decoder is None:
+        found = _named(spark.read.format("image").load(path), "image.origin").filter(names.is_image(F.col("name")))
+        return found.select("name", F.when(F.col("image.height") > 0, F.col("image")).alias("image"))
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        module, _, fn = decoder.partition(":")
+        read = getattr(importlib.import_module(module), fn)
+        for pdf in batches:
+            rows = []
+            for origin, content in zip(pdf["path"], pdf["content"], strict=True):
+                got = read(content)
+                rows.append(None if got is None else (origin, got[0], got[1], got[2], 16 if got[2] == 3 else 0, got[3]))
+            yield pd.DataFrame({"name": pdf["name"], "image": pd.Series(rows, dtype=object)})
+
+    return read_files(spark, path).mapInPandas(decode, f"name string, image {IMAGE}")
+
+
+def read_images(spark: SparkSession, path: str, decoder: str | None = None) -> DataFrame:
+    """frame_name, image of the readable images of a folder.
+
+    Spark's own decoder knows bmp, gif, jpeg, png and tiff. For others (webp) decoder names a caller's
+    module:function(bytes) -> (height, width, channels, bytes) or None. What can't be read is in unreadable_images."""
+    return _decoded(spark, path, decoder).filter("image is not null").select(F.col("name").alias("frame_name"), "image")
+
+
+def unreadable_images(spark: SparkSession, path: str, decoder: str | None = None) -> DataFrame:
+    """name of the image files (by extension) of a folder that read_images leaves out."""
+    files = read_files(spark, path).select("name")  # Spark's image source itself passes over empty files
+    return files.join(read_images(spark, path, decoder).select(F.col("frame_name").alias("name")), "name", "left_anti")
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
@@ -95,8 +124,6 @@ class _FrameReader(DataSourceReader):
         return [_Stretch(k, min(n, k + step)) for k in range(0, n, step)]
 
     def read(self, partition: _Stretch) -> Iterator[tuple]:
-        import importlib
-
         module, _, fn = self.o["decoder"].partition(":")
         fps, every = float(self.o.get("fps", 25)), int(self.o.get("every", 1))
         for k, h, w, c, data in getattr(importlib.import_module(module), fn)(self.o["path"], partition.start, partition.stop):
@@ -106,8 +133,8 @@ class _FrameReader(DataSourceReader):
 
 
 def read_source(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Frames of a folder of images, or of a video if a decoder is given."""
-    if "decoder" in options:
+    """Frames of a video if count (its frames) and a decoder are given, else of a folder of images."""
+    if "count" in options:
         spark.dataSource.register(FrameSource)
         return spark.read.format("frames").options(path=path, **options).load()
-    return read_images(spark, path)
+    return read_images(spark, path, **options)

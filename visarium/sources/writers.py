@@ -44,13 +44,18 @@ def write_binary_files(files: DataFrame, folder: str) -> None:
 
 
 def process_new(spark: SparkSession, tasks: DataFrame, key: str, path: str, work) -> DataFrame:
-    """Runs work on the tasks that have no result yet and appends theirs; the results so far are the checkpoint."""
+    """Runs work on the tasks that have no result yet and appends theirs; the results so far are the checkpoint.
+
+    Results that lack the key, or cannot be read, are an error: only where nothing is stored yet are all tasks run."""
     from pyspark.errors import AnalysisException
 
     try:
-        done = spark.read.parquet(path).select(key)
-        tasks = tasks.join(done, key, "left_anti")
-    except AnalysisException:  # the first run: nothing is there
-        pass
+        done = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        done = None
+    if done is not None:
+        tasks = tasks.join(done.select(key), key, "left_anti")
     work(tasks).write.mode("append").parquet(path)
     return spark.read.parquet(path)

@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths stored within each open scope, the innermost last.
+_SCOPES: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local one only where a session (a test's) names none."""
@@ -22,10 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder: a lost executor costs no recomputation, and the
-    planner knows the table's true size."""
+    planner knows the table's true size. Within a scope the table goes with it; with keep it goes with the scope around."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/visarium/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if len(_SCOPES) > keep:
+        _SCOPES[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables stored inside when it ends. What is read from them must be written before, by stored(keep=True)
+    or by the caller; tables stored outside any scope stay, since their readers run later."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
