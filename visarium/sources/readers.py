@@ -58,8 +58,8 @@ def read_images(spark: SparkSession, path: str, decoder: str | None = None) -> D
 
 
 def unreadable_images(spark: SparkSession, path: str, decoder: str | None = None) -> DataFrame:
-    """name of the image files (by extension) of a folder that read_images leaves out."""
-    files = read_files(spark, path).select("name")  # Spark's image source itself passes over empty files
+    """name of the image files (by extension) of a folder that read_images leaves out; Spark lists no empty files."""
+    files = read_files(spark, path).select("name")
     return files.join(read_images(spark, path, decoder).select(F.col("frame_name").alias("name")), "name", "left_anti")
 
 
