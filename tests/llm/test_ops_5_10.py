@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tests.llm.test_ops_1_4 import ODD, frame, lower, texts
 from visarium.llm.arrays import as_bytes
 from visarium.llm.chunks import tokenizer_path
-from visarium.llm.decontaminate import contamination, drop_contaminated
+from visarium.llm.decontaminate import Benchmark, SuffixArray, contamination, drop_contaminated, shard_hits, word_hashes
 from visarium.llm.gru import BiGRU
 from visarium.llm.language import drop_unidentified, languages, units
 from visarium.llm.piece_counts import PieceCounter, token_counts
@@ -235,7 +235,7 @@ def test_contamination_longest_and_empty(spark, bench_rows):
     words = [f"w{k}" for k in range(30)]
     docs = [(1, "a b " + " ".join(words[5:25]) + " c"), (2, " ".join(words[:12]))]
     bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
-    got = {r.doc_id: r for r in contamination(frame(spark, docs), bench, longest=True).collect()}
+    got = {r.doc_id: r for r in contamination(frame(spark, docs), bench).collect()}
     assert [tuple(m) for m in got[1].matches] == [("7", 2, 5, 20)] and not got[2].matches
     none = contamination(frame(spark, docs), bench.filter("false")).collect()
     assert all(r.n_hit == 0 and not r.contaminated for r in none)
@@ -261,10 +261,74 @@ def test_longest_matches_beyond_one_block(spark, bench_rows):
     words = [f"w{k}" for k in range(30)]
     docs = [*docs, (9001, "a b " + " ".join(words[5:25]) + " c"), (9001, " ".join(words[:14])), (None, " ".join(words))]
     bench = spark.createDataFrame([*items, (9007, " ".join(words)), (9008, " ".join(words[3:20])), (9007, " ".join(words[8:]))], "item_id long, text string").coalesce(1)
-    one, more = (sorted((str(r.doc_id), r.n_words, r.n_hit, [tuple(m) for m in r.matches]) for r in contamination(frame(spark, docs), bench, longest=True, block_bytes=b).collect()) for b in (1 << 26, 200))
+    one, more = (sorted((str(r.doc_id), r.n_words, r.n_hit, [tuple(m) for m in r.matches]) for r in contamination(frame(spark, docs), bench, block_bytes=b).collect()) for b in (1 << 26, 200))
     assert one == more and any(("9007", 2, 5, 20) in r[3] and len(r[3]) == 3 for r in more) and any(not r[3] for r in more)
 
 
+def brute_longest(text, item, window=13):
+    """Of the matches that hold a window of the item: the longest, the first in the document, the first in the item."""
+    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t).encode())
+    a, b, best = words(text), words(item), None
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n >= min(window, len(b)) and (best is None or n > best[2]):
+                best = (i, j, n)
+    return best
+
+
+def test_longest_matches_by_brute_force(bench_rows):
+    docs, items = bench_rows
+    rng = random.Random(12)
+    some = [" ".join(rng.choices("abc", k=60)) for _ in range(12)]
+    docs = [*(t for _, t in docs), *some, "x " + some[3][:90] + " y", "W" * 70000 + " tail " + "v" * 70000]
+    items = [(k, t) for k, (_, t) in enumerate(items)] + [(100 + k, t[20:80]) for k, t in enumerate(some)] + [(200, "w" * 70000 + " tail"), (201, "é " * 13)]
+    bench = Benchmark([(str(i), t) for i, t in items])
+    for salt in (0, 1):  # another numbering of the words changes nothing
+        bench.salt = salt
+        if salt:
+            h = word_hashes(bench.low, np.concatenate([[0], np.cumsum([len((t or "").encode()) for _, t in items])]), salt)[0]
+            bench.vocab, at, code = np.unique(h, return_index=True, return_inverse=True)
+            bench.word_at, bench.word_size, bench.code = bench.word_at[bench.code - 1][at], bench.word_size[bench.code - 1][at], code + 1
+            bench.small[:] = True
+        _, _, (doc, item, *place) = shard_hits(bench, *as_bytes(pa.array(docs)))
+        got = {(d, i): tuple(x) for d, i, *x in zip(doc.tolist(), item.tolist(), *(x.tolist() for x in place), strict=True)}
+        assert got == {(d, i): m for d, t in enumerate(docs) for i, (_, x) in enumerate(items) if (m := brute_longest(t or "", x or ""))}
+
+
+def test_suffix_array_order():
+    rng = np.random.default_rng(3)
+    code = np.concatenate([rng.integers(0, 4, 300), np.tile(rng.integers(1, 4, 25), 8)])
+    before = np.array([0, 100, 100, 300, 400, 500])
+    sa = SuffixArray(code, before, 2, 40)
+    seq = sa.seq.tolist()
+
+    def suffix(at):
+        out = []
+        while seq[at] and len(out) < 40:
+            out.append(seq[at])
+            at += 1
+        return out
+
+    keys = [suffix(at) for at in sa.at.tolist()]
+    assert keys == sorted(keys) and sorted(sa.word[sa.at].tolist()) == np.flatnonzero(code).tolist()
+
+
+def test_contamination_of_texts_beyond_a_step(spark):
+    """Texts of more than one step, and many rows around them, are decided as alone; other columns' names do not matter."""
+    item = " ".join(f"w{k}" for k in range(20))
+    long = "filler words " * 400_000
+    rows = [(1, "short", 1), (2, long + item, 1), (3, item, 1), (4, long, 1), (5, item + " " + "z " * 400, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, body string, matches int").coalesce(1)
+    bench = spark.createDataFrame([(7, item)], "item_id long, passage string")
+    for block in (1 << 20, 10):
+        got = {r.doc_id: (r.n_words, r.n_hit, r.contaminated, [tuple(m) for m in r.matches]) for r in contamination(docs, bench, text_col="body", item_text_col="passage", block_bytes=block).collect()}
+        assert got == {1: (1, 0, False, []), 2: (800_020, 20, False, [("7", 800_000, 0, 20)]), 3: (20, 20, True, [("7", 0, 0, 20)]), 4: (800_000, 0, False, []), 5: (420, 20, False, [("7", 0, 0, 20)])}
+        assert sorted(r.doc_id for r in drop_contaminated(docs, bench, text_col="body", item_text_col="passage", block_bytes=block).collect()) == [1, 2, 4, 5]
+
+
 # Toxicity
 
 

@@ -1,37 +1,41 @@
 """Benchmark decontamination by suffix arrays over the training words.
 
-A step's documents are one shard: their words, in order, are a sequence of numbers (the word's rank among the
-benchmark's words, 0 for any other word and behind each document). The shard's suffix array orders the suffixes that
-can match at all - those that begin with a word pair of the benchmark, or a word where an item has only one -
-and every benchmark suffix is looked up in it by binary search. That gives all places of each window and, by walking
-on from there, the longest verbatim match and where it lies. A document is never split, so what it holds is known
-where it was read: no shuffle.
+A step's documents are one shard: their words, in order, are a sequence of numbers (the word's number among the
+benchmark's words, 0 for any other word and behind each document). The shard's suffix array orders every suffix that
+begins with a benchmark word, by as many words as the longest item has (a word that no item has ends a suffix: nothing
+matches across it). It is sorted by prefix doubling. Every suffix of every benchmark item is then looked up: binary
+searches narrow its stretch of the array word by word, down to its longest verbatim match. The stretch at the window's
+length has all places of the window; the stretches below it tell how far each place goes on matching. A document is
+never split, so what it holds is known where it was read: no shuffle.
 
 The benchmark is the stated query set. Up to BLOCK_BYTES of it are looked up at a time; a larger benchmark is
-taken in blocks, whose hits meet by document afterwards.
+taken in blocks, whose hits meet by row afterwards. A worker prepares a block once, not once a task.
 
 Defined results: null or wordless text has no words, no hits and is clean; a null or wordless item has no windows;
-of items that repeat an item_id each counts, the id once; a null item_id is not listed; empty tables give no rows, or
-clean rows; further columns are not read.
+of items that repeat an item_id each counts, the id once; a null item_id is not listed; of equally long matches with an
+item the first in the document counts, then the first in the item; empty tables give no rows, or clean rows; further
+columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visarium.llm.arrays import runs, steps
+from visarium.llm.arrays import runs, steps, take_ragged
 from visarium.llm.simhash import ROW
 from visarium.llm.tables import stored
 
 #: Words of a window; the benchmark text that is looked up at once.
-WINDOW, BLOCK_BYTES = 13, 64 << 20
+WINDOW, BLOCK_BYTES = 13, 16 << 20
 #: A document is contaminated when its hit words are this share of all, or more: 1 / SHARE.
 SHARE = 20
 
@@ -51,9 +55,8 @@ def _powers(n: int) -> np.ndarray:
 _POW = _powers(1 << 16)
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start, end of every word, and the number of words before each text."""
-    low = _LOWER[data]
+def word_hashes(low: np.ndarray, offs: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start, end of every word of lower-cased bytes, and the number of words before each text."""
     starts, ends = runs(_WORD[low], offs)
     before = np.searchsorted(starts, offs)
     if not len(starts):
@@ -62,10 +65,10 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     mixed = np.zeros(len(starts), np.uint64)
     if lens.max() >= len(_POW):  # words of 64 KB and more: one by one
         for k in np.flatnonzero(lens >= len(_POW)):
-            mixed[k] = int.from_bytes(hashlib.blake2b(low[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+            mixed[k] = int.from_bytes(hashlib.blake2b(low[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little") ^ salt
     # Column by column: position j of all words that are longer than j.
     alive = np.flatnonzero(lens < len(_POW))
-    h = np.full(len(alive), 0xCBF29CE484222325, np.uint64)
+    h = np.full(len(alive), 0xCBF29CE484222325 ^ salt, np.uint64)
     at, left = starts[alive], lens[alive]
     order = np.argsort(-left.astype(np.int32), kind="stable") if len(left) else np.zeros(0, np.int64)
     at, left, alive = at[order], left[order], alive[order]
@@ -79,61 +82,43 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mixed, starts, ends, before
 
 
+def _same_bytes(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the pieces of two byte arrays are equal; size: of both pieces."""
+    k = np.repeat(np.arange(len(size)), size)
+    other = x[take_ragged(x_at, size)] != y[take_ragged(y_at, size)]
+    return np.bincount(k[other], minlength=len(size)) == 0
+
+
 class Benchmark:
-    """The items of one block: their words as numbers, and their windows."""
+    """The items of one block: their words as numbers, and where their windows are."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.ids = [i for i, _ in items]
         raw = [(t or "").encode() for _, t in items]
         offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        h, starts, ends, before = word_hashes(data, offs)
-        self.vocab, code = np.unique(h, return_inverse=True)
+        self.low = _LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        salt = 0
+        while True:
+            h, starts, ends, before = word_hashes(self.low, offs, salt)
+            self.vocab, at, code = np.unique(h, return_index=True, return_inverse=True)
+            self.word_at, self.word_size = starts[at], (ends - starts)[at]
+            size = ends - starts
+            if (size == self.word_size[code]).all() and _same_bytes(self.low, starts, self.low, self.word_at[code], size).all():
+                break
+            salt += 1  # two words with one hash: number them by another
+        self.salt = salt
         self.code = (code + 1).astype(np.int64)
-        low = _LOWER[data]
-        self.words = [low[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
         self.before = before
         n = np.diff(before)
         self.item = np.repeat(np.arange(len(n)), n)
-        left = before[1:][self.item] - np.arange(len(h)) if len(h) else np.zeros(0, np.int64)
-        length = np.minimum(n, window)[self.item]
-        self.win_at = np.flatnonzero((left >= window) | ((length < window) & (left == length)))
-        self.win_len = length[self.win_at]
-        self.least = int(self.win_len.min()) if len(self.win_len) else 0
-        self.depth = int(self.win_len.max()) if len(self.win_len) else 0
-        bits = max(1, int(len(self.vocab)).bit_length())
-        self.bits, self.pack = bits, max(1, 63 // bits)
-        # Filters: which hashes are words of the block, which pairs of codes follow one another in an item.
+        #: Words from each place to the item's end, and the words of the window that begins there (0: none does).
+        self.left = before[1:][self.item] - np.arange(len(h)) if len(h) else np.zeros(0, np.int64)
+        size = np.minimum(n, window)[self.item]
+        self.window = np.where(self.left >= size, size, 0)
+        self.depth = int(n.max(initial=0))
+        self.bits = max(1, int(len(self.vocab)).bit_length())
         self.small = np.zeros(1 << 22, bool)
         self.small[(self.vocab & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        inside = np.flatnonzero(self.item[1:] == self.item[:-1]) if len(h) else np.zeros(0, np.int64)
-        self.pairs = np.unique(self.code[inside] * (len(self.vocab) + 1) + self.code[inside + 1]) if len(inside) else np.zeros(0, np.int64)
-        self.win_keys = self.keys(self.padded(self.code, self.before)[0], self.win_at + self.item[self.win_at] * self.gap, self.win_len)
-
-    @property
-    def gap(self) -> int:
-        return self.depth + self.pack
-
-    def padded(self, code: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The codes with zeros behind every text, so that no suffix runs into the next text; new place of each word."""
-        n = np.diff(before)
-        place = np.arange(len(code)) + np.repeat(np.arange(len(n)), n) * self.gap
-        out = np.zeros(len(code) + len(n) * self.gap, np.int64)
-        out[place] = code
-        return out, place
-
-    def keys(self, seq: np.ndarray, at: np.ndarray, lens: np.ndarray | None = None) -> list[np.ndarray]:
-        """The first depth words from each place, packed into integers that sort as the words do; lens: zeros behind."""
-        out = []
-        for k in range(0, self.depth, self.pack):
-            key = np.zeros(len(at), np.int64)
-            for j in range(k, k + self.pack):
-                w = seq[np.minimum(at + j, len(seq) - 1)] if j < self.depth else np.zeros(len(at), np.int64)
-                if lens is not None:
-                    w = np.where(j < lens, w, 0)
-                key = (key << self.bits) | w
-            out.append(key)
-        return out
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         """The benchmark's number of each word, 0 if it has none."""
@@ -147,84 +132,139 @@ class Benchmark:
 
 
 class SuffixArray:
-    """The shard's suffixes that begin as some benchmark suffix does, in order of their words."""
+    """All suffixes of a shard that begin with a benchmark word, in order of their words."""
 
-    def __init__(self, bench: Benchmark, code: np.ndarray, before: np.ndarray):
-        self.bench = bench
-        self.seq, place = bench.padded(code, before)
+    def __init__(self, code: np.ndarray, before: np.ndarray, bits: int, depth: int):
+        """code: number of each word, 0 for none; before: words before each text; depth: words that the order goes by."""
+        n = np.diff(before)
+        place = np.arange(len(code)) + np.repeat(np.arange(len(n)), n)
+        self.seq = np.zeros(len(code) + len(n) + 1, np.int64)  # a 0 behind every text
+        self.seq[place] = code
         self.word = np.full(len(self.seq), -1, np.int64)
         self.word[place] = np.arange(len(code))
-        at = place[code > 0]
-        if bench.least >= 2 and len(at):
-            follow = self.seq[at + 1]
-            at, follow = at[follow > 0], follow[follow > 0]
-            pair = self.seq[at] * (len(bench.vocab) + 1) + follow
-            if len(at) and len(bench.pairs):
-                k = np.minimum(np.searchsorted(bench.pairs, pair), len(bench.pairs) - 1)
-                at = at[bench.pairs[k] == pair]
-            else:
-                at = at[:0]
-        keys = bench.keys(self.seq, at)
-        order = np.lexsort(keys[::-1]) if len(at) else np.zeros(0, np.int64)
-        self.at, self.keys = at[order], [k[order] for k in keys]
-
-    def ranges(self) -> tuple[np.ndarray, np.ndarray]:
-        """For every window of the benchmark, the stretch of the array whose suffixes begin with it."""
-        b = self.bench
-        lo, hi = np.zeros(len(b.win_at), np.int64), np.full(len(b.win_at), len(self.at), np.int64)
-        return self._bound(b.win_keys, b.win_len, lo, hi, False), self._bound(b.win_keys, b.win_len, lo, hi, True)
-
-    def _bound(self, keys: list[np.ndarray], lens: np.ndarray, lo: np.ndarray, hi: np.ndarray, after: bool) -> np.ndarray:
-        """Binary search of all windows at once; after: behind the last suffix that begins with the window."""
-        b, lo, hi = self.bench, lo.copy(), hi.copy()
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            probe = np.minimum(mid, max(len(self.at) - 1, 0))
-            less, same = np.zeros(len(lo), bool), np.ones(len(lo), bool)
-            for k, (mine, want) in enumerate(zip(self.keys, keys, strict=True)):
-                cut = np.clip(b.pack * (k + 1) - lens, 0, b.pack) * b.bits  # bits behind the window's end
-                x, y = mine[probe] >> cut, want >> cut
-                less |= same & (x < y)
-                same &= x == y
-            go = less | (same if after else False)
-            lo = np.where(open_ & go, mid + 1, lo)
-            hi = np.where(open_ & ~go, mid, hi)
-        return lo
-
-
-def shard_hits(bench: Benchmark, data: np.ndarray, offs: np.ndarray, longest: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
-    """Of a shard: words before each text; document, first and last+1 word, item of every hit; with longest, the longest
-    match of each (document, item): (document, item, word of the document, word of the item, words)."""
-    h, starts, ends, before = word_hashes(data, offs)
+        self.at = self._sorted(place[code > 0], bits, depth)
+        self.first = np.searchsorted(self.seq[self.at], np.arange(1 << bits | 1))
+
+    def _sorted(self, at: np.ndarray, bits: int, depth: int) -> np.ndarray:
+        seq, h = self.seq, max(1, 62 // bits)
+        # The first h words as one number; what stands behind a 0 is 0 as well.
+        key, open_ = seq[at].copy(), np.ones(len(at), bool)
+        for k in range(1, h):
+            w = seq[np.minimum(at + k, len(seq) - 1)] * open_
+            open_ &= w > 0
+            key = (key << bits) | w
+        order = np.argsort(key, kind="stable")
+        at, key, open_ = at[order], key[order], open_[order]
+        rank, dead = np.zeros(len(seq), np.int64), np.ones(len(seq), bool)
+        new = np.ones(len(at), bool)
+        new[1:] = key[1:] != key[:-1]
+        rank[at], dead[at] = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0)) + 1, ~open_
+        while h < depth:
+            # Suffixes that share h words, none of them 0, are told apart by the h words behind.
+            twin = ~new
+            twin[:-1] |= ~new[1:]
+            tied = np.flatnonzero(twin & ~dead[at])
+            if not len(tied):
+                break
+            p = at[tied]
+            behind = rank[p + h]
+            gone = (behind == 0) | dead[np.minimum(p + h, len(seq) - 1)]
+            group = rank[p]
+            order = np.argsort(group * (len(seq) + 1) + behind, kind="stable")
+            p, behind, gone, group = p[order], behind[order], gone[order], group[order]
+            at[tied] = p
+            fresh = np.ones(len(p), bool)
+            fresh[1:] = (group[1:] != group[:-1]) | (behind[1:] != behind[:-1])
+            new[tied] = fresh
+            rank[p] = np.maximum.accumulate(np.where(fresh, tied, 0)) + 1
+            dead[p] = gone
+            h *= 2
+        return at
+
+    def narrowed(self, lo: np.ndarray, hi: np.ndarray, depth: int, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Within stretches of suffixes that share so many words: the stretch whose next word is the wanted one."""
+        seq, at = self.seq, self.at
+        ends = []
+        for after in (False, True):
+            a, b = lo.copy(), hi.copy()
+            while (open_ := a < b).any():
+                mid = np.minimum((a + b) >> 1, len(at) - 1)
+                w = seq[np.minimum(at[mid] + depth, len(seq) - 1)]  # closed stretches may point anywhere
+                go = (w <= want) if after else (w < want)
+                a = np.where(open_ & go, mid + 1, a)
+                b = np.where(open_ & ~go, mid, b)
+            ends.append(a)
+        return ends[0], ends[1]
+
+    def matches(self, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word of the shard, word of the benchmark and words of every match that holds a window from its beginning on."""
+        p = np.arange(len(bench.code))
+        lo, hi = self.first[bench.code], self.first[bench.code + 1]
+        found: list[tuple] = []
+        rank, who, size = (np.zeros(0, np.int64) for _ in range(3))  # matches that may still go on
+        for depth in range(1, bench.depth + 1):
+            alive = lo < hi
+            p, lo, hi = p[alive], lo[alive], hi[alive]
+            # Of the matches so far, those outside their suffix's stretch have ended.
+            if len(rank):
+                k = np.minimum(np.searchsorted(p, who), max(len(p) - 1, 0))
+                on = (p[k] == who) & (lo[k] <= rank) & (rank < hi[k]) if len(p) else np.zeros(len(rank), bool)
+                found.append((rank[~on], who[~on], size[~on]))
+                rank, who, size = rank[on], who[on], np.full(int(on.sum()), depth)
+            if not len(p):
+                break
+            begin = np.flatnonzero(bench.window[p] == depth)
+            if len(begin):
+                n = hi[begin] - lo[begin]
+                rank, who, size = np.concatenate([rank, take_ragged(lo[begin], n)]), np.concatenate([who, np.repeat(p[begin], n)]), np.concatenate([size, np.full(int(n.sum()), depth)])
+            more = bench.left[p] > depth
+            p, lo, hi = p[more], lo[more], hi[more]
+            if len(p):
+                lo, hi = self.narrowed(lo, hi, depth, bench.code[p + depth])
+        found.append((rank, who, size))
+        rank, who, size = (np.concatenate(x) for x in zip(*found, strict=True))
+        return self.word[self.at[rank]], who, size
+
+
+def shard_hits(bench: Benchmark, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of a shard: words before each text; spans (document, item, first and last+1 word) covered by windows; the longest
+    match of each document and item (document, item, word of the document, word of the item, words)."""
+    low = _LOWER[data]
+    h, starts, ends, before = word_hashes(low, offs, bench.salt)
     none = np.zeros(0, np.int64)
-    if not len(bench.win_at) or not len(h):
-        return before, none, none, none, []
-    sa = SuffixArray(bench, bench.codes(h), before)
-    lo, hi = sa.ranges()
-    found = np.repeat(np.arange(len(lo)), hi - lo)
-    rank = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(found))
-    first = sa.word[sa.at[rank]]
-    last = first + bench.win_len[found]
-    # 64-bit word numbers found the place; the words themselves decide.
-    low = _LOWER
-    good = np.ones(len(found), bool)
-    for k, (w, f) in enumerate(zip(bench.win_at[found], first, strict=True)):
-        n = bench.win_len[found[k]]
-        good[k] = all(low[data[starts[f + j] : ends[f + j]]].tobytes() == bench.words[w + j] for j in range(n))
-    found, first, last = found[good], first[good], last[good]
-    item = bench.item[bench.win_at[found]]
-    doc = np.searchsorted(before, first, "right") - 1
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    if longest:
-        for d, i, f, w, n in zip(doc, item, first, bench.win_at[found], bench.win_len[found], strict=True):
-            end, stop, dstop = n, bench.before[i + 1], before[d + 1]
-            while w + end < stop and f + end < dstop and low[data[starts[f + end] : ends[f + end]]].tobytes() == bench.words[w + end]:
-                end += 1
-            here = (int(f - before[d]), int(w - bench.before[i]), int(end))
-            was = best.setdefault((d, i), here)
-            if (-end, *here[:2]) < (-was[2], *was[:2]):  # of equal ones the first in the document, then in the item
-                best[d, i] = here
-    return before, first, last, item, [(d, i, *x) for (d, i), x in best.items()]
+    if not len(bench.code) or not len(h):
+        return before, (none,) * 4, (none,) * 5
+    code = bench.codes(h)
+    first, who, size = SuffixArray(code, before, bench.bits, bench.depth).matches(bench)
+    # 64-bit word numbers found the places; the words themselves decide.
+    step = np.zeros(len(h) + 1, np.int64)
+    np.add.at(step, first, 1)
+    np.add.at(step, first + size, -1)
+    seen = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+    word, length = code[seen] - 1, (ends - starts)[seen]
+    wrong = length != bench.word_size[word]
+    wrong[~wrong] = ~_same_bytes(low, starts[seen][~wrong], bench.low, bench.word_at[word][~wrong], length[~wrong])
+    if wrong.any():
+        bad = np.zeros(len(h) + 1, np.int64)
+        bad[seen[wrong] + 1] = 1
+        total = np.cumsum(bad)
+        good = total[first + size] == total[first]
+        first, who, size = first[good], who[good], size[good]
+    doc, item = np.searchsorted(before, first, "right") - 1, bench.item[who]
+    order = np.lexsort((first, item, doc))
+    first, who, size, doc, item = first[order], who[order], size[order], doc[order], item[order]
+    if not len(first):
+        return before, (none,) * 4, (none,) * 5
+    pair = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
+    # Windows of an item have one length, so in order of their first words their last ones rise as well.
+    last = first + bench.window[who]
+    cut = np.concatenate([[True], first[1:] > last[:-1]])
+    cut[pair] = True
+    cut = np.flatnonzero(cut)
+    spans = (doc[cut], item[cut], first[cut], np.maximum.reduceat(last, cut))
+    best = np.lexsort((who, first, -size, item, doc))[pair]
+    longest = (doc[best], item[best], first[best] - before[doc[best]], who[best] - bench.before[item[best]], size[best])
+    return before, spans, longest
 
 
 def covered(first: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -255,114 +295,115 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
     yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, longest: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with longest also `matches`,
-    the longest verbatim match with each item and where it lies."""
+#: The block that this worker has prepared last, by its key.
+_PREPARED: dict[str, Benchmark] = {}
+
+
+def _prepared(key: str, sent: Broadcast, window: int) -> Benchmark:
+    """The block of a broadcast, prepared once a worker."""
+    if key not in _PREPARED:
+        _PREPARED.clear()
+        _PREPARED[key] = Benchmark(sent.value, window)
+    return _PREPARED[key]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and `matches`: of each item with
+    an occurring window the longest verbatim match, and where it lies."""
     spark = docs.sparkSession
     few = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = _blocks(benchmark, item_col, "text", block_bytes)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     some = list(islice(blocks, 2))
     if len(some) > 1:
-        return _by_blocks(few, chain(some, blocks), window, share, longest)
-    sent = spark.sparkContext.broadcast(some[0])
+        return _by_blocks(few, chain(some, blocks), window, share)
+    sent, key = spark.sparkContext.broadcast(some[0]), uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(sent.value, window)
+        bench = _prepared(key, sent, window)
+        nothing = _digest([])
         for part, data, offs in steps(batches):
-            before, first, last, item, best = shard_hits(bench, data, offs, longest)
+            before, (doc, item, first, last), longest = shard_hits(bench, data, offs)
             n_words, n_hit = np.diff(before), covered(first, last, before)
             ids: dict[int, set] = {}
-            for d, i in np.unique(np.stack([np.searchsorted(before, first, "right") - 1, item]), axis=1).T if len(item) else ():
+            for d, i in zip(longest[0].tolist(), longest[1].tolist(), strict=True):
                 if bench.ids[i] is not None:
-                    ids.setdefault(int(d), set()).add(bench.ids[i])
-            nothing = _digest([])
-            cols = {
+                    ids.setdefault(d, set()).add(bench.ids[i])
+            yield pa.RecordBatch.from_pydict({
                 "doc_id": part.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
                 "n_items": pa.array([len(ids.get(d, ())) for d in range(len(n_words))], pa.int64()),
-                "items_sha256": pa.array([_digest(list(ids[d])) if d in ids else nothing for d in range(len(n_words))]),
+                "items_sha256": pa.array([_digest(list(ids[d])) if d in ids else nothing for d in range(len(n_words))], pa.string()),
                 "contaminated": pa.array((n_hit > 0) & (share * n_hit >= n_words)),
-            }
-            if longest:
-                cols["matches"] = _matches(bench, best, len(n_words))
-            yield pa.RecordBatch.from_pydict(cols)
+                "matches": _matches(bench, longest, len(n_words)),
+            })
 
     kind = few.schema["doc_id"].dataType.simpleString()
-    return few.mapInArrow(scan, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" + f", matches {MATCH}" * longest)
+    return few.mapInArrow(scan, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, matches {MATCH}")
 
 
-def _matches(bench: Benchmark, best: list, n: int) -> pa.Array:
-    """The longest matches of each of n documents."""
-    at: dict[int, list] = {}
-    for d, i, f, w, words in best:
-        at.setdefault(int(d), []).append({"item_id": bench.ids[i], "doc_word": f, "item_word": w, "n_words": words})
-    kind = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))
-    return pa.array([at.get(d, []) for d in range(n)], kind)
+def _matches(bench: Benchmark, longest: tuple[np.ndarray, ...], n: int) -> pa.Array:
+    """The longest matches of each of n documents, in order of the items."""
+    doc, item, at, item_at, size = longest
+    ids = pa.array([bench.ids[i] for i in item.tolist()], pa.string())
+    rows = pa.StructArray.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (at, item_at, size))], ["item_id", "doc_word", "item_word", "n_words"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), rows)
 
 
-def _by_blocks(few: DataFrame, blocks: Iterable[list], window: int, share: int, longest: bool = False) -> DataFrame:
-    """A benchmark beyond one block: hits of all blocks, as stretches of words, meet by row. A block's hits are written before
+def _by_blocks(few: DataFrame, blocks: Iterable[list], window: int, share: int) -> DataFrame:
+    """A benchmark beyond one block: what all blocks hit, as spans of words, meets by row. A block's hits are written before
     the next block is read. An item lies in one block, and so does its longest match."""
     spark = few.sparkSession
     kind = few.schema["doc_id"].dataType.simpleString()
     rows = stored(few.withColumn("uid", F.monotonically_increasing_id()), "rows")
     parts = []
     for number, block in enumerate(blocks):
-        sent = spark.sparkContext.broadcast(block)
+        sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(sent.value, window)
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent, key=key, number=number) -> Iterator[pa.RecordBatch]:
+            bench = _prepared(key, sent, window)
             for part, data, offs in steps(batches):
-                before, first, last, item, best = shard_hits(bench, data, offs, longest)
-                doc = np.searchsorted(before, first, "right") - 1
+                before, (doc, item, first, last), longest = shard_hits(bench, data, offs)
                 uid = part.column("uid").to_numpy()
-                # One row per word stretch and item, and one without for each document's length and matches.
-                n, none = np.diff(before), np.zeros(len(uid), np.int64)
-                cols = {
+                # One row per span, and one without for each document's length and matches.
+                n, none, found = np.diff(before), np.zeros(len(uid), np.int64), _matches(bench, longest, len(uid))
+                yield pa.RecordBatch.from_pydict({
                     "uid": pa.array(np.concatenate([uid, uid[doc]])), "n_words": pa.array(np.concatenate([n, n[doc]])),
                     "a": pa.array(np.concatenate([none, first - before[doc]])), "b": pa.array(np.concatenate([none, last - before[doc]])),
-                    "item": pa.array([None] * len(uid) + [bench.ids[i] for i in item], pa.string()),
-                }
-                if longest:
-                    found = _matches(bench, best, len(uid))
-                    cols |= {"block": pa.array(np.full(len(uid) + len(doc), number)), "matches": pa.concat_arrays([found, pa.nulls(len(doc), found.type)])}
-                yield pa.RecordBatch.from_pydict(cols)
-
-        parts.append(stored(rows.mapInArrow(scan, "uid bigint, n_words bigint, a bigint, b bigint, item string" + f", block bigint, matches {MATCH}" * longest), "hits"))
+                    "item": pa.array([None] * len(uid) + [bench.ids[i] for i in item.tolist()], pa.string()),
+                    "block": pa.array(np.full(len(uid) + len(doc), number)), "matches": pa.concat_arrays([found, pa.nulls(len(doc), found.type)]),
+                })
+
+        parts.append(stored(rows.mapInArrow(scan, f"uid bigint, n_words bigint, a bigint, b bigint, item string, block bigint, matches {MATCH}"), "hits"))
         sent.destroy()
     union = parts[0]
     for p in parts[1:]:
         union = union.unionAll(p)
-    from pyspark.sql import Window
-
     before = Window.partitionBy("uid").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     stretch = union.groupBy("uid", "a", "b").agg(F.max("n_words").alias("n_words"), F.collect_set("item").alias("items"))
     merged = stretch.withColumn("done", F.coalesce(F.max("b").over(before), F.lit(0))).withColumn("new", F.greatest(F.lit(0), F.col("b") - F.greatest("a", "done")))
     out = merged.groupBy("uid").agg(F.max("n_words").alias("n_words"), F.sum("new").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    own = rows.select("uid", "doc_id").join(out, "uid")
-    if longest:
-        lists = union.filter(F.size("matches") > 0).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("block", "matches"))).alias("lists"))
-        own = own.join(lists.select("uid", F.flatten("lists.matches").alias("matches")), "uid", "left")
-    return own.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *([F.coalesce("matches", F.array().cast(MATCH)).alias("matches")] if longest else []))
+    lists = union.filter(F.size("matches") > 0).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("block", "matches"))).alias("lists"))
+    own = rows.select("uid", "doc_id").join(out, "uid").join(lists.select("uid", F.flatten("lists.matches").alias("matches")), "uid", "left")
+    return own.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), F.coalesce("matches", F.array().cast(MATCH)).alias("matches"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, text_col: str = "text", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that are not contaminated, all columns as they came: decided where a document is read.
 
     For a benchmark beyond one block the documents are written once with a number for each row, by which the rows that
     go are told; null and repeated doc_ids are rows like any other.
     """
-    sent_blocks = list(islice(_blocks(benchmark, "item_id", "text", block_bytes), 2))
-    if len(sent_blocks) > 1:
+    some = list(islice(_blocks(benchmark, "item_id", item_text_col, block_bytes), 2))
+    if len(some) > 1:
         rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "documents")
-        found = contamination(rows, benchmark, window, share, id_col=ROW, text_col=text_col, block_bytes=block_bytes)
+        found = contamination(rows, benchmark, window, share, id_col=ROW, text_col=text_col, item_text_col=item_text_col, block_bytes=block_bytes)
         gone = stored(found.filter("contaminated").select(F.col("doc_id").alias(ROW)), "gone")
         return rows.join(gone, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    sent = docs.sparkSession.sparkContext.broadcast(sent_blocks[0])
+    sent, key = docs.sparkSession.sparkContext.broadcast(some[0]), uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(sent.value, window)
+        bench = _prepared(key, sent, window)
         for part, data, offs in steps(batches, text_col):
-            before, first, last, _, _ = shard_hits(bench, data, offs)
+            before, (_, _, first, last), _ = shard_hits(bench, data, offs)
             n_hit = covered(first, last, before)
             yield part.filter(pa.array(~((n_hit > 0) & (share * n_hit >= np.diff(before)))))
 
