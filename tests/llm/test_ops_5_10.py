@@ -139,22 +139,23 @@ def brute_url(u):
     if not u:
         return None
     u = u.strip().split("#")[0]
-    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)(.*)", u)
-    host, rest = (m[1], m[2]) if m else ("", u)
-    host = re.sub(r":(80|443)$", "", host.lower())
+    m = re.match(r"([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)(.*)", u)
+    scheme, host, rest = (m[1].lower(), m[2].lower(), m[3]) if m else ("", "", u)
+    host = host.removesuffix({"http": ":80", "https": ":443"}.get(scheme, "\0"))
     path, _, query = rest.partition("?")
-    keep = sorted(p for p in query.split("&") if p and not re.match(r"(utm_[^=]*|ref|fbclid|gclid)(=|$)", p))
-    return (host + path.rstrip("/") + ("?" + "&".join(keep) if keep else "")) or None
+    keep = sorted(p for p in query.split("&") if p and not re.match(r"(utm_[^=]*|fbclid|gclid)(=|$)", p))
+    out = host + path.rstrip("/") + ("?" + "&".join(keep) if keep else "")
+    return ((scheme + "://") * bool(scheme) + out) if out else None
 
 
 def brute_revisits(rows):
     out = []
-    for i, url, kind, at, headers in rows:
+    for i, url, kind, at, headers, *_ in rows:
         if kind != "revisit":
             continue
         h = {k.lower(): x for k, x in (headers or {}).items()}
         key = brute_url(url)
-        before = [r for r in rows if r[2] == "response" and key and brute_url(r[1]) == key and r[3] and at and (r[3], r[0]) < (at, i)]
+        before = [r for r in rows if r[2] == "response" and key and brute_url(r[1]) == key and r[3] and at and (r[3], r[0]) < (at, i) and (len(r) < 6 or r[5] in (None, 200))]
         if not before:
             out.append((i, key, "no_response", None, None))
             continue
@@ -174,18 +175,22 @@ def test_revisits(spark):
     urls = ["http://A.example.com/x/", "https://a.example.com:443/x#top", "http://a.example.com/x?b=2&a=1&utm_source=q", "http://a.example.com/x?a=1&b=2", "http://b.example.com", None, "", "odd"]
     for k in range(500):
         headers = {n: x for n, x in (("ETag", rng.choice(['"1"', 'W/"1"', '"2"'])), ("Last-Modified", rng.choice("xy")), ("Date", str(k)), ("Content-Length", "5")) if rng.random() < 0.7}
-        rows.append((k, rng.choice(urls), rng.choice(["response", "revisit", "request"]), t0 + dt.timedelta(minutes=rng.randint(0, 400)) if rng.random() < 0.97 else None, headers if rng.random() < 0.95 else None))
-    df = spark.createDataFrame(rows, "record_id long, url string, kind string, at timestamp, headers map<string,string>")
-    got = sorted(((r.record_id, r.url_key, r.outcome, r.response_id, r.headers) for r in resolve_revisits(df, bucket=1800).collect()), key=str)
+        rows.append((k, rng.choice(urls), rng.choice(["response", "revisit", "request"]), t0 + dt.timedelta(minutes=rng.randint(0, 40)) if rng.random() < 0.97 else None, headers if rng.random() < 0.95 else None, rng.choice([200, 200, 200, None, 404])))
+    rows += rows[:40]  # repeated records, and many at one time
+    df = spark.createDataFrame([(*r, 9) for r in rows], "record_id long, url string, kind string, at timestamp, headers map<string,string>, status int, bucket int")
+    got = sorted(((r.record_id, r.url_key, r.outcome, r.response_id, r.headers) for r in resolve_revisits(df, bucket=600).collect()), key=str)
     norm = lambda rs: [(*r[:4], sorted(r[4].items()) if r[4] is not None else None) for r in rs]
     assert norm(got) == norm(brute_revisits(rows)) and {r[2] for r in got} == {"resolved", "mismatch", "no_validator", "no_response"}
     assert resolve_revisits(df.filter("false")).count() == 0
 
 
 def test_canonical_url(spark):
-    urls = ["http://H.com:80/A//?", "https://h.com/a?ref=1&z=&gclid", " HTTP://x.y/?q=1#f ", "http://x.y?b&a", None, "", "/rel/"]
+    urls = ["http://h.com:443/a", "https://h.com:80/a", "https://H.com:443/a", "ftp://h.com:80/a", "http://H.com:80/A//?", "https://h.com/a?ref=1&z=&gclid", " HTTP://x.y/?q=1#f ", "http://x.y?b&a", None, "", "/rel/"]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", canonical_url(F.col("u")).alias("c")).collect()
     assert [r.c for r in got] == [brute_url(u) for u in urls]
+    assert len({brute_url(u) for u in ("http://h.com:443/a", "https://h.com:80/a", "https://h.com/a?ref=v2", "https://h.com/a")}) == 4
+    loose = spark.range(1).select(*(canonical_url(F.lit(u), ("ref",), False) for u in ("http://h.com:80/a?ref=1", "https://h.com:443/a"))).first()
+    assert list(loose) == ["h.com/a", "h.com/a"]
 
 
 # Decontamination

@@ -87,29 +87,49 @@ ORACLES: dict[str, str] = {
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op7_sharding": r"""
+        WITH RECURSIVE bits(n, k, c) AS (
+            SELECT n, 0, n::BIGINT FROM range(256) AS r(n)
+            UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+        d AS (
+            SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+                xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+                    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32
+            FROM documents, crc),
+        keys AS (SELECT DISTINCT coalesce(doc_id, 0)::BIGINT AS id FROM documents),
+        walk(id, key, b, j) AS (
+            SELECT id, (id::HUGEINT + 18446744073709551616) % 18446744073709551616, -1::BIGINT, 0::BIGINT FROM keys
+            UNION ALL
+            SELECT id, k, j, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / ((k // 8589934592) + 1)::DOUBLE))::BIGINT
+            FROM (SELECT id, j, (((key % 4294967296) * 2862933555777941757) % 18446744073709551616 + (((key // 4294967296) * 2862933555777941757) % 4294967296) * 4294967296 + 1) % 18446744073709551616 AS k FROM walk WHERE j < 9)),
+        shards AS (SELECT id, max(b) FILTER (b < 8)::INT AS shard, max(b) FILTER (b < 9)::INT AS grown_shard FROM walk GROUP BY id),
+        placed AS (SELECT d.*, shard, grown_shard, ('0x' || substr(md5(concat_ws(':', doc_id, text_crc32)), 1, 3))::INT AS bucket FROM d JOIN shards ON id = coalesce(doc_id, 0))
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM placed""",
     "op8_revisits": r"""
         WITH p AS (
             SELECT page_id, url, '"' || substr(md5(html), 1, 16) || '"' AS tag, CAST(octet_length(encode(html)) AS VARCHAR) AS size,
                 regexp_replace(trim(url), '#.*$', '') AS bare FROM pages),
         q AS (
-            SELECT *, regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', '') AS host,
+            SELECT *, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)) AS host,
                 regexp_replace(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') AS rest FROM p),
         r AS (
             SELECT *, array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
-                lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&') AS params FROM q),
+                lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|fbclid|gclid)(=|$)'))), '&') AS params FROM q),
         k AS (
-            SELECT *, host || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '')
-                || CASE WHEN params <> '' THEN '?' || params ELSE '' END AS url_key FROM r),
+            SELECT *, CASE WHEN scheme <> '' THEN scheme || '://' ELSE '' END
+                || CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '') WHEN 'https' THEN regexp_replace(host, ':443$', '') ELSE host END
+                || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') || CASE WHEN params <> '' THEN '?' || params ELSE '' END AS url_key FROM r),
         j AS (
             SELECT v.page_id AS v, v.url_key, f.page_id AS f, f.tag AS f_tag, f.size,
                 CASE WHEN v.page_id % 4 = 3 THEN '"changed"' ELSE 'W/' || v.tag END AS v_tag,
-                row_number() OVER (PARTITION BY v.page_id ORDER BY f.page_id DESC) AS n
-            FROM k v JOIN k f ON v.url_key = f.url_key AND f.page_id < v.page_id + 43200)
-        SELECT v * 2 + 1 AS record_id, url_key, CASE WHEN replace(v_tag, 'W/', '') = f_tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
-            CASE WHEN replace(v_tag, 'W/', '') = f_tag THEN f * 2 ELSE -1 END AS response_id,
-            CASE WHEN replace(v_tag, 'W/', '') = f_tag
-                THEN 'content-length=' || size || '; content-type=text/html; date=' || (v + 43200) || '; etag=' || v_tag END AS headers
-        FROM j WHERE n = 1""",
+                row_number() OVER (PARTITION BY v.page_id ORDER BY f.page_id DESC NULLS LAST) AS n
+            FROM k v LEFT JOIN k f ON v.url_key = f.url_key AND f.page_id < v.page_id + 43200 AND f.page_id % 10 <> 9),
+        o AS (
+            SELECT *, CASE WHEN f IS NULL THEN 'no_response' WHEN v % 7 = 3 THEN 'no_validator' WHEN replace(v_tag, 'W/', '') = f_tag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j WHERE n = 1)
+        SELECT v * 2 + 1 AS record_id, url_key, outcome, CASE WHEN outcome = 'resolved' THEN f * 2 ELSE -1 END AS response_id,
+            CASE WHEN outcome = 'resolved' THEN 'content-length=' || size || '; content-type=text/html; date=' || (v + 43200) || '; etag=' || v_tag END AS headers
+        FROM o""",
     "op9_decontamination": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -21,23 +21,28 @@ from pyspark.sql import functions as F
 
 #: Headers that a not-modified answer may carry for the stored response (HTTP semantics, fixed values).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
-#: Query parameters that name a visit and not a page.
-IGNORED_PARAMETER = "^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
+#: Query parameters that name a visit and not a page, and the status of a full response.
+IGNORED_PARAMETERS, FULL = ("utm_[^=]*", "fbclid", "gclid"), 200
 #: Seconds of a time bucket.
 BUCKET = 3600
 
 
-def canonical_url(url: Column) -> Column:
-    """Host in lower case without default port, path without slashes at its end, remaining parameters sorted; no scheme, no
-    fragment. Null for null or empty."""
-    scheme = "^[A-Za-z][A-Za-z0-9+.-]*://"
+def canonical_url(url: Column, ignored: tuple[str, ...] = IGNORED_PARAMETERS, keep_scheme: bool = True) -> Column:
+    """Scheme and host in lower case without the scheme's own default port, path without slashes at its end, parameters sorted
+    without the ignored ones (patterns of names); no fragment. Null for null or empty. Without keep_scheme the key has none,
+    so that http and https are one page."""
+    pattern = "^[A-Za-z][A-Za-z0-9+.-]*://"
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, scheme + "([^/?]*)", 1)), ":(80|443)$", "")
-    rest = F.regexp_replace(bare, scheme + "[^/?]*", "")
+    scheme = F.lower(F.regexp_extract(bare, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    host = F.lower(F.regexp_extract(bare, pattern + "([^/?]*)", 1))
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+    rest = F.regexp_replace(bare, pattern + "[^/?]*", "")
     path = F.regexp_replace(F.regexp_extract(rest, "^([^?]*)", 1), "/+$", "")
-    query = F.array_join(F.array_sort(F.filter(F.split(F.regexp_extract(rest, "\\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(IGNORED_PARAMETER))), "&")
+    visit = f"^({'|'.join(ignored)})(=|$)" if ignored else "^$"
+    query = F.array_join(F.array_sort(F.filter(F.split(F.regexp_extract(rest, "\\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(visit))), "&")
     out = F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(out != "", out)
+    whole = F.concat(F.when(scheme != "", F.concat(scheme, F.lit("://"))).otherwise(""), out) if keep_scheme else out
+    return F.when(out != "", whole)
 
 
 def _lower_keys(headers: Column) -> Column:
@@ -51,12 +56,14 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def resolve_revisits(records: DataFrame, bucket: int = BUCKET, ignored: tuple[str, ...] = IGNORED_PARAMETERS, keep_scheme: bool = True) -> DataFrame:
     """record_id, url_key, outcome, response_id, headers of every revisit among the records.
 
-    records: record_id, url, kind ("response" or "revisit"), at (timestamp), headers (map of strings).
+    records: record_id, url, kind ("response" or "revisit"), at (timestamp), headers (map of strings), and if there is one
+    status (int): only responses of status 200 are full; where the column is missing or null they count as such.
     """
-    rows = records.filter(F.col("kind").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("url_key"), "kind", "at", _lower_keys(F.col("headers")).alias("headers"))
+    full = F.coalesce(F.col("status"), F.lit(FULL)) == FULL if "status" in records.columns else F.lit(True)
+    rows = records.filter((F.col("kind") == "revisit") | ((F.col("kind") == "response") & full)).select("record_id", canonical_url(F.col("url"), ignored, keep_scheme).alias("url_key"), "kind", "at", _lower_keys(F.col("headers")).alias("headers"))
     lost = rows.filter((F.col("kind") == "revisit") & (F.col("url_key").isNull() | F.col("at").isNull()))
     rows = rows.filter(F.col("url_key").isNotNull() & F.col("at").isNotNull()).withColumn("bucket", F.floor(F.unix_micros("at") / (bucket * 1_000_000)).cast("long"))
     mine = F.when(F.col("kind") == "response", F.struct("record_id", "headers"))
@@ -83,12 +90,14 @@ def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def crawl_of(pages: DataFrame) -> DataFrame:
     """Crawl records of a table of pages: each page's full response, and thirty days on a revisit of the same page.
 
-    The n-th page is fetched in minute n. A revisit names its page with another fragment; where page_id mod 4 is 3 the page has
-    changed meanwhile, so its validator differs.
+    The n-th page is fetched in minute n; where page_id mod 10 is 9 with status 503, so that response is none to go back to. A
+    revisit names its page with another fragment; where page_id mod 4 is 3 the page has changed meanwhile, so its validator
+    differs, and where page_id mod 7 is 3 it has no validator.
     """
     tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
     clock = lambda seconds: F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 60 + seconds)
     header = lambda *kv: F.map_from_arrays(F.array(*(F.lit(k) for k in kv[::2])), F.array(*kv[1::2]))
-    first = pages.select((F.col("page_id") * 2).alias("record_id"), "url", F.lit("response").alias("kind"), clock(0).alias("at"), header("Content-Type", F.lit("text/html"), "ETag", tag, "Date", F.col("page_id").cast("string"), "Content-Length", F.octet_length("html").cast("string")).alias("headers"))
-    again = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("url"), F.lit("revisit").alias("kind"), clock(30 * 86400).alias("at"), header("ETag", F.when(F.col("page_id") % 4 == 3, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), tag)), "Date", (F.col("page_id") + 43200).cast("string"), "Content-Length", F.lit("0")).alias("headers"))
+    n = F.col("page_id")
+    first = pages.select((n * 2).alias("record_id"), "url", F.lit("response").alias("kind"), F.when(n % 10 == 9, 503).otherwise(FULL).alias("status"), clock(0).alias("at"), header("Content-Type", F.lit("text/html"), "ETag", tag, "Date", F.col("page_id").cast("string"), "Content-Length", F.octet_length("html").cast("string")).alias("headers"))
+    again = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("url"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), clock(30 * 86400).alias("at"), F.when(n % 7 == 3, header("Date", (n + 43200).cast("string"))).otherwise(header("ETag", F.when(n % 4 == 3, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), tag)), "Date", (n + 43200).cast("string"), "Content-Length", F.lit("0"))).alias("headers"))
     return first.unionAll(again)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Multiplier of the generator, a fixed value of the published algorithm.
 MULTIPLIER = 2862933555777941757
 LOW = 0xFFFFFFFF
+#: Buckets in which a shard's rows are numbered: three hex digits of a digest.
+BUCKETS = 4096
 
 
 def _next(key: Column) -> Column:
@@ -46,17 +48,17 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(shards)), start, step, lambda s: s["at"].cast("int"))
 
 
-def shard_table(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def shard_table(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document.
 
     Slots run from 0 in each shard without gaps. They are dealt in two levels: rows are numbered within small buckets
-    (a hash of doc_id and checksum), and a bucket starts where those before it in its shard end; so no task
-    holds a whole shard. Only ids, sizes and checksums are shuffled, never texts.
+    (a digest of doc_id and checksum), and a bucket starts where those before it in its shard end; so no task
+    holds a whole shard. Only ids, sizes and checksums are shuffled, never texts. A slot depends on the rows alone, not
+    on how they are partitioned.
     """
-    buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = rows.withColumns({"shard": jump_hash(F.col("doc_id"), shards), "grown_shard": jump_hash(F.col("doc_id"), shards + 1), "bucket": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int")})
+    rows = rows.withColumns({"shard": jump_hash(F.col("doc_id"), shards), "grown_shard": jump_hash(F.col("doc_id"), shards + 1), "bucket": F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string")).cast("binary")), 1, 3), 16, 10).cast("int"), F.lit(buckets))})
     inside = Window.partitionBy("bucket", "shard").orderBy("doc_id", "text_crc32", "size")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("bucket", "shard").agg(F.count("*").alias("n")).select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
