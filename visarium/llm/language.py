@@ -1,12 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads units of a text - a run of letters with what follows up to the next letters, UNIT bytes at most - and
-labels every byte of the text; the document's probabilities are the mean over all its bytes. A distinct unit is read
-once for all places where it stands in a step, which gives the same labels.
+Both directions run through the whole text and label its every byte; the document's probabilities are the mean over
+all its bytes. To work on many bytes at once a text is read in chunks of CHUNK bytes; each direction comes from WARM
+bytes before the chunk (behind it, for the way back), so its state runs on from there, and a text's first and last
+byte stand beside edges. Chunks of a step that are the same, with what stands around them, are read once.
 
-The network is trained in numpy by backpropagation through time on a bounded sample (PER_CLASS documents of each
-language, SAMPLE_CHARS characters of each) of the labelled rows with crc32(doc_id) mod 3 other than 1. Only text and
-lang of those rows are ever read for it, and only text for a prediction.
+The network is trained in numpy by backpropagation through time on a bounded sample of the labelled rows with
+crc32(doc_id) mod 3 other than 1: PER_CLASS documents of each language. Training windows are drawn from their whole
+texts: all windows, or where there are more than WINDOWS an even draw. Only text and lang of those rows are ever read for
+it, and only text for a prediction.
 
 Defined results: null text and text without a letter are `und` with score 0; without labelled rows all are `und`;
 null doc_id is never used for training and is not held out; repeated rows are labelled each; an empty table gives no
@@ -23,12 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visarium.llm.arrays import as_bytes, binary_array, steps, take_ragged
-from visarium.llm.gru import BiGRU
+from visarium.llm.arrays import steps, take_ragged
+from visarium.llm.gru import EDGE, BiGRU
 
 UNDEFINED = "und"
-#: Longest unit in bytes; training documents of a language and characters of each; network units and training steps.
-UNIT, PER_CLASS, SAMPLE_CHARS, UNITS, STEPS = 24, 250, 600, 16, 500
+#: Bytes of a chunk, and of the text around it that is read before it; chunks that are read at once, and
+#: that are compared with each other.
+CHUNK, WARM, BATCH, BLOCK = 256, 24, 4096, 16384
+#: Training documents of a language and windows of all; bytes of a window; network units and training steps.
+PER_CLASS, WINDOWS, WINDOW, UNITS, STEPS = 250, 40_000, 48, 8, 400
+#: Documents whose best language has a lower mean probability hold no language.
+LEAST_SCORE = 0.3
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -39,51 +46,50 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def units(data: np.ndarray, offs: np.ndarray, most: int = UNIT) -> np.ndarray:
-    """Offsets of the units of all texts: every byte lies in one."""
-    mark = np.zeros(len(data) + 1, bool)
-    letter = _LETTER[data]
-    mark[1:-1] = letter[1:] & ~letter[:-1]
-    mark[offs] = True
-    at = np.flatnonzero(mark)
-    long = np.flatnonzero(np.diff(at) > most)
-    if len(long):
-        n = (at[long + 1] - at[long] - 1) // most
-        extra = np.repeat(at[long], n) + most * (take_ragged(np.zeros(len(long), np.int64), n) + 1)
-        at = np.union1d(at, extra)
-    return at
-
-
-def _by_length(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Number of the units of each length, and their bytes as unit x time."""
-    size = np.diff(at)
-    order = np.argsort(size, kind="stable")
-    cuts = np.flatnonzero(np.diff(size[order])) + 1
-    for rows in np.split(order, cuts):
-        if len(rows) and size[rows[0]]:
-            yield rows, data[at[rows][:, None] + np.arange(size[rows[0]])]
-
-
-def label_texts(net: BiGRU, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+def chunked(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and bytes of the chunks of all texts: every byte lies in one."""
+    n = -(-np.diff(offs) // size)
+    text = np.repeat(np.arange(len(n)), n)
+    start = offs[:-1][text] + size * take_ragged(np.zeros(len(n), np.int64), n)
+    return text, start, np.minimum(start + size, offs[1:][text]) - start
+
+
+def codes_of(data: np.ndarray, offs: np.ndarray, text: np.ndarray, start: np.ndarray, size: int, warm: int) -> np.ndarray:
+    """Codes (chunks x warm + size + warm) of the bytes from before each chunk to behind it; edges outside of its text."""
+    at = start[:, None] + np.arange(-warm, size + warm)
+    out = np.where((at >= offs[:-1][text][:, None]) & (at < offs[1:][text][:, None]), data[np.clip(at, 0, len(data) - 1)], np.int16(EDGE))
+    return out.astype(np.int16)
+
+
+def label_texts(net: BiGRU, data: np.ndarray, offs: np.ndarray, size: int = CHUNK, warm: int = WARM) -> np.ndarray:
     """Mean class probabilities over all bytes of each text; zeros for an empty text."""
     classes = len(net.p["bias"])
     total = np.zeros((len(offs) - 1, classes))
     if not len(data):
         return total
-    at = units(data, offs)
-    coded = pc.dictionary_encode(binary_array(data, at))
-    own, ends = as_bytes(coded.dictionary)
-    sums = np.zeros((len(ends) - 1, classes), np.float32)
-    for rows, x in _by_length(own, ends):
-        for k in range(0, len(rows), 4096):
-            sums[rows[k : k + 4096]] = net.probabilities(np.ascontiguousarray(x[k : k + 4096].T)).sum(0)
-    each = sums[coded.indices.to_numpy()]
-    where = np.searchsorted(at, offs)
-    full = np.flatnonzero(np.diff(where) > 0)
-    total[full] = np.add.reduceat(each, where[:-1][full], axis=0, dtype=np.float64)
+    text, start, lens = chunked(data, offs, size)
+    sums, many = np.empty((len(text), classes), np.float32), max(64, min(BATCH, (1 << 22) // (size * classes)))
+    for k in range(0, len(text), BLOCK):
+        sums[k : k + BLOCK] = _chunk_sums(net, codes_of(data, offs, text[k : k + BLOCK], start[k : k + BLOCK], size, warm), lens[k : k + BLOCK], warm, many)
+    full = np.flatnonzero(np.diff(offs))
+    total[full] = np.add.reduceat(sums, np.searchsorted(start, offs[:-1][full]), axis=0, dtype=np.float64)
     return total / np.maximum(np.diff(offs), 1)[:, None]
 
 
+def _chunk_sums(net: BiGRU, codes: np.ndarray, lens: np.ndarray, warm: int, many: int) -> np.ndarray:
+    """Sums of the class probabilities over each chunk's own bytes; chunks with the same codes are read once."""
+    raw = pa.Array.from_buffers(pa.binary(codes.shape[1] * 2), len(codes), [None, pa.py_buffer(codes)])
+    which = pc.dictionary_encode(raw).indices.to_numpy()
+    first = np.full(int(which.max()) + 1, len(which))
+    np.minimum.at(first, which, np.arange(len(which)))
+    distinct = np.empty((len(first), len(net.p["bias"])), np.float32)
+    order = np.argsort(-lens[first], kind="stable")
+    for k in range(0, len(order), many):
+        some = first[order[k : k + many]]
+        distinct[order[k : k + many]] = net.sums(np.ascontiguousarray(codes[some].T[: 2 * warm + lens[some[0]]]), lens[some], warm)
+    return distinct[which]
+
+
 def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Whether each text holds a letter of any script."""
     plain = np.concatenate([[0], np.cumsum(_LETTER[data] & (data < 0x80))])
@@ -96,38 +102,39 @@ def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS, training_steps: int = STEPS) -> tuple[list[str], BiGRU | None]:
     """Languages and network, from a bounded sample of the labelled rows that are not held out."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (remainder(F.col(id_col)) != 1))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (remainder(F.col(id_col)) != 1)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return [], None
     langs = sorted(counts)
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 20))
-    # About 1.5 times the documents wanted of each language pass; the surplus goes below.
-    bound = F.element_at(F.create_map(*(F.lit(x) for k in langs for x in (k, int(min(1, 1.5 * (per_class + 20) / counts[k]) * (1 << 20)) + 1))), F.col(lang_col))
-    begin = F.pmod(F.xxhash64(F.col(id_col), F.lit(23)), F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    rows = known.filter(draw < bound).select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.substring(F.col(text_col), begin, F.lit(SAMPLE_CHARS)).alias("text")).collect()
-    rows.sort(key=lambda r: (r.draw, r.text))
-    texts, labels, taken = [], [], dict.fromkeys(langs, 0)
-    for r in rows:
-        if taken[r.lang] < per_class:
-            taken[r.lang] += 1
-            texts.append(r.text)
-            labels.append(langs.index(r.lang))
+    draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 40))
+    # About 1.5 times the documents wanted of each language pass; of those the ones drawn first are taken.
+    bound = lambda limits: F.element_at(F.create_map(*(F.lit(x) for k in langs for x in (k, limits[k]))), F.col("lang"))
+    passing = known.filter(draw < bound({k: int(min(1, 1.5 * (per_class + 20) / counts[k]) * (1 << 40)) + 1 for k in langs}))
+    sizes: dict[str, list] = {k: [] for k in langs}
+    for r in passing.select("lang", draw.alias("draw"), F.octet_length("text").alias("size")).collect():
+        sizes[r.lang].append((r.draw, r.size))
+    taken = {k: sorted(v)[:per_class] for k, v in sizes.items()}
+    limits = {k: (v[-1][0] if v else -1) + 1 for k, v in taken.items()}
+    share = min(1.0, WINDOWS / max(1, sum(-(-n // WINDOW) for v in taken.values() for _, n in v)))
+    number = {k: i for i, k in enumerate(langs)}
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offs in steps(batches):
+            text, start, _ = chunked(data, offs, WINDOW)
+            n = np.bincount(text, minlength=part.num_rows)
+            drawn = [np.random.default_rng(k).random(m) for k, m in zip(part.column("draw").to_pylist(), n.tolist(), strict=True)]
+            keep = np.flatnonzero(np.concatenate(drawn) < share)
+            label = np.array([number[x] for x in part.column("lang").to_pylist()], np.int32)
+            codes = codes_of(data, offs, text[keep], start[keep], WINDOW, WARM) if len(keep) else np.zeros((0, WINDOW + 2 * WARM), np.int16)
+            yield pa.RecordBatch.from_pydict({"label": pa.array(label[text[keep]]), "codes": pa.array([x.tobytes() for x in codes], pa.binary())})
+
+    drawn = passing.filter(draw < bound(limits)).select("lang", "text", draw.alias("draw")).mapInArrow(windows, "label int, codes binary").toArrow()
     net = BiGRU(len(langs), UNITS)
-    data, offs = as_bytes(pa.array(texts, pa.string()))
-    at = units(data, offs)
-    label = np.array(labels)[np.searchsorted(offs, at[:-1], "right") - 1]
-    # Every language weighs the same: units of a rare one are repeated.
-    size = np.bincount(label, minlength=len(langs))
-    groups = []
-    rng = np.random.default_rng(5)
-    pick = np.concatenate([rng.permutation(np.resize(np.flatnonzero(label == k), int(size.max()))) for k in range(len(langs)) if size[k]])
-    starts, lens = at[:-1][pick], np.diff(at)[pick]
-    for n in np.unique(lens):
-        rows_ = np.flatnonzero(lens == n)
-        groups.append((data[starts[rows_][:, None] + np.arange(n)], label[pick][rows_]))
-    if len(langs) > 1:
-        net.train(groups, training_steps)
+    if len(langs) > 1 and drawn.num_rows:
+        drawn = drawn.sort_by([("label", "ascending"), ("codes", "ascending")])
+        x = np.frombuffer(b"".join(drawn["codes"].to_pylist()), np.int16).reshape(drawn.num_rows, -1)
+        net.train(x, drawn["label"].to_numpy(), training_steps)
     return langs, net
 
 
@@ -154,13 +161,19 @@ def predict(langs: list[str], net: BiGRU | None, data: np.ndarray, offs: np.ndar
     return [langs[k] if yes else UNDEFINED for k, yes in zip(best, ok, strict=True)], np.where(ok, np.clip(p.max(1), 0, 1), 0.0)
 
 
-def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents in which a language is found, all columns as they came; the rest (no letter) are rejected."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
+def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """The documents in which a language is found, all columns as they came. The rest are rejected: those without a letter,
+    and those whose bytes the network ascribes to no language with a mean probability of least."""
+    langs, net = fit(docs, id_col, text_col, lang_col)
+    sent = docs.sparkSession.sparkContext.broadcast((langs, net))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in steps(batches, text_col):
-            lang, _ = predict(*sent.value, data, offs)
-            yield part.filter(pa.array([x != UNDEFINED for x in lang], pa.bool_()))
+            langs, net = sent.value
+            if net is None:  # nothing was labelled: there is no language to tell
+                yield part.filter(pa.array(has_letter(data, offs)))
+                continue
+            lang, score = predict(langs, net, data, offs)
+            yield part.filter(pa.array([x != UNDEFINED and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)
