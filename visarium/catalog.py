@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from visarium import views as v
 from visarium.functions import boxes, geometry, images, names, vectors
 from visarium.functions.geometry import CropConfig
-from visarium.operators import density, frames as fr, links, reconcile as rc, track
+from visarium.operators import density, frames as fr, links, reconcile as rc, render, track
 from visarium.plans import pipelines as pl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,6 +175,43 @@ def parse_annotation_name(spark, d):
     return f.withColumn("name", name).select("face_id", a["seconds"].alias("seconds"), a["frame"].alias("frame"), a["bbox"]["left"].alias("l"), a["bbox"]["bottom"].alias("b"))
 
 
+@query("""WITH {frames}, {faces}, m AS (SELECT round(frame_idx / 25.0::DOUBLE, 2) AS at, string_agg(printf('person_%03d', label) || ':' || l, ';' ORDER BY face_id) AS marks FROM faces GROUP BY ALL)
+    SELECT f.video_id, f.frame_idx, coalesce(marks, '') AS marks FROM frames f LEFT JOIN m ON m.at = f.ts_sec""")
+def annotation_at_time(spark, d):
+    marks = v.faces(spark, d).select(names.timestamp(F.col("frame_idx")).alias("seconds"), F.col("face_id").alias("frame"), "bbox", names.cluster_name(F.col("label")).alias("label"))
+    drawn = fr.annotate_at(v.frames(spark, d), marks)
+    text = F.array_join(F.transform("annotations", lambda a: F.concat_ws(":", a["label"], a["bbox"]["left"].cast("string"))), ";")
+    return drawn.select("video_id", "frame_idx", F.coalesce(text, F.lit("")).alias("marks"))
+
+
+@query("""WITH {faces}, f AS (SELECT face_id, printf('person_%03d', label) AS cluster, 'in/doc_' || (face_id % 700) || '.jpg' AS path FROM faces),
+    p AS (SELECT cluster, face_id, path, 'doc_' || (face_id % 700) || printf('_face%05d.jpg', face_id) AS name FROM f WHERE face_id % 700 IN (SELECT doc_id FROM documents))
+    SELECT cluster, face_id, path, 'original_frames/' || name AS target FROM p""")
+def original_copies(spark, d):
+    files = v.table(spark, d, "documents").select(F.format_string("in/doc_%d.jpg", "doc_id").alias("path"))
+    faces = v.faces(spark, d).select("face_id", names.cluster_name(F.col("label")).alias("cluster"), F.format_string("in/doc_%d.jpg", F.col("face_id") % 700).alias("source_file_path"))
+    return fr.original_copies(faces, files)
+
+
+@query("SELECT event_id FROM events WHERE event_id % 1500 IN (SELECT doc_id FROM documents)")
+def existing_files(spark, d):
+    files = v.table(spark, d, "documents").select(F.format_string("doc_%d", "doc_id").alias("path"))
+    return fr.existing(v.table(spark, d, "events").select("event_id", F.format_string("doc_%d", F.col("event_id") % 1500).alias("path")), files).select("event_id")
+
+
+@query("""WITH {faces}, o AS (SELECT *, printf('frame_%02d.jpg', frame_idx) AS frame_name, row_number() OVER (PARTITION BY frame_idx ORDER BY face_id) - 1 AS pos FROM faces)
+    SELECT frame_name, pos::INT AS pos, (label % 4)::INT AS cls, l::INT AS "left", r::INT AS "right" FROM o WHERE label % 4 IN (0, 2) AND (face_id % 100) / 100.0::DOUBLE >= 0.5""")
+def objects_explode(spark, d):
+    found = fr.objects_of(v.objects(spark, d), [0, 2], 0.5)
+    return found.select("frame_name", "pos", "cls", F.col("bbox.left").alias("left"), F.col("bbox.right").alias("right"))
+
+
+@query("""WITH {frames}, t AS (SELECT video_id, frame_idx, (event_id * 7 % 900)::INT AS "left" FROM frames WHERE event_id % 3 = 0) SELECT f.event_id, t."left" FROM frames f JOIN t USING (video_id, frame_idx)""")
+def frame_crop(spark, d):
+    track_ = v.frames(spark, d).filter("event_id % 3 = 0").select("video_id", "frame_idx", (F.col("event_id") * 7 % 900).cast("int").alias("left"))
+    return render.with_crop(v.frames(spark, d), track_).select("event_id", "left")
+
+
 @query("SELECT source, arg_min(printf('doc_%06d', doc_id), (-n_chars, printf('doc_%06d', doc_id))) AS path, max(n_chars) AS length FROM documents GROUP BY source")
 def largest_file(spark, d):
     files = v.table(spark, d, "documents").select("source", F.format_string("doc_%06d", "doc_id").alias("path"), F.col("n_chars").alias("length"))
@@ -533,6 +570,57 @@ def composite(spark, d):
     return t.select("vec_id", _join(out).alias("frame"))
 
 
+@query("""WITH {tiles}, b AS (SELECT *, vec_id % 5 AS l, vec_id % 3 - 1 AS t, vec_id % 5 + 3 AS r, vec_id % 3 + 4 AS b FROM tiles)
+    SELECT vec_id, array_to_string(list_transform(range(64), lambda k: CASE WHEN k % 8 BETWEEN l AND r AND k // 8 BETWEEN t AND b AND (k % 8 IN (l, r) OR k // 8 IN (t, b)) THEN 255 ELSE tile[k + 1] END), ' ') AS frame FROM b""")
+def draw_boxes(spark, d):
+    k = F.col("vec_id")
+    return v.tiles(spark, d).select("vec_id", _join(images.rectangle(F.col("tile"), 8, 8, boxes.box(k % 5, k % 3 - 1, k % 5 + 3, k % 3 + 4))).alias("frame"))
+
+
+def _cells(df, column):
+    """Every pixel a row, so that numbers compare as numbers."""
+    return df.select("vec_id", F.posexplode(column).alias("pos", "x")).select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 4).alias("x"))
+
+
+_BELL = "bell AS (SELECT list(w / (SELECT sum(exp(-(e * e) / 4.5::DOUBLE)) FROM range(-2, 3) AS s(e)) ORDER BY d) AS g FROM (SELECT d, exp(-(d * d) / 4.5::DOUBLE) AS w FROM range(-2, 3) AS r(d)))"
+_MIRROR = "(CASE WHEN abs({0}) > 7 THEN 14 - abs({0}) ELSE abs({0}) END)"
+
+
+@query(f"""WITH {{tiles}}, {_BELL}, mid AS (SELECT vec_id, g, list_transform(range(64), lambda k: list_sum(list_transform(range(5), lambda i: g[i + 1] * tile[{_MIRROR.format('(k // 8 + i - 2)')} * 8 + k % 8 + 1]))) AS m FROM tiles, bell),
+    out AS (SELECT vec_id, list_transform(range(64), lambda k: list_sum(list_transform(range(5), lambda i: g[i + 1] * m[(k // 8) * 8 + {_MIRROR.format('(k % 8 + i - 2)')} + 1]))) AS o FROM mid)
+    SELECT vec_id, unnest(range(64)) AS pos, round(unnest(o), 4) AS x FROM out""")
+def blur(spark, d):
+    return _cells(v.tiles(spark, d), images.blurred(F.col("tile"), 8, 8, 5, 1.5))
+
+
+_RESIZED = """wide AS (SELECT vec_id, list_transform(range({h} * 5), lambda k: list_sum(list_transform(range({w}), lambda j:
+        greatest(0, least((k % 5 + 1) * {w} / 5.0::DOUBLE, j + 1) - greatest(k % 5 * {w} / 5.0::DOUBLE, j)) / ({w} / 5.0::DOUBLE) * tile[(k // 5) * {w} + j + 1]))) AS m FROM {tiles}),
+    place AS (SELECT list(least(greatest((y + 0.5::DOUBLE) * {h} / 12 - 0.5, 0), {h} - 1) ORDER BY y) AS a FROM range(12) AS r(y)),
+    out AS (SELECT vec_id, list_transform(range(60), lambda k: (1 - (a[k // 5 + 1] - floor(a[k // 5 + 1]))) * m[floor(a[k // 5 + 1])::INT * 5 + k % 5 + 1]
+        + (a[k // 5 + 1] - floor(a[k // 5 + 1])) * m[least(floor(a[k // 5 + 1])::INT + 1, {h} - 1) * 5 + k % 5 + 1]) AS o FROM wide, place)
+    SELECT vec_id, unnest(range(60)) AS pos, round(unnest(o), 4) AS x FROM out"""
+
+
+@query("WITH {tiles}, " + _RESIZED.replace("{h}", "8").replace("{w}", "8").replace("{tiles}", "tiles"))
+def resize(spark, d):
+    return _cells(v.tiles(spark, d), images.resized(F.col("tile"), 8, 8, 5, 12))
+
+
+@query("WITH {tiles}, cut AS (SELECT vec_id, list_transform(range(48), lambda k: tile[(k // 6) * 8 + greatest(0, least(vec_id % 7 - 2, 2)) + k % 6 + 1]) AS tile FROM tiles), " + _RESIZED.replace("{h}", "8").replace("{w}", "6").replace("{tiles}", "cut"))
+def vertical_render(spark, d):
+    """Each tile cut at its crop's left edge and brought to the target's size."""
+    cut = v.tiles(spark, d).withColumn("tile", images.columns(F.col("tile"), 8, 8, F.col("vec_id") % 7 - 2, 6))
+    return _cells(cut, images.resized(F.col("tile"), 6, 8, 5, 12))
+
+
+@query(f"WITH {{tiles}}, m AS (SELECT vec_id, tile, {_UNION} AS mask, (SELECT tile FROM tiles WHERE vec_id = 1) AS back FROM tiles) SELECT vec_id, array_to_string(list_transform(range(1, 65), lambda k: CASE WHEN mask[k] = 255 THEN tile[k] ELSE back[k] END), ' ') AS frame FROM m")
+def background_image(spark, d):
+    t = v.tiles(spark, d)
+    back = F.broadcast(t.filter("vec_id = 1").select(F.col("tile").alias("back")))  # one image
+    out = images.composite(F.col("tile"), images.union_mask(_masks(), 0.5), images.background(F.col("tile"), image=F.col("back")))
+    return t.join(back).select("vec_id", _join(out).alias("frame"))
+
+
 # Density
 
 
@@ -581,7 +669,7 @@ def chinese_whispers(spark, d):
 
 @query()
 def cluster_methods(spark, d):
-    out, failed = density.run_methods(v.table(spark, d, "embeddings"), ["hdbscan", "agglomerative"])
+    out, failed = pl.cluster_methods(v.table(spark, d, "embeddings"))
     if failed:
         raise next(iter(failed.values()))
     return fr.label_summary(out)

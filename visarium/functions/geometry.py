@@ -21,6 +21,8 @@ class CropConfig:
     tolerance: int = 15
     scene_threshold: float = 28
     max_stretch: float = 1.2
+    blur_kernel: int = 51
+    blur_sigma: float = 30
     object_classes: tuple[int, ...] = field(default=(0, 1, 2, 3, 16, 17, 18))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from visarium.functions import rasters
+
 
 def let(value: Column, body) -> Column:
     """body(value) with the value worked out once, however often the body names it."""
@@ -61,6 +64,49 @@ def mean_difference(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0).cast("bigint"), lambda s, x: s + x) / F.size(a)
 
 
+def rectangle(tile: Column, width: int, height: int, box: Column, value: int = 255) -> Column:
+    """The tile with a box's outline (both ends drawn) in one value; what is off the tile is left out."""
+
+    def pixel(k: Column) -> Column:
+        x, y = k % width, F.floor(k / width).cast("int")
+        inside = (x >= box["left"]) & (x <= box["right"]) & (y >= box["top"]) & (y <= box["bottom"])
+        edge = (x == box["left"]) | (x == box["right"]) | (y == box["top"]) | (y == box["bottom"])
+        return F.when(inside & edge, value).otherwise(F.element_at(tile, k + 1))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), pixel)
+
+
+def _mapped(tile: Column, rows: np.ndarray, cols: np.ndarray) -> Column:
+    """rows x tile x cols', in doubles: any resampling or blur that works along the sides one after another."""
+    (to_h, h), (to_w, w) = rows.shape, cols.shape
+    given = lambda m: F.array(*(F.lit(float(x)) for x in m.ravel()))
+    total = lambda n, term: F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda s, i: s + term(i))
+
+    def down(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(to_h * w - 1)), lambda k: total(h, lambda i: F.element_at(a, (F.floor(k / w) * h + i + 1).cast("int")) * F.element_at(tile, (i * w + k % w + 1).cast("int"))))
+
+    def across(mid: Column) -> Column:
+        return let(given(cols), lambda b: F.transform(F.sequence(F.lit(0), F.lit(to_h * to_w - 1)), lambda k: total(w, lambda j: F.element_at(b, (k % to_w * w + j + 1).cast("int")) * F.element_at(mid, (F.floor(k / to_w) * w + j + 1).cast("int")))))
+
+    return let(let(given(rows), down), across)
+
+
+def resized(tile: Column, width: int, height: int, to_width: int, to_height: int) -> Column:
+    """The tile at another size, in doubles: shares of area where a side shrinks, between centres where it grows."""
+    return _mapped(tile, rasters.resize_weights(height, to_height), rasters.resize_weights(width, to_width))
+
+
+def blurred(tile: Column, width: int, height: int, kernel: int, sigma: float = 0) -> Column:
+    """The tile under a bell of odd length, in doubles."""
+    return _mapped(tile, rasters.blur_weights(height, kernel, sigma), rasters.blur_weights(width, kernel, sigma))
+
+
+def columns(tile: Column, width: int, height: int, left: Column, to_width: int) -> Column:
+    """So many columns of the tile from one on, which is moved so that they all exist."""
+    start = F.greatest(F.lit(0), F.least(left, F.lit(width - to_width))).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda y: F.slice(tile, y * width + start + 1, to_width)))
+
+
 def oval_mask(width: int, height: int, width_ratio: float, height_ratio: float) -> Column:
     """255 inside the ellipse around the centre whose half axes are shares of the frame's sides, else 0."""
     cx, cy, rx, ry = width // 2, height // 2, int(width * width_ratio), int(height * height_ratio)

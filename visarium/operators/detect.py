@@ -14,14 +14,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from visarium.functions.rasters import encode_png, quality
+
 FACES = "array<struct<bbox:struct<left:int,top:int,right:int,bottom:int>,embedding:array<double>,confidence:double,score:double>>"
 DETECTIONS = f"frame_name string, faces {FACES}"
+#: Objects have a class, and a mask of shares (of any size) where the model segments.
+OBJECTS = "array<struct<bbox:struct<left:int,top:int,right:int,bottom:int>,cls:int,confidence:double,mask:struct<height:int,width:int,share:array<float>>>>"
 
 
 class Detector(ABC):
     """Loads lazily, detects on one frame, lets go of its model in the end."""
 
     _loaded = False
+    #: The file that the frame now detected on comes from, for models that read files themselves.
+    origin: str | None = None
 
     def load(self) -> None:
         if not self._loaded:
@@ -76,8 +82,13 @@ def _instance(where: str, options: tuple) -> Detector:
     return _LOADED[where, options]
 
 
-def detect(frames: DataFrame, detector: str, **options: Any) -> DataFrame:
-    """frame_name, faces of frames (frame_name, image) by the detector module:Class with these options."""
+def _box(b: Any) -> dict[str, int]:
+    return dict(zip(("left", "top", "right", "bottom"), map(int, b), strict=True))
+
+
+def detect(frames: DataFrame, detector: str, first_only: bool = False, **options: Any) -> DataFrame:
+    """frame_name, faces of frames (frame_name, image) by the detector module:Class with these options; first_only keeps the
+    first face of a frame alone."""
     made = tuple(sorted(options.items()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,15 +97,38 @@ def detect(frames: DataFrame, detector: str, **options: Any) -> DataFrame:
             rows = []
             for name, image in zip(pdf["frame_name"], pdf["image"], strict=True):
                 pixels = np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"])
+                model.origin = image["origin"]
                 found = model.detect(name, pixels)
-                rows.append([{**f, "bbox": dict(zip(("left", "top", "right", "bottom"), map(int, f["bbox"]), strict=True))} for f in found])
+                rows.append([{**f, "bbox": _box(f["bbox"])} for f in (found[:1] if first_only else found)])
             yield pd.DataFrame({"frame_name": pdf["frame_name"], "faces": rows})
 
     return frames.select("frame_name", "image").mapInPandas(run, DETECTIONS)
 
 
+def detect_objects(frames: DataFrame, detector: str, **options: Any) -> DataFrame:
+    """frame_name, objects of frames: what the detector reports as bbox, cls, confidence and, if it segments, mask (an array of
+    shares, height x width)."""
+    made = tuple(sorted(options.items()))
+
+    def one(o: dict[str, Any]) -> dict[str, Any]:
+        m = o.get("mask")
+        mask = None if m is None else {"height": m.shape[0], "width": m.shape[1], "share": np.asarray(m, np.float32).ravel().tolist()}
+        return {"bbox": _box(o["bbox"]), "cls": int(o["cls"]), "confidence": o.get("confidence"), "mask": mask}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _instance(detector, made)
+        for pdf in batches:
+            rows = []
+            for name, image in zip(pdf["frame_name"], pdf["image"], strict=True):
+                model.origin = image["origin"]
+                rows.append([one(o) for o in model.detect(name, np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"]))])
+            yield pd.DataFrame({"frame_name": pdf["frame_name"], "objects": rows})
+
+    return frames.select("frame_name", "image").mapInPandas(run, f"frame_name string, objects {OBJECTS}")
+
+
 def crop_faces(faces: DataFrame, frames: DataFrame) -> DataFrame:
-    """file_name, width, height, content: each face's pixels, cut at the frame's edges; empty crops go."""
+    """file_name, width, height, content (a PNG), quality: each face's pixels, cut at the frame's edges; empty crops go."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -103,7 +137,8 @@ def crop_faces(faces: DataFrame, frames: DataFrame) -> DataFrame:
                 pixels = np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"])
                 cut = pixels[max(0, b["top"]) : b["bottom"], max(0, b["left"]) : b["right"]]
                 if cut.size:
-                    out.append((name, cut.shape[1], cut.shape[0], np.ascontiguousarray(cut).tobytes()))
-            yield pd.DataFrame(out, columns=["file_name", "width", "height", "content"])
+                    png = encode_png(cut)
+                    out.append((name, cut.shape[1], cut.shape[0], png, quality(cut, len(png))))
+            yield pd.DataFrame(out, columns=["file_name", "width", "height", "content", "quality"])
 
-    return faces.join(frames.select("frame_name", "image"), "frame_name").select("file_name", "bbox", "image").mapInPandas(run, "file_name string, width int, height int, content binary")
+    return faces.join(frames.select("frame_name", "image"), "frame_name").select("file_name", "bbox", "image").mapInPandas(run, "file_name string, width int, height int, content binary, quality double")

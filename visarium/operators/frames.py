@@ -93,6 +93,34 @@ def annotate(frames: DataFrame, faces: DataFrame) -> DataFrame:
     return frames.join(marks, ["video_id", "frame_idx"], "left")
 
 
+def annotate_at(frames: DataFrame, marks: DataFrame) -> DataFrame:
+    """frames (with ts_sec) with the (bbox, label) of the marks (seconds, frame, bbox, label) at exactly their time, to the
+    hundredth of a second, in order of frame and label: marks from annotated files know a time and no video."""
+    drawn = F.transform(F.array_sort(F.collect_list(F.struct("frame", "label", "bbox"))), lambda s: F.struct(s["bbox"].alias("bbox"), s["label"].alias("label")))
+    at = marks.groupBy(F.round("seconds", 2).alias("_at")).agg(drawn.alias("annotations"))
+    return frames.withColumn("_at", F.round("ts_sec", 2)).join(at, "_at", "left").drop("_at")
+
+
+def existing(rows: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
+    """The rows whose file is among the files (path)."""
+    return rows.join(files.select(F.col("path").alias(path)), path, "left_semi")
+
+
+def original_copies(faces: DataFrame, files: DataFrame) -> DataFrame:
+    """cluster, path, target: the whole frame or image that each face (face_id, cluster, source_file_path) comes from, under a
+    name of its own beside the cluster's faces. Faces whose file is not there have none."""
+    own = faces.filter(F.col("source_file_path").isNotNull()).select("face_id", "cluster", F.col("source_file_path").alias("path"))
+    named = existing(own, files).withColumn("name", names.original_name(F.element_at(F.split("path", "/"), -1), F.col("face_id")))
+    return unique_names(named, "cluster", "face_id").select("cluster", "face_id", "path", F.concat(F.lit("original_frames/"), "target").alias("target"))
+
+
+def objects_of(detections: DataFrame, classes: list[int] | None = None, least: float = 0.0) -> DataFrame:
+    """frame_name, pos, bbox, cls, confidence of the detected objects (of some classes, this sure)."""
+    flat = detections.select("frame_name", F.posexplode("objects").alias("pos", "o")).filter(F.coalesce("o.confidence", F.lit(1.0)) >= least)
+    rows = flat.select("frame_name", "pos", F.col("o.bbox").alias("bbox"), F.col("o.cls").alias("cls"), F.coalesce("o.confidence", F.lit(1.0)).alias("confidence"))
+    return rows if classes is None else of_classes(rows, classes)
+
+
 def largest_file(files: DataFrame, by: str) -> DataFrame:
     """The largest file of each folder; of equal ones the first path."""
     return files.groupBy(by).agg(F.min_by("path", F.struct(-F.col("length"), F.col("path"))).alias("path"), F.max("length").alias("length"))

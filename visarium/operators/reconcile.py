@@ -156,6 +156,10 @@ def regroup(faces: DataFrame, method: str = "multiple_representatives", assign_t
     out = stored(renumber(apply_merges(known, merges)), "regrouped")
     assigned = stored(assign_unknown(unknown, top_reps(out, options.get("n", REPRESENTATIVES)), SIMILARITY if assign_threshold is None else assign_threshold), "assigned")
     moved = unknown.join(assigned.select("face_id", F.col("cluster").alias("_to")), "face_id", "left").withColumn("cluster", F.coalesce("_to", "cluster")).select(*faces.columns)
-    stats = {"clusters": known.select("cluster").distinct().count(), "successful_merges": merges.count(), "assigned": assigned.count(), "processing_time": time.time() - began}
+    reps = top_reps(known, 1 if method == "single_representative" else options.get("n", REPRESENTATIVES)).groupBy("cluster").agg(F.count("*").alias("n"), F.count("embedding").alias("ok"))
+    # Pairs of representatives of two clusters, and those of them that lack a vector, from counts alone.
+    n, n2, ok, ok2 = reps.agg(F.sum("n"), F.sum(F.col("n") * F.col("n")), F.sum("ok"), F.sum(F.col("ok") * F.col("ok"))).first()
+    compared, sound = (((a or 0) ** 2 - (b or 0)) // 2 for a, b in ((n, n2), (ok, ok2)))
+    stats = {"clusters": known.select("cluster").distinct().count(), "total_comparisons": compared, "failed_comparisons": compared - sound, "successful_merges": merges.count(), "assigned": assigned.count(), "processing_time": time.time() - began}
     log.info("regroup by %s: %s", method, stats)
     return out.unionByName(moved), stats

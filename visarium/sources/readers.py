@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from visarium.functions import names
 
 IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 TASK = "frame_path string, face_location array<int>, all_face array<array<int>>, already_processed_face boolean"
+FACE = "face_id bigint, filename string, frame_number int, embedding array<double>, bbox struct<left:int,top:int,right:int,bottom:int>, confidence double, source_file_path string"
 CROP_TRACK = "fps int, width int, height int, crop_left array<int>"
 #: Artefacts smaller than this are broken downloads.
 LEAST_MODEL_BYTES = 5 * 1024 * 1024
@@ -64,7 +66,7 @@ def unreadable_images(spark: SparkSession, path: str, decoder: str | None = None
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Frame tasks of a JSON list; what is missing counts as not processed."""
+    """Frame tasks of a JSON list; what is missing counts as not processed, and has no face yet (null)."""
     return spark.read.schema(TASK).option("multiLine", True).json(path).withColumn("already_processed_face", F.coalesce("already_processed_face", F.lit(False)))
 
 
@@ -81,9 +83,23 @@ def read_crop_track(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("fps", "width", "height", F.posexplode("crop_left").alias("frame_idx", "left"))
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """A stored table of faces: Parquet, or JSON by its ending."""
-    return spark.read.json(path) if path.endswith(".json") else spark.read.parquet(path)
+def read_metadata(spark: SparkSession, path: str, schema: str = FACE) -> DataFrame:
+    """A stored table of faces: Parquet, or JSON (lines, or one list) of this schema by its ending."""
+    return spark.read.schema(schema).option("multiLine", True).json(path) if path.endswith(".json") and not _is_lines(spark, path) else spark.read.schema(schema).json(path) if path.endswith(".json") else spark.read.parquet(path)
+
+
+def _is_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON file or folder holds an object a line: then its first line begins with a brace."""
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    return first is not None and first.value.lstrip().startswith("{")
+
+
+def read_background(spark: SparkSession, path: str):
+    """The pixels of one image file, for visarium.operators.render.isolate_persons. One image: it goes to the driver."""
+    found = spark.read.format("image").load(path).filter("image.height > 0").select("image.*").first()
+    if found is None:
+        raise ValueError(f"no readable image at {path}")
+    return np.frombuffer(found.data, np.uint8).reshape(found.height, found.width, found.nChannels)
 
 
 def model_registry(spark: SparkSession, models: dict[str, str], files: DataFrame) -> DataFrame:
@@ -96,7 +112,7 @@ class FrameSource(DataSource):
     """Frames of a video through a caller's decoder, in parallel stretches: spark.read.format("frames").
 
     Options: path; decoder (module:function(path, start, stop) -> iterator of (index, height, width, channels, bytes));
-    count (frames); fps; stretch (frames of a partition); every (only each k-th frame is passed on).
+    count (frames), or counter (module:function(path) -> frames); fps; stretch (frames of a partition); every (only each k-th frame is passed on).
     """
 
     @classmethod
@@ -120,7 +136,12 @@ class _FrameReader(DataSourceReader):
         self.o = options
 
     def partitions(self) -> list[_Stretch]:
-        n, step = int(self.o["count"]), int(self.o.get("stretch", 1000))
+        step = int(self.o.get("stretch", 1000))
+        if "count" in self.o:
+            n = int(self.o["count"])
+        else:
+            module, _, fn = self.o["counter"].partition(":")
+            n = int(getattr(importlib.import_module(module), fn)(self.o["path"]))
         return [_Stretch(k, min(n, k + step)) for k in range(0, n, step)]
 
     def read(self, partition: _Stretch) -> Iterator[tuple]:
@@ -133,8 +154,8 @@ class _FrameReader(DataSourceReader):
 
 
 def read_source(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Frames of a video if count (its frames) and a decoder are given, else of a folder of images."""
-    if "count" in options:
+    """Frames of a video if count (its frames) or counter and a decoder are given, else of a folder of images."""
+    if {"count", "counter"} & set(options):
         spark.dataSource.register(FrameSource)
         return spark.read.format("frames").options(path=path, **options).load()
     return read_images(spark, path, **options)

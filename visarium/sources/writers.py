@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visarium.functions.names import cluster_name
-from visarium.operators.frames import unique_names
+from visarium.operators.frames import original_copies, unique_names
 
 
 def write_clusters(faces: DataFrame, labels: DataFrame, path: str, order: str = "face_id") -> None:
@@ -18,6 +18,13 @@ def write_clusters(faces: DataFrame, labels: DataFrame, path: str, order: str =
     unique_names(named, "cluster", order).write.mode("overwrite").partitionBy("cluster").parquet(path)
 
 
+def write_originals(faces: DataFrame, files: DataFrame, path: str) -> None:
+    """The whole frames or images (files: path, content) that faces (face_id, cluster, source_file_path) come from, in folders by
+    cluster, each under the face's own name."""
+    named = original_copies(faces, files)
+    named.join(files.select("path", "content"), "path").select("cluster", "target", "path", "content").write.mode("overwrite").partitionBy("cluster").parquet(path)
+
+
 def write_crop_track(track: DataFrame, path: str, fps: int, width: int, height: int) -> None:
     """One JSON object a video: fps, width, height and the left edges in frame order."""
     lefts = F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "left"))), lambda s: s["left"])

@@ -36,6 +36,13 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("row", row).groupBy("frame_name").agg(F.transform(F.array_sort(F.collect_list("row"), lambda a, b: (a["face_id"] - b["face_id"]).cast("int")), lambda r: r["f"]).alias("faces"))
 
 
+def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as a model of many classes reports them."""
+    f = faces(spark, sf_dir).withColumn("frame_name", F.format_string("frame_%02d.jpg", "frame_idx"))
+    o = F.struct("bbox", (F.col("label") % 4).cast("int").alias("cls"), ((F.col("face_id") % 100) / 100.0).alias("confidence"))
+    return f.groupBy("frame_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("face_id", o.alias("o"))), lambda a, b: (a["face_id"] - b["face_id"]).cast("int")), lambda r: r["o"]).alias("objects"))
+
+
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faces in twelve clusters, with quality and time."""
     e = F.col("embedding").cast("array<double>")
