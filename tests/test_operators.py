@@ -12,7 +12,7 @@ from visarium.functions import boxes, geometry, images, names, vectors
 from visarium.functions.geometry import CropConfig, TrackConfig, smoothed
 from visarium.operators import density, frames as fr, reconcile as rc, track
 from visarium.operators.leader import leaders, ordered_leader
-from visarium.operators.links import nearest_distances, vector_links
+from visarium.operators.links import blocks_compared, nearest_distances, vector_links
 from visarium.plans import pipelines as pl
 
 
@@ -79,6 +79,39 @@ def test_vector_links(spark, metric, threshold, block):
     assert vector_links(left.filter("false"), threshold, metric).count() == 0
 
 
+def test_bounds_leave_clusters_apart_out(spark):
+    """Narrow clusters are compared with themselves alone; vectors without structure cannot be told apart and all are."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(8, 16))
+    x = np.concatenate([c + rng.normal(0, 0.01, (40, 16)) for c in centres])[rng.permutation(320)]
+    kept, every = blocks_compared(vecs(spark, x), 0.9, block=10)
+    assert kept < 0.4 * every
+    assert vector_links(vecs(spark, x), 0.9, block=10).count() == 8 * 40 * 39 // 2
+    kept, every = blocks_compared(vecs(spark, rng.normal(size=(320, 64))), 0.9, block=10)
+    assert kept == every
+    with pytest.raises(Exception, match="length|shape|dimension"):
+        vector_links(vecs(spark, [[1, 2], [1, 2, 3]]), 0.5).count()
+
+
+@pytest.mark.parametrize("metric,threshold", [("cosine", 0.8), ("euclid", 0.5)])
+def test_links_of_clustered_vectors_in_many_groups(spark, metric, threshold):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([c + rng.normal(0, 0.2, (25, 3)) for c in rng.normal(size=(6, 3))] + [np.ones((20, 3))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    near = u @ u.T >= threshold if metric == "cosine" else d <= threshold
+    want = {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
+    got = [(r.src, r.dst) for r in vector_links(vecs(spark, x), threshold, metric, block=6, group=2).collect()]
+    if metric == "cosine":  # values on the threshold may fall either way in another order of sums
+        unsure = {(i, j) for i, j in zip(*np.nonzero(np.abs(u @ u.T - threshold) < 1e-9), strict=True)}
+        assert set(got) - unsure == want - unsure
+    else:
+        assert set(got) == want
+    assert len(got) == len(set(got))
+    core = np.sort(d, axis=1)[:, 4]
+    assert np.allclose([r.core for r in nearest_distances(vecs(spark, x), 5, block=6, group=2).orderBy("vec_id").collect()], core)
+
+
 def test_thresholds_are_inclusive(spark):
     assert vector_links(vecs(spark, [[0, 0], [3, 4]]), 5.0, "euclid").count() == 1
     assert vector_links(vecs(spark, [[1, 0], [0.5, 0]]), 0.5, "dot").count() == 1

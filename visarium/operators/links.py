@@ -1,9 +1,14 @@
 """Similarity joins of vectors.
 
-Vectors are dealt into blocks along one projection and a block becomes one row of packed numbers. Two blocks are compared - one
-matrix product - only if their stretches of the projection are near enough for the threshold (two vectors
-are at least as far apart as their projections), so a high threshold leaves out most of the work, exactly. Only pairs
-that pass leave the task.
+Vectors are dealt into blocks by the nearest of some pivots and the distance to it, and blocks that follow one another
+into groups. A task gets a tile: the blocks of two groups, so a vector is shipped once for each group and not once for each
+block. Every block knows its centre, its radius and how far from the first pivots it reaches; by the triangle inequality
+two blocks, or two groups, that are further apart than linked vectors can be are not compared, exactly. Only pairs that
+pass leave the task.
+
+How much is left out depends on the vectors: clusters that are narrow beside their distances are never compared, while
+vectors without any structure are all about as far from each other, and then every tile is compared - one matrix product
+for a pair of blocks - whatever the threshold. A dot product bounds no distance, so it compares all tiles as well.
 """
 
 from __future__ import annotations
@@ -13,145 +18,250 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visarium.tables import stored
 
-#: Vectors of a block.
-BLOCK = 1024
+#: Vectors of a block, blocks of a group at most, pivots, vectors that pivots are chosen from, pivots that blocks are told apart by.
+BLOCK, GROUP, PIVOTS, SAMPLE, TOLD = 1024, 32, 256, 2048, 16
+
+PACKED = "grp int, blk int, ids binary, vecs binary, lo array<double>, hi array<double>, centre binary, radius double"
+
+
+def _rows(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    return df.filter(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+
+
+def _scaled(x: np.ndarray, metric: str) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if metric == "cosine" else x
+
+
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x from all rows of y."""
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T), 0))
+
+
+def pivots(rows: DataFrame, metric: str, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of a bounded sample, each the furthest from those before, in an order in which neighbours are near; and the
+    first of them as chosen, by which blocks are told apart."""
+    most = min(PIVOTS, max(TOLD, -(-rows.count() // block)))
+    found = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
+    if not found:
+        return np.zeros((1, 1)), np.zeros((1, 1))
+    x = _scaled(np.array(found, float), metric)  # vectors of several lengths are an error here
+    chosen, gap = [0], _gaps(x, x[:1])[:, 0]
+    while len(chosen) < min(most, len(x)) and gap.max() > 1e-9:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, _gaps(x, x[chosen[-1:]])[:, 0])
+    tour, gap = [0], _gaps(x[chosen], x[chosen])
+    left = np.ones(len(chosen), bool)
+    for _ in range(len(chosen) - 1):
+        left[tour[-1]] = False
+        tour.append(int(np.where(left, gap[tour[-1]], np.inf).argmin()))
+    return x[chosen][tour], x[chosen[:TOLD]]
 
 
-def _packed(df: DataFrame, id_col: str, vec_col: str, metric: str, block: int) -> DataFrame:
-    """block, lo, hi (stretch of the projection), ids, vecs (packed) of the vectors that are not null."""
-    rows = df.filter(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    # The first position is as good a projection as any other unit vector, once vectors are normalised.
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    at = F.element_at("v", 1) / (F.greatest(size, F.lit(1e-12)) if metric == "cosine" else F.lit(1.0))
-    rows = rows.withColumn("at", at)
-    n = rows.count()
+def _packed(rows: DataFrame, metric: str, pivot: tuple[np.ndarray, np.ndarray], block: int, group: int) -> DataFrame:
+    """The vectors in blocks of blocks, stored: numbers as packed bytes, and what bounds their distance to other blocks."""
+    n, (cells, told) = rows.count(), pivot
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-n // block))
-    if blocks > 1:
-        borders = rows.agg(F.percentile_approx("at", [k / blocks for k in range(1, blocks)], 10 * blocks)).first()[0]
-        # Equal projections are spread over the blocks that share a border by the id.
-        cut = F.size(F.filter(F.array(*(F.lit(float(b)) for b in borders)), lambda b: b < F.col("at")))
-        rows = rows.withColumn("block", cut)
-    else:
-        rows = rows.withColumn("block", F.lit(0))
+    # Few blocks still make several tiles for every task slot; many make groups of a bounded size.
+    groups = max(-(-blocks // group), min(blocks, int(np.ceil(np.sqrt(4 * parts)))))
+    size = max(1, min(block, -(-n // groups)))
 
-    # Many vectors with one projection share a block: it is split by id into parts of a bounded size.
-    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    rows = rows.join(F.broadcast(sizes), "block").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                gap = _gaps(_scaled(np.stack(pdf["v"].to_numpy()).astype(float), metric), cells)
+                cell = gap.argmin(1)
+                yield pdf.assign(cell=cell.astype("int32"), gap=gap[np.arange(len(pdf)), cell])
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = (int(pdf["block"].iloc[0]), int(pdf["sub"].iloc[0]), float(pdf["at"].min()), float(pdf["at"].max()), pdf["id"].to_numpy("<i8").tobytes(), np.stack(pdf["v"].to_numpy()).astype("<f8").tobytes())
-        return pd.DataFrame([row], columns=["block", "sub", "lo", "hi", "ids", "vecs"])
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        many = number = 0
+        grp = TaskContext.get().partitionId()
 
-    return rows.groupBy("block", "sub").applyInPandas(pack, "block int, sub int, lo double, hi double, ids binary, vecs binary")
+        def one(pdf: pd.DataFrame) -> tuple:
+            x = _scaled(np.stack(pdf["v"].to_numpy()).astype(float), metric)
+            gap, centre = _gaps(x, told), x.mean(0)
+            return grp, number, pdf["id"].to_numpy("<i8").tobytes(), x.astype("<f8").tobytes(), gap.min(0).tolist(), gap.max(0).tolist(), centre.astype("<f8").tobytes(), float(np.sqrt(((x - centre) ** 2).sum(1)).max())
 
+        for pdf in batches:
+            held.append(pdf)
+            many += len(pdf)
+            while many >= size:
+                whole = pd.concat(held)
+                yield pd.DataFrame([one(whole[:size])], columns=[c.split()[0] for c in PACKED.split(", ")])
+                held, many, number = [whole[size:]], many - size, number + 1
+        if many:
+            yield pd.DataFrame([one(pd.concat(held))], columns=[c.split()[0] for c in PACKED.split(", ")])
 
-def _unpack(ids: bytes, vecs: bytes) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, "<i8")
-    return i, np.frombuffer(vecs, "<f8").reshape(len(i), -1)
+    dealt = rows.mapInPandas(place, "id bigint, v array<double>, cell int, gap double").repartitionByRange(groups, "cell", "gap", "id").sortWithinPartitions("cell", "gap", "id")
+    return stored(dealt.mapInPandas(pack, PACKED), "blocks")
 
 
-def _compare(metric: str, threshold: float, itself: bool):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                ia, a = _unpack(b.column("ids_a")[r].as_py(), b.column("vecs_a")[r].as_py())
-                ib, c = _unpack(b.column("ids_b")[r].as_py(), b.column("vecs_b")[r].as_py())
-                if a.shape[1] != c.shape[1]:
-                    raise ValueError("vectors of several lengths")
-                if metric == "cosine":
-                    a, c = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (a, c))
-                if metric == "euclid":
-                    rough = (a * a).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * (a @ c.T)
-                    i, j = np.nonzero(rough <= threshold * threshold + 1e-6 * (1 + threshold * threshold))
-                    value = np.sqrt(((a[i] - c[j]) ** 2).sum(1))
-                    ok = value <= threshold
-                else:
-                    rough = a @ c.T
-                    i, j = np.nonzero(rough >= threshold)
-                    value = rough[i, j]
-                    ok = np.ones(len(i), bool)
-                i, j, value = i[ok], j[ok], value[ok]
-                src, dst = ia[i], ib[j]
-                if itself:
-                    one = bool(b.column("same")[r].as_py())
-                    keep = src < dst if one else src != dst
-                    src, dst, value = np.minimum(src, dst)[keep], np.maximum(src, dst)[keep], value[keep]
-                yield pa.RecordBatch.from_pydict({"src": src, "dst": dst, "value": value})
-
-    return compare
+def _numbers(raw: bytes, kind: str = "<f8", width: int = 1) -> np.ndarray:
+    return np.frombuffer(raw, kind).reshape(-1, width) if width > 1 else np.frombuffer(raw, kind)
+
+
+class _Blocks:
+    """The blocks of one group, as a task holds them."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by("blk")
+        self.ids = [_numbers(x, "<i8") for x in table["ids"].to_pylist()]
+        self.vecs = [np.frombuffer(x, "<f8").reshape(len(i), -1) for x, i in zip(table["vecs"].to_pylist(), self.ids, strict=True)]
+        self.lo, self.hi = (np.array(table[c].to_pylist()) for c in ("lo", "hi"))
+        self.centre, self.radius = np.array([_numbers(x) for x in table["centre"].to_pylist()]), table["radius"].to_numpy()
+
+    def apart(self, other: _Blocks) -> np.ndarray:
+        """How far apart vectors of two blocks are at least, for all pairs of blocks."""
+        if self.centre.shape[1] != other.centre.shape[1]:
+            raise ValueError("vectors of several lengths")
+        by_centre = _gaps(self.centre, other.centre) - self.radius[:, None] - other.radius[None]
+        by_pivot = np.maximum(self.lo[:, None] - other.hi[None], other.lo[None] - self.hi[:, None]).max(2)
+        return np.maximum(by_centre, by_pivot)
+
+
+def _tiles(a: DataFrame, b: DataFrame, both_ways: bool, reach: Column) -> DataFrame:
+    """ga, gb of the pairs of groups that may hold links: numbers of groups are paired, not rows joined with all others."""
+    told = lambda c, best: F.array(*(best(F.get(F.col(c), F.lit(k))) for k in range(TOLD)))
+    stats = lambda d: d.groupBy("grp").agg(told("lo", F.min).alias("lo"), told("hi", F.max).alias("hi"), *([F.max("reach").alias("reach")] if "reach" in d.columns else []))
+    left, right = stored(stats(a), "groups"), stored(stats(b), "groups")
+    numbers = right.agg(F.sort_array(F.collect_list("grp")).alias("all")).first()["all"]  # one number for each group
+    if not numbers:
+        return left.select(F.col("grp").alias("ga"), F.col("grp").alias("gb")).filter("false")
+    first = F.col("grp") if not both_ways else F.lit(numbers[0])
+    pairs = left.withColumn("gb", F.explode(F.sequence(F.least(first, F.lit(numbers[-1])), F.lit(numbers[-1]))))
+    full = pairs.withColumnRenamed("grp", "ga").join(right.select(F.col("grp").alias("gb"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "gb")
+    gap = F.array_max(F.zip_with(F.zip_with("lo", "hi2", lambda x, y: x - y), F.zip_with("lo2", "hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y)))
+    return full.filter(F.coalesce(gap, F.lit(0.0)) <= reach).select("ga", "gb")
+
+
+def _each_tile(a: DataFrame, b: DataFrame, tiles: DataFrame, run, schema: str) -> DataFrame:
+    """run(ga, gb, blocks of ga, blocks of gb) for every tile."""
+    left = a.withColumnRenamed("grp", "ga").join(tiles, "ga").groupBy("ga", "gb")
+    fresh = b.select(*(F.col(c).alias("gb" if c == "grp" else f"b_{c}") for c in b.columns))  # the same table may be on both sides
+    right = fresh.join(tiles.select(F.col("ga").alias("ga"), F.col("gb").alias("gb")), "gb")
+    right = right.select("ga", "gb", *(F.col(f"b_{c}").alias(c) for c in b.columns if c != "grp")).groupBy("ga", "gb")
+
+    def tile(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        return run(key[0].as_py(), key[1].as_py(), x, y)
+
+    return left.cogroup(right).applyInArrow(tile, schema)
+
+
+def _compare(a: np.ndarray, c: np.ndarray, metric: str, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a and of c that are linked, and their value."""
+    rough = a @ c.T
+    if metric != "euclid":
+        i, j = np.nonzero(rough >= threshold)
+        return i, j, rough[i, j]
+    rough = (a * a).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * rough
+    i, j = np.nonzero(rough <= threshold * threshold + 1e-6 * (1 + threshold * threshold))
+    value = np.sqrt(((a[i] - c[j]) ** 2).sum(1))
+    ok = value <= threshold
+    return i[ok], j[ok], value[ok]
 
 
 def _reach(metric: str, threshold: float) -> float:
-    """How far apart the projections of two linked vectors can be."""
+    """How far apart two linked vectors can be, with a little for rounding."""
     if metric == "euclid":
-        return threshold
-    return float(np.sqrt(max(0.0, 2 - 2 * threshold))) if metric == "cosine" else float("inf")
+        return threshold + 1e-6 * (1 + threshold)
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6 if metric == "cosine" else float("inf")
 
 
-def vector_links(df: DataFrame, threshold: float, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", other: DataFrame | None = None, other_id: str | None = None, block: int = BLOCK) -> DataFrame:
+def vector_links(df: DataFrame, threshold: float, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", other: DataFrame | None = None, other_id: str | None = None, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """src, dst, value of all pairs with cosine or dot >= threshold, or euclid <= threshold.
 
-    Within one table src < dst; with another table src is of the first and dst of the other."""
+    Within one table src < dst; with another table src is of the first and dst of the other. Null vectors and ids have no
+    links; vectors of several lengths are an error."""
     if metric not in ("cosine", "dot", "euclid"):
         raise ValueError(f"unknown metric {metric!r}")
-    a = stored(_packed(df, id_col, vec_col, metric, block), "blocks")
-    b = stored(_packed(other, other_id or id_col, vec_col, metric, block), "blocks") if other is not None else a
-    name = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in d.columns))
-    # Pairs of blocks are told from their stretches alone: a few bytes a block.
-    near = lambda d: d.drop("ids", "vecs")
-    left, right = name(near(a), "a"), name(near(b), "b")
-    reach = _reach(metric, threshold) + 1e-9
-    close = (F.col("lo_a") - F.col("hi_b") <= reach) & (F.col("lo_b") - F.col("hi_a") <= reach)
-    if other is None:
-        close &= F.struct("block_a", "sub_a") <= F.struct("block_b", "sub_b")
-    pairs = left.join(F.broadcast(right), close).select("block_a", "sub_a", "block_b", "sub_b")
-    packed = lambda d, s: name(d.select("block", "sub", "ids", "vecs"), s)
-    full = pairs.join(packed(a, "a"), ["block_a", "sub_a"]).join(packed(b, "b"), ["block_b", "sub_b"])
-    full = full.select("ids_a", "vecs_a", "ids_b", "vecs_b", ((F.col("block_a") == F.col("block_b")) & (F.col("sub_a") == F.col("sub_b"))).alias("same"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return full.repartition(parts).mapInArrow(_compare(metric, threshold, other is None), "src bigint, dst bigint, value double")
-
-
-def nearest_distances(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """id, core: Euclidean distance to the k-th nearest vector, the vector itself counting as the first.
-
-    Within its own block a vector finds k neighbours, whose distance bounds the answer. Only blocks whose stretch of the
-    projection is nearer than the largest of a block's bounds are compared with it, exactly."""
-    a = stored(_packed(df, id_col, vec_col, "euclid", block), "blocks")
-    side = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in d.columns))
-
-    def closest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T)
-        m = min(k + 2, rough.shape[1])
-        j = np.argpartition(rough, m - 1, axis=1)[:, :m]
-        return np.sort(np.sqrt(((x[:, None] - y[j]) ** 2).sum(2)), axis=1)[:, :k]
+    rows = _rows(df, id_col, vec_col)
+    pivot = pivots(rows, metric, block)
+    a = _packed(rows, metric, pivot, block, group)
+    b = a if other is None else _packed(_rows(other, other_id or id_col, vec_col), metric, pivot, block, group)
+    reach, alone = _reach(metric, threshold), other is None
+
+    def run(ga: int, gb: int, x: pa.Table, y: pa.Table) -> pa.Table:
+        x, y = _Blocks(x), _Blocks(y)
+        itself = alone and ga == gb
+        out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+        for i, j in zip(*np.nonzero(x.apart(y) <= reach), strict=True):
+            if itself and i > j:
+                continue
+            p, q, value = _compare(x.vecs[i], y.vecs[j], metric, threshold)
+            src, dst = x.ids[i][p], y.ids[j][q]
+            if alone:
+                keep = src < dst if itself and i == j else src != dst
+                src, dst, value = np.minimum(src, dst)[keep], np.maximum(src, dst)[keep], value[keep]
+            out.append((src, dst, value))
+        return pa.table(dict(zip(("src", "dst", "value"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
+
+    return _each_tile(a, b, _tiles(a, b, not alone, F.lit(reach)), run, "src bigint, dst bigint, value double")
+
+
+def _closest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest distances of each row of x to rows of y, in order; fewer if y has fewer."""
+    rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T)
+    m = min(k + 2, rough.shape[1])
+    j = np.argpartition(rough, m - 1, axis=1)[:, :m]
+    return np.sort(np.sqrt(((x[:, None] - y[j]) ** 2).sum(2)), axis=1)[:, :k]
+
+
+def nearest_distances(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, group: int = GROUP) -> DataFrame:
+    """id, core: Euclidean distance to the k-th nearest vector, the vector itself counting as the first; with fewer vectors to
+    the furthest.
+
+    Within its own block a vector finds k neighbours, whose distance bounds the answer. Only blocks that may hold something
+    nearer than the largest of a block's bounds are compared with it, exactly."""
+    rows = _rows(df, id_col, vec_col)
+    pivot = pivots(rows, "euclid", block)
+    a = _packed(rows, "euclid", pivot, block, group)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             most = []
             for i, v in zip(b.column("ids"), b.column("vecs"), strict=True):
-                _, x = _unpack(i.as_py(), v.as_py())
-                most.append(float(closest(x, x)[:, -1].max()) if len(x) >= k else float("inf"))
-            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in ("block", "sub", "lo", "hi")} | {"reach": pa.array(most)})
+                n = len(i.as_py()) // 8
+                x = np.frombuffer(v.as_py(), "<f8").reshape(n, -1)
+                most.append(float(_closest(x, x, k)[:, -1].max()) * (1 + 1e-9) + 1e-9 if n >= k else float("inf"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(most)], [*b.schema.names, "reach"])
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                ia, x = _unpack(b.column("ids_a")[r].as_py(), b.column("vecs_a")[r].as_py())
-                _, y = _unpack(b.column("ids_b")[r].as_py(), b.column("vecs_b")[r].as_py())
-                d = closest(x, y)
-                yield pa.RecordBatch.from_pydict({"id": np.repeat(ia, d.shape[1]), "d": d.ravel()})
-
-    stretch = stored(a.mapInArrow(bound, "block int, sub int, lo double, hi double, reach double"), "stretch")
-    near_by = (F.col("lo_a") - F.col("hi_b") <= F.col("reach_a") + 1e-9) & (F.col("lo_b") - F.col("hi_a") <= F.col("reach_a") + 1e-9)
-    pairs = side(stretch, "a").join(F.broadcast(side(stretch.drop("reach"), "b")), near_by).select("block_a", "sub_a", "block_b", "sub_b")
-    packed = a.select("block", "sub", "ids", "vecs")
-    full = pairs.join(side(packed, "a"), ["block_a", "sub_a"]).join(side(packed, "b"), ["block_b", "sub_b"])
-    near = full.select("ids_a", "vecs_a", "ids_b", "vecs_b").mapInArrow(some, "id bigint, d double")
+    told = stored(a.mapInArrow(bound, f"{PACKED}, reach double"), "blocks")
+
+    def run(ga: int, gb: int, x: pa.Table, y: pa.Table) -> pa.Table:
+        reach = x.sort_by("blk")["reach"].to_numpy()
+        x, y = _Blocks(x), _Blocks(y)
+        apart, ids, found = x.apart(y), [], []
+        for i in range(len(x.ids)):
+            near = [_closest(x.vecs[i], y.vecs[j], k) for j in np.flatnonzero(apart[i] <= reach[i])]
+            if near:
+                d = np.sort(np.concatenate(near, 1), axis=1)[:, :k]
+                ok = d <= reach[i]
+                ids.append(np.repeat(x.ids[i], ok.sum(1)))
+                found.append(d[ok])
+        return pa.table({"id": np.concatenate(ids) if ids else np.zeros(0, np.int64), "d": np.concatenate(found) if found else np.zeros(0)})
+
+    near = _each_tile(told, told, _tiles(told, told, True, F.col("reach")), run, "id bigint, d double")
     ranked = F.slice(F.array_sort(F.collect_list("d")), 1, k)
     return near.groupBy("id").agg(F.element_at(ranked, -1).alias("core")).withColumnRenamed("id", id_col)
+
+
+def blocks_compared(df: DataFrame, threshold: float, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> tuple[int, int]:
+    """Pairs of blocks that vector_links compares within one table, and all pairs: what the bounds leave out of these vectors."""
+    rows = _rows(df, id_col, vec_col)
+    a = _packed(rows, metric, pivots(rows, metric, block), block, GROUP)
+    reach = _reach(metric, threshold)
+
+    def run(ga: int, gb: int, x: pa.Table, y: pa.Table) -> pa.Table:
+        near = _Blocks(x).apart(_Blocks(y)) <= reach
+        return pa.table({"n": [int(np.triu(near).sum() if ga == gb else near.sum())]})
+
+    n = a.count()
+    kept = _each_tile(a, a, _tiles(a, a, False, F.lit(reach)), run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return kept, n * (n + 1) // 2
