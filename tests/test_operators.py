@@ -38,7 +38,7 @@ def greedy(n, near):
     return label
 
 
-@pytest.mark.parametrize("small", [10**6, 0])
+@pytest.mark.parametrize("small", [10**6, 40, 0])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_ordered_leader(spark, small, seed):
     rng = random.Random(seed)
@@ -50,6 +50,14 @@ def test_ordered_leader(spark, small, seed):
     assert [r.label for r in got.orderBy("id").collect()] == want
 
 
+def test_leaders_of_a_long_chain(spark):
+    """Neighbours in a sequence: every second one leads. The end of the chain is decided in one task."""
+    n = 300
+    v = spark.range(n).select("id", F.col("id").alias("ord"))
+    got = {r.id: r.leader for r in leaders(v, spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), small=295).collect()}
+    assert got == {k: k - k % 2 for k in range(n)}
+
+
 def test_leader_is_one_hop_and_empty(spark):
     v = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, ord int")
     chain = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
