@@ -17,7 +17,7 @@ from visarium.llm.chunks import ChunkEncoder, tokenizer_path
 from visarium.llm.exact_dedup import drop_exact_copies, exact_groups
 from visarium.llm.packing import packed
 from visarium.llm.simhash import fingerprint, near_duplicates
-from visarium.llm.wavelet import WaveletFile, encode_file, read_tokens, write_tokens
+from visarium.llm.wavelet import WaveletFile, encode_file, read_tokens, shard_starts, write_tokens
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n", T.LongType()), T.StructField("digest", T.StringType())])
 ODD = ["", None, " ", "A", "a", "É", "é", "don't I'll", "x<|endoftext|>y", "a  b\n\nc", "日本 語、x", "b " * 3000, "z" * 5000]
@@ -166,16 +166,43 @@ def crc(ids):
 
 def test_token_files(spark, docs, tmp_path):
     want = library_ids("word_bpe_49k.json", docs, 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     files = write_tokens(frame(spark, docs), tokenizer_path("word_bpe_49k.json"), 2, str(tmp_path / "t"), file_tokens=500)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     at = 0
     for r in sorted(read_tokens(files).collect(), key=lambda r: r.doc_id):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(want[r.doc_id]), crc(want[r.doc_id]))
         at += r.n_tokens
     assert at == sum(map(len, want.values()))
+    shards = {(r.shard, r.part): r.n_tokens for r in files.select("shard", "part", "n_tokens").collect()}
+    assert len(shards) > len({s for s, _ in shards})  # some shard has several files
+    key = lambda r: (r.doc_id, r.start)
+    assert sorted(read_tokens(files, broadcast=0).collect(), key=key) == sorted(read_tokens(files).collect(), key=key)
+    sums, at = {}, 0
+    for (s, _), n in shards.items():
+        sums[s] = sums.get(s, 0) + n
+    for r in shard_starts(files, together=2).orderBy("shard").collect():
+        assert r.first == at
+        at += sums[r.shard]
     empty = write_tokens(frame(spark, []), tokenizer_path("word_bpe_49k.json"), 2, str(tmp_path / "e"))
     assert read_tokens(empty).count() == 0
 
 
+def test_token_files_of_null_and_repeated_ids(spark, tmp_path):
+    """Null ids come first, rows that repeat an id stand side by side, texts beyond a step and clashing columns are no matter."""
+    long = "rain in spain, " * 300_000
+    rows = [(5, "b c"), (None, "a"), (5, "b c"), (None, None), (7, long), (5, "x")]
+    docs = spark.createDataFrame([(i, t, 3, b"q") for i, t in rows], "doc_id long, text string, shard int, payload binary")
+    got = sorted(read_tokens(write_tokens(docs, tokenizer_path("word_bpe_49k.json"), 2, str(tmp_path / "n"))).collect(), key=lambda r: r.start)
+    want = library_ids("word_bpe_49k.json", [(k, t) for k, (_, t) in enumerate(rows)], 2)
+    assert [r.doc_id for r in got] == [None, None, 5, 5, 5, 7]
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(i), len(want[k]), crc(want[k])) for k, (i, _) in enumerate(rows))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+
+
 def test_wavelet_file():
     rng = np.random.default_rng(0)
     for n, most in ((1, 1), (7, 5), (3000, 40), (2000, 49408), (1500, 1 << 20)):
@@ -190,6 +217,21 @@ def test_wavelet_file():
         assert f.count(most + 5) == 0
 
 
+def test_wavelet_file_reads_only_the_chunks_it_needs(monkeypatch):
+    import visarium.llm.wavelet as w
+
+    monkeypatch.setattr(w, "CHUNK", 1024)
+    ids = np.random.default_rng(1).integers(0, 3000, 9000).astype(np.uint32)
+    raw = encode_file(ids, np.array([4000, 0, 5000]))
+    f = WaveletFile(raw)
+    assert f.access(7777) == ids[7777] and len(f._open) <= f.planes
+    t = int(ids[123])
+    assert f.occurrences(t) == np.flatnonzero(ids == t).tolist() and f.count(t, 100, 8000) == int((ids[100:8000] == t).sum())
+    assert f.all().tolist() == ids.tolist() and f.offsets.tolist() == [0, 4000, 4000, 9000] and len(f._open) <= w.KEPT
+    with pytest.raises(ValueError):
+        WaveletFile(b"none" + raw[4:])
+
+
 def test_packing(spark, docs):
     want = library_ids("byte_bpe_50k.json", docs, 0)
     rows = packed(frame(spark, docs), tokenizer_path("byte_bpe_50k.json"), open_windows=3, merge=2).collect()

@@ -34,6 +34,8 @@ SHINGLE, THRESHOLD, SEED = 3, 2, 42
 GOLAY, HALF = 0b110001110101, 23
 #: Above so many homes in an anchor, and hashes held of one text at a time.
 MANY_HOMES, HASHES = 512, 1 << 20
+#: Replicas of one partition, about.
+REPLICAS = 4_000_000
 #: The column that a filter adds for a while beside those that come in.
 ROW = "__visarium_row"
 
@@ -194,27 +196,30 @@ def links_of(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor), "visit": pa.array(~home), "fp": _signed(fp[k : k + 8192][row])})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def done(anchor: np.ndarray, visit: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def done(pieces: list[tuple]) -> pa.RecordBatch:
+            anchor, visit, fp = (np.concatenate(x) for x in zip(*pieces, strict=True))
             first = np.concatenate([np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1)), [len(anchor)]])
             a, b = anchor_links(fp, ~visit, first, threshold)
             return pa.RecordBatch.from_pydict({"a": _signed(a), "b": _signed(b)})
 
+        held, many = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column("anchor").to_numpy(), batch.column("visit").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy().view(np.uint64)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last anchor may go on
-            if cut and len(held[0]) > 1 << 17:
-                yield done(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
+            new = (batch.column("anchor").to_numpy(), batch.column("visit").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy().view(np.uint64))
+            cut = int(np.searchsorted(new[0], new[0][-1]))  # the last anchor may go on
+            if many > 1 << 17 and (cut or new[0][0] != held[-1][0][-1]):
+                # All that is held up to here is whole; pieces are joined once, however long an anchor lasts.
+                yield done([*held, tuple(x[:cut] for x in new)])
+                held, many, new = [], 0, tuple(x[cut:] for x in new)
+            held.append(new)
+            many += len(new[0])
         if held:
-            yield done(*held)
+            yield done(held)
 
     copies = distinct.mapInArrow(replicate, "anchor bigint, visit boolean, fp bigint")
-    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # Some 62 replicas a fingerprint: partitions of a bounded number of them, whatever the session's usual number is.
+    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.count() * 62 // REPLICAS, 1)
     return copies.repartition(parts, "anchor").sortWithinPartitions("anchor", "visit").mapInArrow(compare, "a bigint, b bigint")
 
 

@@ -3,15 +3,18 @@
 A file holds the ids of consecutive documents. Plane 0 is the top bit of every id in document order; each next plane is
 the next bit, with the ids stably parted by the bit above: zeros first. Ones are counted at every 512 bits, so rank is
 a table entry and a population count, and select a binary search. That gives the id at a place, the number of times an id
-occurs in a stretch, and where its k-th occurrence stands, without decoding anything else.
-
-File: magic "WVM1", then as little-endian numbers: documents (u4), ids (u8), planes (u1), bytes of the compressed body (u8);
-body (zstandard): ids before each document and behind the last (u8 each), then per plane zeros (u8) and its bits
-(packed, lowest first). Rank tables are rebuilt on opening: a population count of the planes.
-
-write_tokens() deals documents in ascending doc_id into shards, by ranges of doc_id, and
-writes files of about FILE_TOKENS ids through Spark's own writer (a row a file), so any file system will do and a
-lost executor's files are written anew. Defined results: null text is a document with the end id only; null doc_id
+occurs in a stretch, and where its k-th occurrence stands. The planes are compressed in chunks of CHUNK bits: an access
+reads the index and unpacks one chunk of each plane.
+
+File: magic "WVM2", then as little-endian numbers: documents (u4), ids (u8), planes (u1), bytes of the packed index (u8);
+index (zstandard): ids before each document and behind the last (u8 each), zeros of each plane (u8), ones before each 512
+bits of each plane and behind its last (u4), packed bytes of each chunk of each plane (u4); then the chunks, plane by
+plane (zstandard each; bits packed, lowest first).
+
+write_tokens() deals documents in ascending doc_id into shards, by ranges of doc_id, and writes a file a shard (a shard
+of more than FILE_TOKENS ids, which only a doc_id with very many rows makes, in several) through Spark's own writer, a row a
+file, so any file system will do and a lost executor's files are written anew. Where a shard begins is summed up by
+Spark in two levels; no list of files comes to the driver. Defined results: null text is a document with the end id only; null doc_id
 comes first; of rows that repeat a doc_id any order; empty tables give no files; further columns are not read.
 """
 
@@ -26,31 +29,43 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visarium.llm.arrays import steps
 from visarium.llm.chunks import encoder
-from visarium.llm.tables import shared_dir
+from visarium.llm.tables import shared_dir, stored
 
-MAGIC, HEAD = b"WVM1", struct.Struct("<4sIQBQ")
-#: Ids of a file, text bytes of a shard, bits between two entries of a rank table.
-FILE_TOKENS, SHARD_BYTES, BLOCK = 2 << 20, 16 << 20, 512
-#: Up to so many files, the table of where each begins (24 bytes a file) is broadcast.
-BROADCAST_FILES = 1 << 20
+MAGIC, HEAD = b"WVM2", struct.Struct("<4sIQBQ")
+#: Ids of a file, text bytes of a shard, bits between two entries of a rank table, bits of a chunk, chunks that an open file keeps.
+FILE_TOKENS, SHARD_BYTES, BLOCK, CHUNK, KEPT = 8 << 20, 16 << 20, 512, 1 << 18, 64
+#: Up to so many shards, the table of where each begins (12 bytes a shard) is broadcast; shards whose sums one task adds up.
+BROADCAST_SHARDS, TOGETHER = 1 << 20, 1024
 
 
 def encode_file(ids: np.ndarray, lens: np.ndarray) -> bytes:
     """The file of the documents whose ids stand one after another; lens: the ids of each."""
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     seq = ids.astype(np.uint16 if planes <= 16 else np.uint32)
-    body = [np.concatenate([[0], np.cumsum(lens)]).astype("<u8").tobytes()]
+    zeros, ranks, sizes, chunks = [], [], [], []
+    pack = zstandard.ZstdCompressor(level=1).compress
     for p in range(planes - 1, -1, -1):
         bit = (seq >> p) & 1 > 0
-        body += [struct.pack("<Q", len(seq) - int(np.count_nonzero(bit))), np.packbits(bit, bitorder="little").tobytes()]
+        raw = np.packbits(bit, bitorder="little")
+        ranks.append(_ranks(raw))
+        zeros.append(len(seq) - int(ranks[-1][-1]))
+        packed = [pack(raw[k : k + CHUNK // 8].tobytes()) for k in range(0, len(raw), CHUNK // 8)]
+        sizes += map(len, packed)
+        chunks += packed
         seq = np.concatenate([seq[~bit], seq[bit]])
-    packed = zstandard.ZstdCompressor(level=1).compress(b"".join(body))
-    return HEAD.pack(MAGIC, len(lens), len(ids), planes, len(packed)) + packed
+    index = pack(b"".join([np.concatenate([[0], np.cumsum(lens)]).astype("<u8").tobytes(), np.array(zeros, "<u8").tobytes(), np.concatenate(ranks).astype("<u4").tobytes(), np.array(sizes, "<u4").tobytes()]))
+    return b"".join([HEAD.pack(MAGIC, len(lens), len(ids), planes, len(index)), index, *chunks])
+
+
+def _ranks(raw: np.ndarray) -> np.ndarray:
+    """Ones before each block of a packed plane, and all."""
+    ones = np.add.reduceat(np.bitwise_count(raw).astype(np.int64), np.arange(0, len(raw), BLOCK // 8)) if len(raw) else np.zeros(0, np.int64)
+    return np.concatenate([[0], np.cumsum(ones)])
 
 
 class WaveletFile:
@@ -60,35 +75,39 @@ class WaveletFile:
         magic, docs, self.n, self.planes, size = HEAD.unpack_from(raw)
         if magic != MAGIC:
             raise ValueError("not a wavelet-matrix file")
-        width = -(-self.n // 8)
-        body = zstandard.ZstdDecompressor().decompress(raw[HEAD.size : HEAD.size + size], max_output_size=8 * (docs + 1) + self.planes * (8 + width))
-        self.offsets = np.frombuffer(body, "<u8", docs + 1).astype(np.int64)
-        self.zeros, self.bits = [], []
-        at = 8 * (docs + 1)
-        for _ in range(self.planes):
-            self.zeros.append(struct.unpack_from("<Q", body, at)[0])
-            self.bits.append(np.frombuffer(body, np.uint8, width, at + 8))
-            at += 8 + width
-        self._ranks: list[np.ndarray] | None = None
-
-    @property
-    def ranks(self) -> list[np.ndarray]:
-        """Ones before each block of every plane."""
-        if self._ranks is None:
-            step = BLOCK // 8
-            ones = [np.add.reduceat(np.bitwise_count(b).astype(np.int64), np.arange(0, max(len(b), 1), step)) if len(b) else np.zeros(0, np.int64) for b in self.bits]
-            self._ranks = [np.concatenate([[0], np.cumsum(x)]) for x in ones]
-        return self._ranks
+        blocks, self._many = -(-self.n // BLOCK) + 1, -(-self.n // CHUNK)
+        parts = [8 * (docs + 1), 8 * self.planes, 4 * self.planes * blocks, 4 * self.planes * self._many]
+        index = zstandard.ZstdDecompressor().decompress(raw[HEAD.size : HEAD.size + size], max_output_size=sum(parts))
+        at = np.concatenate([[0], np.cumsum(parts)])
+        part = lambda k, kind: np.frombuffer(index[at[k] : at[k + 1]], kind).astype(np.int64)
+        self.offsets, self.zeros = part(0, "<u8"), part(1, "<u8").tolist()
+        self.ranks = part(2, "<u4").reshape(self.planes, blocks)
+        self._raw, self._at = raw, HEAD.size + size + np.concatenate([[0], np.cumsum(part(3, "<u4"))])
+        self._open: dict[int, np.ndarray] = {}
+
+    def _chunk(self, plane: int, chunk: int) -> np.ndarray:
+        """The bits of one chunk of a plane, packed."""
+        k = plane * self._many + chunk
+        if k not in self._open:
+            if len(self._open) >= KEPT:
+                del self._open[next(iter(self._open))]
+            packed = self._raw[self._at[k] : self._at[k + 1]]
+            self._open[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed, max_output_size=CHUNK // 8), np.uint8)
+        return self._open[k]
 
     def _bit(self, plane: int, i: int) -> int:
-        return int(self.bits[plane][i >> 3]) >> (i & 7) & 1
+        return int(self._chunk(plane, i // CHUNK)[i % CHUNK >> 3]) >> (i & 7) & 1
 
     def _ones(self, plane: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        block = i // BLOCK
-        part = self.bits[plane][block * BLOCK // 8 : i >> 3]
-        out = int(self.ranks[plane][block]) + int(np.bitwise_count(part).sum())
-        return out + (int(self.bits[plane][i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
+        out = int(self.ranks[plane, i // BLOCK])
+        if i % BLOCK:
+            bits = self._chunk(plane, i // CHUNK)
+            lo, hi = (i - i % BLOCK) % CHUNK >> 3, i % CHUNK >> 3
+            out += int(np.bitwise_count(bits[lo:hi]).sum())
+            if i & 7:
+                out += (int(bits[hi]) & ((1 << (i & 7)) - 1)).bit_count()
+        return out
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -150,7 +169,8 @@ class WaveletFile:
         """Every id, from the lowest plane up: each plane says how the one below was parted."""
         seq = np.zeros(self.n, np.uint16 if self.planes <= 16 else np.uint32)
         for p in range(self.planes - 1, -1, -1):
-            bit = np.unpackbits(self.bits[p], count=self.n, bitorder="little").view(bool)
+            bits = np.concatenate([self._chunk(p, k) for k in range(self._many)]) if self.n else np.zeros(0, np.uint8)
+            bit = np.unpackbits(bits, count=self.n, bitorder="little").view(bool)
             out = np.empty_like(seq)
             out[~bit] = seq[: self.zeros[p]]
             out[bit] = seq[self.zeros[p] :] | (1 << (self.planes - 1 - p))
@@ -158,8 +178,8 @@ class WaveletFile:
         return seq
 
 
-KIND = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("known", pa.binary()), ("payload", pa.binary())])
-SCHEMA = "shard int, part int, n_tokens bigint, doc_ids binary, known binary, payload binary"
+KIND = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("known", pa.binary()), ("payload", pa.binary())])
+SCHEMA = "shard int, part int, before bigint, n_tokens bigint, doc_ids binary, known binary, payload binary"
 
 
 def _shards(df: DataFrame, shard_bytes: int) -> int:
@@ -170,16 +190,17 @@ def _shards(df: DataFrame, shard_bytes: int) -> int:
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """Writes the files as rows (shard, part, n_tokens, doc_ids, known, payload) at the path; returns the table read back."""
+    """Writes the files as rows (shard, part, before - ids of the shard in files before -, n_tokens, doc_ids, known, payload) at
+    the path; returns the table read back."""
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        part, total, held = 0, 0, []
+        part, before, total, held = 0, 0, 0, []
 
         def flush() -> pa.RecordBatch:
             ids, n, own, known = (np.concatenate(x) for x in zip(*held, strict=True))
-            row = [[shard], [part], [len(ids)], [own.astype("<i8").tobytes()], [np.packbits(known).tobytes()], [encode_file(ids, n)]]
+            row = [[shard], [part], [before], [len(ids)], [own.astype("<i8").tobytes()], [np.packbits(known).tobytes()], [encode_file(ids, n)]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, KIND, strict=True)], schema=KIND)
 
         for b, data, offs in steps(batches, most=1 << 22):
@@ -190,7 +211,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col
             total += len(ids)
             if total >= file_tokens:
                 yield flush()
-                part, total, held = part + 1, 0, []
+                part, before, total, held = part + 1, before + total, 0, []
         if held:
             yield flush()
 
@@ -200,16 +221,18 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col
     return docs.sparkSession.read.schema(SCHEMA).parquet(path)
 
 
-def read_tokens(files: DataFrame) -> DataFrame:
+def shard_starts(files: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """shard, first: ids of all shards before each. Shards are added up in stretches, and the stretches' sums in one small task."""
+    sums = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("stretch", F.floor(F.col("shard") / together))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = sums.select("shard", "stretch", before(Window.partitionBy("stretch").orderBy("shard")).alias("a"))
+    across = sums.groupBy("stretch").agg(F.sum("n").alias("n")).select("stretch", before(Window.orderBy("stretch")).alias("b"))
+    return inside.join(across, "stretch").select("shard", (F.col("a") + F.col("b")).alias("first"))
+
+
+def read_tokens(files: DataFrame, broadcast: int = BROADCAST_SHARDS) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
-    spark = files.sparkSession
-    # One row a file, some 2 million ids each: the table of where files start is small beside them.
-    sizes = sorted((r.shard, r.part, r.n_tokens) for r in files.select("shard", "part", "n_tokens").toLocalIterator())
-    begins, at = [], 0
-    for s, p, n in sizes:
-        begins.append((s, p, at))
-        at += n
-    first = spark.createDataFrame(begins, "shard int, part int, first bigint")
+    first = stored(shard_starts(files.select("shard", "n_tokens")), "starts")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,11 +242,11 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 n = np.diff(offs)
                 known = np.unpackbits(np.frombuffer(b.column("known")[r].as_py(), np.uint8), count=len(n)).view(bool)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(np.frombuffer(b.column("doc_ids")[r].as_py(), "<i8"), mask=~known), "start": pa.array(offs[:-1] + b.column("first")[r].as_py()), "n_tokens": pa.array(n),
+                    "doc_id": pa.array(np.frombuffer(b.column("doc_ids")[r].as_py(), "<i8"), mask=~known), "start": pa.array(offs[:-1] + b.column("first")[r].as_py() + b.column("before")[r].as_py()), "n_tokens": pa.array(n),
                     "ids_crc32": pa.array([zlib.crc32(ids[4 * a : 4 * z]) for a, z in zip(offs[:-1], offs[1:], strict=True)], pa.int64()),
                 })
 
-    return files.join(F.broadcast(first) if len(begins) <= BROADCAST_FILES else first, ["shard", "part"]).mapInArrow(scan, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.join(F.broadcast(first) if first.count() <= broadcast else first.hint("merge"), "shard").mapInArrow(scan, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
