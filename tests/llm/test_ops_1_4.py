@@ -155,6 +155,26 @@ def test_chunks_equal_library(name):
         assert [ids[e - k : e].tolist() for e, k in zip(ends, n, strict=True)] == [x.ids for x in lib.encode_batch(some, add_special_tokens=False)]
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    """A file of another kind - here one that joins over spaces - gives the library's ids as well."""
+    import json
+
+    import pyarrow as pa
+
+    from visarium.llm.arrays import as_bytes
+
+    with open(tokenizer_path("byte_bpe_50k.json")) as f:
+        spec = json.load(f)
+    for name, change in {"bare": {"added_tokens": [], "post_processor": None}, "loose": {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": False}}}.items():
+        (tmp_path / name).write_text(json.dumps(spec | change))
+        enc, lib = ChunkEncoder(str(tmp_path / name)), Tokenizer.from_file(str(tmp_path / name))
+        some = [t or "" for t in ODD[:11] + texts(5)]
+        ids, n = enc.encode(*as_bytes(pa.array(some)))
+        assert enc.kind is None and np.split(ids, np.cumsum(n)[:-1])[3].tolist() == lib.encode("A", add_special_tokens=False).ids
+        assert ids.tolist() == [i for x in lib.encode_batch(some, add_special_tokens=False) for i in x.ids]
+    assert [ChunkEncoder(tokenizer_path(x)).kind for x in ("word_bpe_49k.json", "byte_bpe_50k.json")] == ["ends", "starts"]
+
+
 def library_ids(name, rows, end):
     lib = Tokenizer.from_file(tokenizer_path(name))
     return {i: lib.encode(t or "", add_special_tokens=False).ids + [end] for i, t in rows}

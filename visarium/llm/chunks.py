@@ -3,11 +3,15 @@
 Texts are cut where no tokenizer of the two kinds used here can join what stands on both sides: around a lone white-space
 byte between other characters, and between an ASCII letter and punctuation behind it (but the apostrophe, which
 contractions use, and the bar, which special tokens hold). The library encodes each distinct chunk; whole texts' ids are
-gathered from those. tests/llm compares this with the library on whole texts.
+gathered from those. tests/llm compares this with the library on whole texts. A tokenizer of any other kind gets whole texts.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from typing import Any
+
 import numpy as np
 import pyarrow.compute as pc
 
@@ -22,6 +26,8 @@ _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[ord(c) for c in '!"#$%&()*+,-./:;<=>?@[\\]^_`{}~']] = True
+#: The pattern of words of one kind of tokenizer, a fixed value of its file.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: First bytes of the characters that may be white space outside ASCII: U+0085, U+00A0, U+1680, U+180E, U+2xxx, U+3000, U+FEFF.
 _MAYBE = np.zeros(256, bool)
 _MAYBE[[0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
@@ -51,6 +57,32 @@ def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
+#: A space and letters: one word to either tokenizer, whatever stands beside it.
+_PLAIN = re.compile(rb" [A-Za-z]+").fullmatch
+
+
+def _state(part: Any) -> dict:
+    """A tokenizer's part as its file describes it."""
+    return json.loads(part.__getstate__()) if part is not None else {}
+
+
+def _kind(tok: Any) -> str | None:
+    """The kinds whose texts may be cut: words that end in a mark, with white space dropped ("ends"), or bytes with the space before
+    a word as part of it ("starts")."""
+    normal, before, model = _state(tok.normalizer), _state(tok.pre_tokenizer), tok.model
+    bpe = type(model).__name__ == "BPE" and not model.dropout and model.unk_token is None
+    if not bpe or not tok.get_added_tokens_decoder():
+        return None
+    if not normal and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not model.end_of_word_suffix:
+        return "starts"
+    parts, steps = before.get("pretokenizers", []), [x.get("type") for x in normal.get("normalizers", [])]
+    split = parts[0] if len(parts) == 2 else {}
+    words = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and split.get("pattern") == {"Regex": WORDS}
+    if words and parts[1].get("type") == "ByteLevel" and not parts[1].get("use_regex") and not parts[1].get("add_prefix_space") and steps == ["NFC", "Replace", "Lowercase"] and model.end_of_word_suffix:
+        return "ends"
+    return None
+
+
 class ChunkEncoder:
     """encode() gives the ids of many texts. Files are those of the tokenizers library."""
 
@@ -60,8 +92,14 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.special_id, special = max((k, v.content) for k, v in self.tok.get_added_tokens_decoder().items())
-        self.special = special.encode()
+        self.kind = _kind(self.tok)
+        if self.kind:
+            self.special_id, special = max((k, v.content) for k, v in self.tok.get_added_tokens_decoder().items())
+            self.special = special.encode()
+            # Ids that end a word, or that begin one with its space.
+            vocab, suffix = self.tok.get_vocab(), self.tok.model.end_of_word_suffix
+            self.edge = np.zeros(max(vocab.values()) + 1, bool)
+            self.edge[[k for t, k in vocab.items() if (t.endswith(suffix) if self.kind == "ends" else t.startswith("\u0120"))]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -81,9 +119,18 @@ class ChunkEncoder:
         ends = np.flatnonzero(flat == self.special_id)
         return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
 
-    def _add(self, chunks: list[bytes]) -> np.ndarray:
+    def _plain_ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of plain words, one behind another; which id begins or ends a word shows where each ends."""
+        parts = [b"".join(chunks[k : k + 500]).decode() for k in range(0, len(chunks), 500)]
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)])
+        at = np.flatnonzero(self.edge[flat])
+        if len(at) != len(chunks):  # a vocabulary with other marks
+            return self._ids(chunks)
+        return flat, np.diff(at, prepend=-1) if self.kind == "ends" else np.diff(at, append=len(flat))
+
+    def _add(self, chunks: list[bytes], plain: bool = False) -> np.ndarray:
         """Places in the memo of chunks that are not in it yet."""
-        flat, sizes = self._ids(chunks)
+        flat, sizes = (self._plain_ids if plain else self._ids)(chunks)
         k, total = len(self.memo), len(flat)
         while k + len(chunks) > len(self.size):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
@@ -98,6 +145,10 @@ class ChunkEncoder:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each text."""
+        if not self.kind:
+            raw = data.tobytes()
+            some = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([raw[a:b].decode() for a, b in zip(offs[:-1], offs[1:], strict=True)], add_special_tokens=False)]
+            return np.concatenate(some) if some else np.zeros(0, np.uint32), np.array([len(x) for x in some], np.int64)
         at = cuts(data, offs)
         if len(at) < 2:
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
@@ -107,13 +158,15 @@ class ChunkEncoder:
             self.clear()
         get = self.memo.get
         place = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
-        new = np.flatnonzero(place < 0)
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            odd = [j for j in part if self.special in chunks[j]]
-            for some in (odd, [j for j in part if self.special not in chunks[j]] if odd else part):
-                if len(some):
-                    place[some] = self._add([chunks[j] for j in some])
+        new = np.flatnonzero(place < 0).tolist()
+        kinds: tuple[list[int], ...] = ([], [], [])  # plain words, others, those that hold a special token's text
+        for k in new:
+            c = chunks[k]
+            kinds[0 if _PLAIN(c) else 2 if self.special in c else 1].append(k)
+        for kind, which in enumerate(kinds):
+            for k in range(0, len(which), 50_000):
+                part = which[k : k + 50_000]
+                place[part] = self._add([chunks[j] for j in part], kind == 0)
         here = place[index]
         size = self.size[here]
         ids = self.store[take_ragged(self.start[here], size)]
