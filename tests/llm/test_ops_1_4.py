@@ -145,6 +145,7 @@ def test_chunks_equal_library(name):
     rng = random.Random(1)
     signs = "ab A'.,|<>\n\t  é1١2́　​!\x1c\x85İΣ x"
     some = [t or "" for t in ODD + texts(50)] + ["".join(rng.choices(signs, k=rng.randint(1, 40))) for _ in range(3000)]
+    some += [" ".join(rng.choice("éèñßÀÇ日本ıİºªǅक़ͅa") * rng.randint(1, 4) + "b" * rng.randint(0, 2) for _ in range(30)) for _ in range(40)]
     some += ["<|endoftext|>", "a<|startoftext|> b<|endoftext|>", "<|endoftext |>"]
     path = tokenizer_path(name)
     lib, enc = Tokenizer.from_file(path), ChunkEncoder(path)

@@ -20,17 +20,27 @@ from visarium.llm.arrays import binary_array, take_ragged
 #: Chunks and their token ids that a worker holds; beyond, it starts anew. Longer chunks are not held.
 MEMO_CHUNKS, MEMO_IDS, LONG = 700_000, 8_000_000, 256
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
-_PUNCT = np.zeros(256, bool)
-_PUNCT[[ord(c) for c in '!"#$%&()*+,-./:;<=>?@[\\]^_`{}~']] = True
+#: What a byte may be, as bits of one table: white space; part of a character that is no white space by itself; ASCII; letter;
+#: punctuation; first byte of a character that may be white space outside ASCII (U+0085, U+00A0, U+1680, U+180E, U+2xxx, U+3000, U+FEFF).
+_WHITE, _SOLID, _PLAIN_ASCII, _LETTER, _PUNCT, _MAYBE = (1 << k for k in range(6))
+
+
+def _table() -> bytes:
+    out = np.zeros(256, np.uint8)
+    out[[0x20, *range(0x09, 0x0E)]] |= _WHITE
+    out[0x21:] |= _SOLID
+    out[0x7F] = 0
+    out[:0x80] |= _PLAIN_ASCII
+    out[0x41:0x5B] |= _LETTER
+    out[0x61:0x7B] |= _LETTER
+    out[[ord(c) for c in '!"#$%&()*+,-./:;<=>?@[\\]^_`{}~']] |= _PUNCT
+    out[[0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] |= _MAYBE
+    return out.tobytes()
+
+
+_TABLE = _table()
 #: The pattern of words of one kind of tokenizer, a fixed value of its file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: First bytes of the characters that may be white space outside ASCII: U+0085, U+00A0, U+1680, U+180E, U+2xxx, U+3000, U+FEFF.
-_MAYBE = np.zeros(256, bool)
-_MAYBE[[0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 
 
 def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -38,27 +48,35 @@ def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n = len(data)
     if n < 3:
         return np.unique(offs)
-    white = _WHITE[data]
-    solid = ~white & (data >= 0x21) & (data != 0x7F)
+    kind = np.frombuffer(data.tobytes().translate(_TABLE), np.uint8)
+    is_ = lambda bit: (kind & bit).view(bool) if bit == 1 else (kind & bit) != 0
+    white, solid, maybe = is_(_WHITE), is_(_SOLID), is_(_MAYBE)
     # A byte before the space ends a solid character if it is ASCII, or if the character cannot be white space.
     tail = np.ones(n, bool)
-    odd = np.flatnonzero(_MAYBE[data])
-    for k in (1, 2):
-        at = odd + k
-        tail[at[at < n]] = False
-    before = solid & (tail | (data < 0x80))
-    after = solid & ~_MAYBE[data]
+    tail[1:] &= ~maybe[:-1]
+    tail[2:] &= ~maybe[:-2]
+    before = solid & (tail | is_(_PLAIN_ASCII))
+    after = solid & ~maybe
     mark = np.zeros(n + 1, bool)
     lone = white[1:-1] & before[:-2] & after[2:]
     mark[1 : n - 1] |= lone
     mark[2:n] |= lone & (data[1:-1] != 0x20)
-    mark[1:n] |= _LETTER[data[:-1]] & _PUNCT[data[1:]]
+    mark[1:n] |= is_(_LETTER)[:-1] & is_(_PUNCT)[1:]
     mark[offs] = True
     return np.flatnonzero(mark)
 
 
-#: A space and letters: one word to either tokenizer, whatever stands beside it.
-_PLAIN = re.compile(rb" [A-Za-z]+").fullmatch
+_ASCII = re.compile(rb" [A-Za-z]+").fullmatch
+
+
+def plain(chunk: bytes) -> bool:
+    """A space and letters: one word to either tokenizer, whatever stands beside it."""
+    if _ASCII(chunk):
+        return True
+    if chunk[0] != 0x20 or len(chunk) < 2 or chunk[1] < 0x80 and not chunk[1:2].isalpha():
+        return False
+    word = chunk[1:].decode()
+    return word.isalpha() and word.lower().isalpha()
 
 
 def _state(part: Any) -> dict:
@@ -162,7 +180,7 @@ class ChunkEncoder:
         kinds: tuple[list[int], ...] = ([], [], [])  # plain words, others, those that hold a special token's text
         for k in new:
             c = chunks[k]
-            kinds[0 if _PLAIN(c) else 2 if self.special in c else 1].append(k)
+            kinds[0 if plain(c) else 2 if self.special in c else 1].append(k)
         for kind, which in enumerate(kinds):
             for k in range(0, len(which), 50_000):
                 part = which[k : k + 50_000]

@@ -41,6 +41,8 @@ MAGIC, HEAD = b"WVM2", struct.Struct("<4sIQBQ")
 FILE_TOKENS, SHARD_BYTES, BLOCK, CHUNK, KEPT = 8 << 20, 16 << 20, 512, 1 << 18, 64
 #: Up to so many shards, the table of where each begins (12 bytes a shard) is broadcast; shards whose sums one task adds up.
 BROADCAST_SHARDS, TOGETHER = 1 << 20, 1024
+#: Text bytes of a step: of more text at a time fewer chunks are distinct.
+STEP = 8 << 20
 
 
 def encode_file(ids: np.ndarray, lens: np.ndarray) -> bytes:
@@ -50,7 +52,7 @@ def encode_file(ids: np.ndarray, lens: np.ndarray) -> bytes:
     zeros, ranks, sizes, chunks = [], [], [], []
     pack = zstandard.ZstdCompressor(level=1).compress
     for p in range(planes - 1, -1, -1):
-        bit = (seq >> p) & 1 > 0
+        bit = (seq & (1 << p)) != 0
         raw = np.packbits(bit, bitorder="little")
         ranks.append(_ranks(raw))
         zeros.append(len(seq) - int(ranks[-1][-1]))
@@ -204,7 +206,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col
             row = [[shard], [part], [before], [len(ids)], [own.astype("<i8").tobytes()], [np.packbits(known).tobytes()], [encode_file(ids, n)]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, KIND, strict=True)], schema=KIND)
 
-        for b, data, offs in steps(batches, most=1 << 22):
+        for b, data, offs in steps(batches, most=STEP):
             ids, n = enc.encode(data, offs)
             ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
             col = b.column("doc_id")
