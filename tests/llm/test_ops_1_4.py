@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from visarium.llm.chunks import ChunkEncoder, tokenizer_path
 from visarium.llm.exact_dedup import drop_exact_copies, exact_groups
 from visarium.llm.packing import packed
-from visarium.llm.simhash import fingerprint, near_duplicates
+from visarium.llm.simhash import drop_near_copies, fingerprint, near_duplicates
 from visarium.llm.wavelet import WaveletFile, encode_file, read_tokens, shard_starts, write_tokens
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n", T.LongType()), T.StructField("digest", T.StringType())])
@@ -278,3 +278,32 @@ def test_packing_null_ids(spark):
     rows = packed(frame(spark, [(None, "a b"), (None, "a b"), (5, None)]), tokenizer_path("byte_bpe_50k.json")).collect()
     assert sorted((str(r.doc_id), r.length) for r in rows) == [("5", 1), ("None", 3), ("None", 3)]
     assert len({r.sequence_id for r in rows}) == 1
+
+
+def test_texts_beyond_a_step(spark):
+    """Two texts of more than a step, with others around them: fingerprints, groups, pieces and counts as of each alone."""
+    import sentencepiece
+
+    from visarium.llm.piece_counts import token_counts
+
+    rng = random.Random(17)
+    words = ["rain", "in", "Spain,", "falls", "mainly.", "don't", "ß", "1984\n"]
+    long = " ".join(rng.choices(words, k=900_000))
+    rows = [(1, "short one"), (2, long), (3, ""), (4, long.upper().replace("SS", "ß")), (5, long), (6, "short one")]
+    assert len(long.encode()) > 4 << 20
+    docs = spark.createDataFrame([(i, t, i, b"x") for i, t in rows], "doc_id long, text string, fp long, verify binary").coalesce(1)
+    got = {r.doc_id: r for r in near_duplicates(docs).collect()}
+    assert all(got[i].fingerprint == f"{brute_fingerprint(t):016x}" for i, t in rows if i != 5) and got[5].fingerprint == got[2].fingerprint
+    assert [got[k].component_id for k in (2, 4, 5)] == [2, 2 if (brute_fingerprint(long) ^ brute_fingerprint(rows[3][1])).bit_count() <= 2 else 4, 2]
+    same = {r.doc_id: (r.keep_id, r.group_size) for r in exact_groups(docs, "max").collect()}
+    assert same[2] == same[5] and same[1] == same[6] == (6, 2) and same[3] == (3, 1)
+    want = library_ids("byte_bpe_50k.json", rows, 0)
+    pieces = packed(docs, tokenizer_path("byte_bpe_50k.json")).collect()
+    for i, ids in want.items():
+        own = sorted((r for r in pieces if r.doc_id == i), key=lambda r: r.start)
+        assert sum(r.length for r in own) == len(ids) == own[0].doc_tokens and all(r.ids_crc32 == crc(ids[r.start : r.start + r.length]) for r in own)
+    path = tokenizer_path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert {r.doc_id: r.n_tokens for r in token_counts(docs, path).collect()} == {i: len(lib.encode(t)) for i, t in rows}
+    kept = drop_near_copies(drop_exact_copies(docs, "max"))
+    assert kept.columns == docs.columns and {1, 3} & {r.doc_id for r in kept.collect()} == {3}

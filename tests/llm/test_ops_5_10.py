@@ -447,3 +447,91 @@ def test_toxicity_beyond_the_bound(spark):
     assert [r.score for r in far] == pytest.approx([r.score for r in near], abs=1e-6)
     short = {str(r.doc_id): r.score for r in toxicity(docs, labels, context=2).collect()}
     assert max(abs(short[str(r.doc_id)] - r.score) for r in far) > 0.01  # a shorter context tells other scores
+
+
+def plain_kneser_ney(toxic, ordinary, context):
+    """Ratio of a byte after its context, by the definition, from counts of strings: dicts and tuples alone."""
+    d = 0.75
+    strings = {k for k in toxic if toxic[k]} | {k for k in ordinary if ordinary[k]}
+    levels = [strings]  # distinct strings of each length, and in how many longer ones each ends
+    ends = []
+    for _ in range(context):
+        n = {}
+        for s in levels[-1]:
+            n[s[1:]] = n.get(s[1:], 0) + 1
+        ends.append(n)
+        levels.append(set(n))
+
+    def backoff(s):
+        if not s:
+            return 1 / 256
+        n = ends[context - len(s)]
+        same = [v for k, v in n.items() if k[:-1] == s[:-1]]
+        return max(n[s] - d, 0) / sum(same) + d * len(same) / sum(same) * backoff(s[1:])
+
+    def left(counts, ctx):
+        same = [v for k, v in counts.items() if k[:-1] == ctx and v]
+        return d * len(same) / sum(same) if same else 1.0
+
+    def probability(counts, s):
+        total = sum(v for k, v in counts.items() if k[:-1] == s[:-1])
+        own = max(counts.get(s, 0) - d, 0) / total if total else 0.0
+        return own + left(counts, s[:-1]) * backoff(s[1:])
+
+    def ratio(s):
+        if s in strings:
+            return np.log(probability(toxic, s) / probability(ordinary, s))
+        if any(k[:-1] == s[:-1] for k in strings):
+            return np.log(left(toxic, s[:-1]) / left(ordinary, s[:-1]))
+        return 0.0
+
+    return ratio
+
+
+def plain_strings(word, context):
+    seq = [0] * (context - 1) + [2] + list(word) + [3]
+    return [tuple(seq[k - context : k + 1]) for k in range(context, len(seq))]
+
+
+def plain_words(text):
+    return re.findall(rb"[a-z\x80-\xff]+", lower(text).encode())
+
+
+def test_toxicity_figures_by_brute_force():
+    """The model's ratios, word by word, and the three figures of a text, against the definitions."""
+    rng = random.Random(21)
+    docs = [(" ".join("".join(rng.choices("abcé", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 14))) + ". 12, ", rng.random() < 0.4) for _ in range(40)]
+    for context in (2, 5):
+        toxic, ordinary = {}, {}
+        for t, bad in docs:
+            for w in set(plain_words(t)):
+                for s in plain_strings(w, context):
+                    here = toxic if bad else ordinary
+                    here[s] = here.get(s, 0) + 1
+        ratio = plain_kneser_ney(toxic, ordinary, context)
+        keys = sorted(set(toxic) | set(ordinary))
+        packed = np.array([int.from_bytes(bytes(k), "big") for k in keys])
+        model = Model(packed, np.array([toxic.get(k, 0) for k in keys]), np.array([ordinary.get(k, 0) for k in keys]), context)
+        some = [t for t, _ in docs[:12]] + ["", "zz ab zzzz", "abcé " * 50 + "bb", "12", "Ab AB"]
+        got = model.figures(*as_bytes(pa.array(some)), stretch=4)
+        for t, x in zip(some, got, strict=True):
+            values = [sum(map(ratio, plain_strings(w, context))) for w in plain_words(t)]
+            if not values:
+                assert x.tolist() == [0, 0, 0]
+                continue
+            best = lambda v: max(sum(v[k : k + 4]) for k in range(max(1, len(v) - 3)))
+            first = [v for k, (w, v) in enumerate(zip(plain_words(t), values, strict=True)) if w not in plain_words(t)[:k]]
+            assert x == pytest.approx([sum(values) / len(values), best(values) / min(4, len(values)), best(first) / 4], abs=1e-5)
+
+
+def test_toxicity_of_long_and_repeated_rows(spark):
+    """A text beyond a step has the score that it has alone, and rows that repeat have theirs each."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choices(["lo", "ma", "ra", "tine"], k=20)) + (" idiot moron" if k % 3 == 0 else "")) for k in range(120)]
+    long = "lo ma ra tine " * 400_000
+    rows += [(500, long), (500, long), (501, long + "idiot moron " * 30), (502, "idiot moron"), (502, "idiot moron")]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int")
+    got = [(r.doc_id, r.score, r.predicted) for r in toxicity(frame(spark, rows).coalesce(1), labels).collect() if r.doc_id >= 500]
+    by = {k: [x[1:] for x in got if x[0] == k] for k in (500, 501, 502)}
+    assert [len(by[k]) for k in (500, 501, 502)] == [2, 1, 2] and len(set(by[500])) == len(set(by[502])) == 1
+    assert by[500][0][1] == 0 and by[501][0][1] == 1 and by[502][0][1] == 1
