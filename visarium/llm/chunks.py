@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from visarium.llm.arrays import binary_array, take_ragged
 
 #: Chunks and their token ids that a worker holds; beyond, it starts anew. Longer chunks are not held.
-MEMO_CHUNKS, MEMO_IDS, LONG = 700_000, 8_000_000, 256
+MEMO_CHUNKS, MEMO_IDS, LONG = 500_000, 6_000_000, 256
 
 #: What a byte may be, as bits of one table: white space; part of a character that is no white space by itself; ASCII; letter;
 #: punctuation; first byte of a character that may be white space outside ASCII (U+0085, U+00A0, U+1680, U+180E, U+2xxx, U+3000, U+FEFF).

@@ -31,7 +31,7 @@ from visarium.llm.gru import EDGE, BiGRU
 UNDEFINED = "und"
 #: Bytes of a chunk, and of the text around it that is read before it; chunks that are read at once, and
 #: that are compared with each other.
-CHUNK, WARM, BATCH, BLOCK = 256, 24, 4096, 16384
+CHUNK, WARM, BATCH, BLOCK = 256, 24, 4096, 8192
 #: Training documents of a language and windows of all; bytes of a window; network units and training steps.
 PER_CLASS, WINDOWS, WINDOW, UNITS, STEPS = 250, 40_000, 48, 8, 400
 #: Documents whose best language has a lower mean probability hold no language.
@@ -56,9 +56,12 @@ def chunked(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
 
 def codes_of(data: np.ndarray, offs: np.ndarray, text: np.ndarray, start: np.ndarray, size: int, warm: int) -> np.ndarray:
     """Codes (chunks x warm + size + warm) of the bytes from before each chunk to behind it; edges outside of its text."""
-    at = start[:, None] + np.arange(-warm, size + warm)
-    out = np.where((at >= offs[:-1][text][:, None]) & (at < offs[1:][text][:, None]), data[np.clip(at, 0, len(data) - 1)], np.int16(EDGE))
-    return out.astype(np.int16)
+    kind = np.int32 if len(data) < 1 << 30 else np.int64
+    at = start[:, None].astype(kind) + np.arange(-warm, size + warm, dtype=kind)
+    outside = (at < offs[:-1][text][:, None]) | (at >= offs[1:][text][:, None])
+    out = data[np.clip(at, 0, len(data) - 1, out=at)].astype(np.int16)
+    out[outside] = EDGE
+    return out
 
 
 def label_texts(net: BiGRU, data: np.ndarray, offs: np.ndarray, size: int = CHUNK, warm: int = WARM) -> np.ndarray:
