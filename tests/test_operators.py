@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from visarium import tables
 from visarium.functions import boxes, geometry, images, names, vectors
 from visarium.functions.geometry import CropConfig, TrackConfig, smoothed
 from visarium.operators import density, frames as fr, reconcile as rc, track
@@ -288,6 +289,26 @@ def test_overlap_is_strict(spark):
     assert rc.time_overlap(people(spark, rows), 0.29).count() == 1
 
 
+@pytest.mark.parametrize("least", [0.0, 0.3, 0.5, 0.9])
+def test_overlap_by_brute_force(spark, least):
+    rng = random.Random(3)
+    sets = {f"c{k:02d}": {0.0} | {float(rng.randint(1, 12)) for _ in range(rng.randint(0, 9))} for k in range(25)}
+    sets["x"] = set(sets["c03"])
+    rows = [(i, c, [1.0], 1.0, t) for i, (c, t) in enumerate((c, t) for c, ts in sets.items() for t in ts)] + [(900, "c01", [1.0], 1.0, None)]
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    got = {(r.a, r.b): r.jaccard for r in rc.time_overlap(people(spark, rows), least).collect()}
+    assert got == {k: v for k, v in want.items() if v > least}
+
+
+def test_a_time_that_all_clusters_have_makes_no_pairs(spark):
+    rows = [(k, f"c{k % 60:02d}", [1.0], 1.0, 0.0 if k < 60 else float(k)) for k in range(60 * 6)]
+    faces = people(spark, rows)
+    with tables.scope(spark):
+        assert rc.time_overlap(faces).count() == 0
+        met = [p for p in tables._SCOPES[-1] if "/met-" in p]
+        assert len(met) == 1 and spark.read.parquet(met[0]).count() == 0
+
+
 def test_unknown_needs_positive_similarity(spark):
     reps = people(spark, [(1, "b", [1.0, 0.0], 1.0, 0.0), (2, "a", [1.0, 0.0], 1.0, 0.0)])
     ask = people(spark, [(7, "unknown", [0.0, 1.0], 1.0, 0.0), (8, "unknown", [-1.0, 0.0], 1.0, 0.0), (9, "unknown", [2.0, 0.0], 1.0, 0.0)])

@@ -69,10 +69,18 @@ def consensus_merges(faces: DataFrame, n: int = REPRESENTATIVES, similarity: flo
 def time_overlap(faces: DataFrame, least: float = OVERLAP) -> DataFrame:
     """a, b (a < b), jaccard of clusters whose sets of times overlap by more than this share.
 
-    Clusters meet in the times they share, so only pairs that do overlap are made."""
+    Two clusters that overlap so much share one of their rarest times already: of n times, in order of how many clusters
+    have them, all but the last ceil(least * n) - 1 (prefix filtering; Chaudhuri, Ganti and Kaushik, 2006). Clusters meet in
+    those alone, so a time that all clusters have makes no pairs of them; only the pairs that met are counted."""
     times = stored(faces.filter(F.col("ts").isNotNull()).select("cluster", "ts").distinct(), "times")
-    size = times.groupBy("cluster").agg(F.count("*").alias("n"))
-    both = times.toDF("a", "ts").join(times.toDF("b", "ts"), "ts").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    size = stored(times.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
+    held = times.groupBy("ts").agg(F.count("*").alias("held"))
+    rare = Window.partitionBy("cluster").orderBy("held", "ts")
+    first = times.join(held, "ts").join(size, "cluster").withColumn("place", F.row_number().over(rare))
+    # A little less than the share itself, for rounding.
+    first = stored(first.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (least - 1e-9)) + 1).select("cluster", "ts"), "rarest")
+    met = stored(first.toDF("a", "ts").join(first.toDF("b", "ts"), "ts").filter("a < b").select("a", "b").distinct(), "met")
+    both = met.join(times.toDF("a", "ts"), "a").join(times.toDF("b", "ts"), ["b", "ts"]).groupBy("a", "b").agg(F.count("*").alias("both"))
     full = both.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
     return full.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard")).filter(F.col("jaccard") > least)
 
