@@ -39,12 +39,13 @@ def stored(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
 
 
 @contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables stored inside when it ends. What is read from them must be written before, by stored(keep=True)
-    or by the caller; tables stored outside any scope stay, since their readers run later."""
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the tables stored inside when it ends; yields their paths, and one that is taken out stays. What is read from
+    them must be written before, by stored(keep=True) or by the caller; tables stored outside any scope stay, since their
+    readers run later."""
     _SCOPES.append([])
     try:
-        yield
+        yield _SCOPES[-1]
     finally:
         for path in _SCOPES.pop():
             delete(spark, path)
