@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import types as T
 
 import corpus_pipeline as cp
 from tests.llm.test_ops_1_4 import brute_components, brute_fingerprint, lower, texts
+from visarium.llm.tables import shared_dir
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 
@@ -51,7 +53,11 @@ def test_pipeline(spark, tmp_path):
         out.write.parquet(f"{d}/s{k}")
         docs = spark.read.parquet(f"{d}/s{k}")
     assert sorted(map(tuple, docs.collect())) == want
+    folder = Path(shared_dir(spark), "visarium")
+    there = set(folder.iterdir())
     pieces = cp.run(spark, d).collect()
+    # Of the stages before the last only what it reads is left; packing's own tables are the result's.
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - there} <= {"decontaminate", "pieces", "merged"}
     assert {p.doc_id for p in pieces} == {r[0] for r in want}
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
 
