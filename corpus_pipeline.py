@@ -10,7 +10,7 @@ from visarium.llm.exact_dedup import drop_exact_copies
 from visarium.llm.language import drop_unidentified
 from visarium.llm.packing import packed
 from visarium.llm.simhash import drop_near_copies
-from visarium.llm.tables import stored
+from visarium.llm.tables import delete, scope, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents table; what a stage keeps is written before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on the documents table; what a stage keeps is written before the next reads it. A stage's own tables, and the
+    input that it has read, are then deleted; those that the result is read from stay with the caller."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scope(spark) as paths:
+            kept = stored(stage(spark, docs, sf_dir), name)
+            path = paths.pop()
+        if before is not None:
+            delete(spark, before)
+        docs, before = kept, path
     return STAGES[-1][1](spark, docs, sf_dir)
