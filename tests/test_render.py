@@ -16,6 +16,7 @@ from visarium.operators import detect, frames as fr, render
 from visarium.operators.detect import Detector
 from visarium.plans import pipelines as pl
 from visarium.sources import readers, writers
+from visarium.streaming.scan import detect_stream
 
 IMAGE = readers.IMAGE
 
@@ -243,3 +244,15 @@ def test_logging(tmp_path):
     for h in [h for h in log.handlers if h.get_name() in ("console", str(tmp_path / "x.log"))]:
         log.removeHandler(h)
         h.close()
+
+
+def test_detection_on_a_stream(spark, tmp_path):
+    frames = frame_rows(spark, video(12, gap=(4,)))
+    for k in range(3):
+        frames.filter(F.col("frame_idx") % 3 == k).select("frame_idx", "frame_name", "image").write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frames.select("frame_idx", "frame_name", "image").schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    q = detect_stream(stream, "tests.test_render:Face", every=2).writeStream.format("memory").queryName("faces").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.face_id, r.frame_name, r.file_name, r.bbox.left) for r in spark.table("faces").collect())
+    assert got == [(1000 * k + pos, f"frame_{k:05d}.png", f"frame_{k:05d}_face_{1000 * k + pos:05d}.jpg", 4 + 2 * k) for k in (0, 2, 6, 8, 10) for pos in (0, 1)]
