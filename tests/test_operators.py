@@ -86,6 +86,7 @@ def test_vector_links(spark, metric, threshold, block):
     both = vector_links(left, threshold, metric, other=right, block=block)
     assert {(r.src, r.dst) for r in both.collect()} == {p for p in want if p[0] < 20 <= p[1]}
     assert vector_links(left.filter("false"), threshold, metric).count() == 0
+    assert vector_links(left.filter("false"), threshold, metric, other=right).count() == vector_links(left, threshold, metric, other=right.filter("false")).count() == 0
 
 
 def test_bounds_leave_clusters_apart_out(spark):

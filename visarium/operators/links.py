@@ -75,6 +75,8 @@ def _packed(rows: DataFrame, metric: str, pivot: tuple[np.ndarray, np.ndarray],
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
+                if {len(x) for x in pdf["v"]} != {cells.shape[1]}:
+                    raise ValueError("vectors of several lengths")
                 gap = _gaps(_scaled(np.stack(pdf["v"].to_numpy()).astype(float), metric), cells)
                 cell = gap.argmin(1)
                 yield pdf.assign(cell=cell.astype("int32"), gap=gap[np.arange(len(pdf)), cell])
@@ -181,10 +183,10 @@ def vector_links(df: DataFrame, threshold: float, metric: str = "cosine", id_col
     links; vectors of several lengths are an error."""
     if metric not in ("cosine", "dot", "euclid"):
         raise ValueError(f"unknown metric {metric!r}")
-    rows = _rows(df, id_col, vec_col)
-    pivot = pivots(rows, metric, block)
+    rows, others = _rows(df, id_col, vec_col), None if other is None else _rows(other, other_id or id_col, vec_col)
+    pivot = pivots(rows if others is None or not rows.isEmpty() else others, metric, block)
     a = _packed(rows, metric, pivot, block, group)
-    b = a if other is None else _packed(_rows(other, other_id or id_col, vec_col), metric, pivot, block, group)
+    b = a if others is None else _packed(others, metric, pivot, block, group)
     reach, alone = _reach(metric, threshold), other is None
 
     def run(ga: int, gb: int, x: pa.Table, y: pa.Table) -> pa.Table:
