@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from visarium.llm.chunks import tokenizer_path
 from visarium.llm.decontaminate import contamination
 from visarium.llm.exact_dedup import exact_groups
+from visarium.llm.filter_audit import filter_audit
 from visarium.llm.language import languages
+from visarium.llm.merkle import verified_manifest
 from visarium.llm.packing import packed
 from visarium.llm.piece_counts import token_counts
 from visarium.llm.revisits import crawl_of, resolve_revisits
@@ -66,6 +68,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_revisits,
         op9_decontamination,
         op10_toxicity,
+        op12_filter_audit,
+        op13_merkle,
     )
 }
 
@@ -149,4 +161,70 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
             coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_filter_audit": r"""
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+        fails AS (
+            SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+                + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text))::INT
+                + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask FROM texts),
+        marks AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+        classes AS (SELECT part, mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM fails LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+        orders(o) AS (SELECT '' UNION ALL SELECT o || f FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS t(f) WHERE NOT contains(o, f)),
+        steps AS (
+            SELECT o, k AS step, (1 << (ascii(o[k]) - 65))::INT AS bit, list_sum([0] || list_transform(range(1, k), lambda j: 1 << (ascii(o[j]) - 65)))::INT AS done
+            FROM orders, range(1, 6) AS t(k) WHERE length(o) = 5),
+        found AS (
+            SELECT part, o, step, bit,
+                coalesce(sum(n) FILTER (mask & (done | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & done = 0 AND mask & bit > 0), 0) AS removed,
+                coalesce(sum(n) FILTER (mask & done > 0 AND mask & bit > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+                coalesce(sum(n) FILTER (mask & done = 0 AND mask & bit > 0 AND good), 0) AS good_lost, coalesce(sum(n) FILTER (mask & done = 0 AND mask & bit > 0 AND toxic), 0) AS toxic_lost
+            FROM classes, steps GROUP BY ALL)
+        SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+            good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM found""",
+    "op13_merkle": r"""
+        WITH RECURSIVE bits(n, k, c) AS (
+            SELECT n, 0, n::BIGINT FROM range(256) AS r(n)
+            UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+        docs AS (
+            SELECT *, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 5 = 0 AS hit FROM documents, crc),
+        fields AS (
+            SELECT doc_id, source, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+                text, CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM docs),
+        hashed AS (
+            SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, sha256(head || coalesce(octet_length(encode(other)) || ':' || other, '-')) AS claimed FROM fields),
+        leaves AS (
+            SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS size FROM hashed),
+        nodes(tree, level, size, idx, digest) AS (
+            SELECT tree, 0, size, idx, leaf FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, (size + 15) // 16, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE size > 1 GROUP BY tree, level, size, idx // 16),
+        subroots AS (SELECT tree, level AS height, digest AS subroot, count(*) OVER () AS size FROM nodes WHERE size = 1),
+        tops(level, size, idx, digest) AS (
+            SELECT 0, size, tree, subroot FROM subroots
+            UNION ALL
+            SELECT level + 1, (size + 15) // 16, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE size > 1 GROUP BY level, size, idx // 16),
+        root AS (SELECT level AS height, digest AS root FROM tops WHERE size = 1),
+        beside AS (
+            SELECT n.tree, n.level, n.idx, coalesce(string_agg(m.digest, '' ORDER BY m.idx) FILTER (m.idx < n.idx), '') AS l, coalesce(string_agg(m.digest, '' ORDER BY m.idx) FILTER (m.idx > n.idx), '') AS r
+            FROM nodes n JOIN nodes m ON n.tree = m.tree AND n.level = m.level AND n.idx // 16 = m.idx // 16 WHERE n.size > 1 GROUP BY ALL
+            UNION ALL
+            SELECT -1, n.level, n.idx, coalesce(string_agg(m.digest, '' ORDER BY m.idx) FILTER (m.idx < n.idx), ''), coalesce(string_agg(m.digest, '' ORDER BY m.idx) FILTER (m.idx > n.idx), '')
+            FROM tops n JOIN tops m ON n.level = m.level AND n.idx // 16 = m.idx // 16 WHERE n.size > 1 GROUP BY n.level, n.idx),
+        walk(doc, tree, level, height, idx, up, digest, proof) AS (
+            SELECT row_number() OVER (), tree, 0, height, idx, tree, claimed, '' FROM leaves JOIN subroots USING (tree)
+            UNION ALL
+            SELECT doc, CASE WHEN w.level = w.height THEN -1 ELSE w.tree END, CASE WHEN w.level = w.height THEN 0 ELSE w.level + 1 END, CASE WHEN w.level = w.height THEN root.height ELSE w.height END,
+                CASE WHEN w.level = w.height THEN up ELSE w.idx // 16 END, up,
+                CASE WHEN w.level = w.height THEN w.digest ELSE sha256(b.l || w.digest || b.r) END, CASE WHEN w.level = w.height THEN proof ELSE proof || b.l || b.r END
+            FROM walk w CROSS JOIN root LEFT JOIN beside b ON b.tree = w.tree AND b.level = w.level AND b.idx = w.idx
+            WHERE NOT (w.tree = -1 AND w.level = w.height))
+        SELECT l.doc_id, l.leaf, s.subroot, root.root, sha256(w.proof) AS proof_sha256, w.digest AS folded_root, w.digest = root.root AS verified
+        FROM leaves l JOIN subroots s ON s.tree = l.tree CROSS JOIN root
+        JOIN (SELECT wt.up AS tree, wl.idx AS first_idx, wt.digest, wt.proof FROM walk wt JOIN walk wl ON wt.doc = wl.doc AND wl.level = 0 AND wl.tree >= 0 WHERE wt.tree = -1 AND wt.level = wt.height) w
+            ON w.tree = l.tree AND w.first_idx = l.idx""",
 }
