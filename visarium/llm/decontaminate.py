@@ -5,8 +5,9 @@ benchmark's words, 0 for any other word and behind each document). The shard's s
 begins with a benchmark word, by as many words as the longest item has (a word that no item has ends a suffix: nothing
 matches across it). It is sorted by prefix doubling. Every suffix of every benchmark item is then looked up: binary
 searches narrow its stretch of the array word by word, down to its longest verbatim match. The stretch at the window's
-length has all places of the window; the stretches below it tell how far each place goes on matching. A document is
-never split, so what it holds is known where it was read: no shuffle.
+length has all places of the window; the stretches below it tell how far each place goes on matching. Suffixes with the same
+words are narrowed once, whatever number of items share them: what is held grows with the places and with the pairs of document and
+item found, not with items times places. A document is never split, so what it holds is known where it was read: no shuffle.
 
 The benchmark is the stated query set. Up to BLOCK_BYTES of it are looked up at a time; a larger benchmark is
 taken in blocks, whose hits meet by row afterwards. A worker prepares a block once, not once a task.
@@ -27,7 +28,7 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visarium.llm.arrays import runs, steps, take_ragged
@@ -55,9 +56,9 @@ def _powers(n: int) -> np.ndarray:
 _POW = _powers(1 << 16)
 
 
-def word_hashes(low: np.ndarray, offs: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start, end of every word of lower-cased bytes, and the number of words before each text."""
-    starts, ends = runs(_WORD[low], offs)
+def word_hashes(low: np.ndarray, offs: np.ndarray, salt: int = 0, word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start, end of every word of lower-cased bytes, and the number of words before each text. word: bytes that make one."""
+    starts, ends = runs(word[low], offs)
     before = np.searchsorted(starts, offs)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends, before
@@ -196,84 +197,174 @@ class SuffixArray:
             ends.append(a)
         return ends[0], ends[1]
 
-    def matches(self, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word of the shard, word of the benchmark and words of every match that holds a window from its beginning on."""
-        p = np.arange(len(bench.code))
-        lo, hi = self.first[bench.code], self.first[bench.code + 1]
-        found: list[tuple] = []
-        rank, who, size = (np.zeros(0, np.int64) for _ in range(3))  # matches that may still go on
-        for depth in range(1, bench.depth + 1):
-            alive = lo < hi
-            p, lo, hi = p[alive], lo[alive], hi[alive]
-            # Of the matches so far, those outside their suffix's stretch have ended.
-            if len(rank):
-                k = np.minimum(np.searchsorted(p, who), max(len(p) - 1, 0))
-                on = (p[k] == who) & (lo[k] <= rank) & (rank < hi[k]) if len(p) else np.zeros(len(rank), bool)
-                found.append((rank[~on], who[~on], size[~on]))
-                rank, who, size = rank[on], who[on], np.full(int(on.sum()), depth)
-            if not len(p):
-                break
-            begin = np.flatnonzero(bench.window[p] == depth)
-            if len(begin):
-                n = hi[begin] - lo[begin]
-                rank, who, size = np.concatenate([rank, take_ragged(lo[begin], n)]), np.concatenate([who, np.repeat(p[begin], n)]), np.concatenate([size, np.full(int(n.sum()), depth)])
-            more = bench.left[p] > depth
-            p, lo, hi = p[more], lo[more], hi[more]
-            if len(p):
-                lo, hi = self.narrowed(lo, hi, depth, bench.code[p + depth])
-        found.append((rank, who, size))
-        rank, who, size = (np.concatenate(x) for x in zip(*found, strict=True))
-        return self.word[self.at[rank]], who, size
+    def matches(self, bench: Benchmark, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+        """Places and words of the windows found; and of each document and item the longest match that holds a window from its
+        beginning on (document, item, place, word of the benchmark, words). doc: the document of each place of the sequence.
+
+        Benchmark suffixes with the same words so far are one node, however many items share them; a node has its stretch of the array,
+        and once one of its suffixes has had its window, the stretch's places in order of document and place. Suffixes part from a node
+        in groups by their next word. A group's matches end with the node in those documents that its next node doesn't have."""
+        docs, items = int(doc[-1]) + 1, len(bench.before) - 1
+        word, of = np.unique(bench.code, return_inverse=True)
+        p, node = np.arange(len(bench.code)), of
+        lo, hi = self.first[word], self.first[word + 1]
+        place, at_node = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the nodes' places, in order of node, document and place
+        known = np.zeros(len(lo), bool)
+        windows: list[tuple] = []
+        best = Longest(items)
+        depth = 1
+        while len(p):
+            alive = (lo < hi)[node]
+            p, node = p[alive], node[alive]
+            begins = np.zeros(len(lo), bool)
+            begins[node[bench.window[p] == depth]] = True
+            if (fresh := np.flatnonzero(begins & ~known)).size:
+                n = hi[fresh] - lo[fresh]
+                more, owner = self.at[take_ragged(lo[fresh], n)], np.repeat(fresh, n)
+                order = np.lexsort((more, owner))
+                place, at_node = np.concatenate([place, more[order]]), np.concatenate([at_node, owner[order]])
+                order = np.argsort(at_node, kind="stable")
+                place, at_node = place[order], at_node[order]
+                known[fresh] = True
+            hit = begins[at_node]
+            windows.append((place[hit], np.full(int(hit.sum()), depth)))
+            # The next nodes: suffixes of a node that go on with the same word.
+            on = bench.left[p] > depth
+            want = np.where(on, bench.code[np.minimum(p + depth, len(bench.code) - 1)], 0)
+            key, group = np.unique(node * (1 << bench.bits) + want, return_inverse=True)
+            parent, want = key >> bench.bits, key & ((1 << bench.bits) - 1)
+            new_lo, new_hi = self.narrowed(lo[parent], hi[parent], depth, want)
+            new_hi = np.where(want > 0, new_hi, new_lo)
+            # Where a place goes on: to the node of its parent and its next word, if any suffix does.
+            after = at_node * (1 << bench.bits) + self.seq[np.minimum(place + depth, len(self.seq) - 1)]
+            to = np.minimum(np.searchsorted(key, after), max(len(key) - 1, 0))
+            goes = (key[to] == after) & (want[to] > 0) if len(key) else np.zeros(len(place), bool)
+            started = np.zeros(len(key), bool)
+            started[group[(bench.window[p] > 0) & (bench.window[p] <= depth)]] = True
+            self._ended(bench, best, p, group, started, parent, depth, doc, docs, place, at_node, to, goes)
+            order = np.argsort(to[goes], kind="stable")
+            place, at_node = place[goes][order], to[goes][order]
+            p, node = p[on], group[on]
+            lo, hi, known = new_lo, new_hi, known[parent]
+            depth += 1
+        place, size = (np.concatenate(x) for x in zip(*windows, strict=True)) if windows else (np.zeros(0, np.int64),) * 2
+        return place, size, best.rows()
+
+    def _ended(self, bench: Benchmark, best: Longest, p, group, started, parent, depth, doc, docs, place, at_node, to, goes) -> None:
+        """Hands best the matches that end with so many words: of each group of suffixes in the documents of its node, but for
+        those that the group's next node has as well."""
+        if not len(place):
+            return
+        # The first place of each document in each node; the documents of the next nodes.
+        cell = at_node * docs + doc[place]
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        owner, where, which = at_node[first], place[first], doc[place[first]]
+        stays = np.unique(to[goes] * docs + doc[place[goes]])
+        begin, end = np.searchsorted(owner, parent), np.searchsorted(owner, parent, "right")
+        kept = np.bincount(stays // docs, minlength=len(parent))
+        open_ = np.flatnonzero(started & (end - begin > kept))
+        done = (bench.window[p] > 0) & (bench.window[p] <= depth)
+        members, at_group = p[done], group[done]
+        order = np.argsort(at_group, kind="stable")
+        members, at_group = members[order], at_group[order]
+        many = np.bincount(at_group, minlength=len(parent))
+        from_ = np.cumsum(many) - many
+        total = np.concatenate([[0], np.cumsum((end - begin)[open_])])
+        k = 0
+        while k < len(open_):
+            j = max(k + 1, int(np.searchsorted(total, total[k] + (1 << 18), "right")) - 1)
+            some = open_[k:j]
+            n = end[some] - begin[some]
+            g, row = np.repeat(some, n), take_ragged(begin[some], n)
+            cell = g * docs + which[row]
+            if len(stays):
+                out = stays[np.minimum(np.searchsorted(stays, cell), len(stays) - 1)] != cell
+                g, row = g[out], row[out]
+            size = np.cumsum(many[g])
+            lo = 0
+            while lo < len(g):
+                base = size[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(size, base + (1 << 18), "right")))
+                m = many[g[lo:hi]]
+                who, r = members[take_ragged(from_[g[lo:hi]], m)], np.repeat(row[lo:hi], m)
+                # A match that the words before it belong to as well is part of a longer one.
+                at, before = where[r], np.maximum(who - 1, 0)
+                inner = (who > bench.before[bench.item[who]]) & (at > 0) & (self.seq[np.maximum(at - 1, 0)] == bench.code[before])
+                who, r, at = who[~inner], r[~inner], at[~inner]
+                best.add(which[r], bench.item[who], at, who, depth)
+                lo = hi
+            k = j
+
+
+class Longest:
+    """The longest match of each document and item; of equally long ones the first in the document, then in the item."""
+
+    def __init__(self, items: int):
+        self.items, self.held, self.many = items, [np.zeros((0, 4), np.int64)], 0
+
+    def add(self, doc: np.ndarray, item: np.ndarray, place: np.ndarray, who: np.ndarray, size: int) -> None:
+        self.held.append(np.stack([doc * self.items + item, np.full(len(doc), -size), place, who], 1))
+        self.many += len(doc)
+        if self.many > 1 << 20:
+            self._reduce()
+
+    def _reduce(self) -> None:
+        x = np.concatenate(self.held)
+        x = x[np.lexsort((x[:, 3], x[:, 2], x[:, 1], x[:, 0]))]
+        x = x[np.concatenate([[True], x[1:, 0] != x[:-1, 0]])] if len(x) else x
+        self.held, self.many = [x], 0
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        """document, item, place, word of the benchmark, words; in order of document and item."""
+        self._reduce()
+        x = self.held[0]
+        return x[:, 0] // max(self.items, 1), x[:, 0] % max(self.items, 1), x[:, 2], x[:, 3], -x[:, 1]
 
 
 def shard_hits(bench: Benchmark, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Of a shard: words before each text; spans (document, item, first and last+1 word) covered by windows; the longest
-    match of each document and item (document, item, word of the document, word of the item, words)."""
+    """Of a shard: words before each text; stretches of words (first and last + 1) that windows cover, apart from each other and each in
+    one document; the longest match of each document and item (document, item, word of the document, word of the item, words)."""
     low = _LOWER[data]
     h, starts, ends, before = word_hashes(low, offs, bench.salt)
     none = np.zeros(0, np.int64)
     if not len(bench.code) or not len(h):
-        return before, (none,) * 4, (none,) * 5
+        return before, (none,) * 2, (none,) * 5
     code = bench.codes(h)
-    first, who, size = SuffixArray(code, before, bench.bits, bench.depth).matches(bench)
-    # 64-bit word numbers found the places; the words themselves decide.
+    while True:
+        array = SuffixArray(code, before, bench.bits, bench.depth)
+        if not len(array.at):
+            return before, (none,) * 2, (none,) * 5
+        n = np.diff(before)
+        doc = np.append(np.repeat(np.arange(len(n)), n + 1), len(n) - 1)
+        place, size, (of, item, at, who, words) = array.matches(bench, doc)
+        first, at = array.word[place], array.word[at]
+        # 64-bit word numbers found the places; the words themselves decide.
+        step = np.zeros(len(h) + 1, np.int64)
+        for begin, long in ((first, size), (at, words)):
+            np.add.at(step, begin, 1)
+            np.add.at(step, begin + long, -1)
+        seen = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+        word, length = code[seen] - 1, (ends - starts)[seen]
+        wrong = length != bench.word_size[word]
+        wrong[~wrong] = ~_same_bytes(low, starts[seen][~wrong], bench.low, bench.word_at[word][~wrong], length[~wrong])
+        if not wrong.any():
+            break
+        code[seen[wrong]] = 0  # a word that only has the number of one of the benchmark's
     step = np.zeros(len(h) + 1, np.int64)
     np.add.at(step, first, 1)
     np.add.at(step, first + size, -1)
-    seen = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-    word, length = code[seen] - 1, (ends - starts)[seen]
-    wrong = length != bench.word_size[word]
-    wrong[~wrong] = ~_same_bytes(low, starts[seen][~wrong], bench.low, bench.word_at[word][~wrong], length[~wrong])
-    if wrong.any():
-        bad = np.zeros(len(h) + 1, np.int64)
-        bad[seen[wrong] + 1] = 1
-        total = np.cumsum(bad)
-        good = total[first + size] == total[first]
-        first, who, size = first[good], who[good], size[good]
-    doc, item = np.searchsorted(before, first, "right") - 1, bench.item[who]
-    order = np.lexsort((first, item, doc))
-    first, who, size, doc, item = first[order], who[order], size[order], doc[order], item[order]
-    if not len(first):
-        return before, (none,) * 4, (none,) * 5
-    pair = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
-    # Windows of an item have one length, so in order of their first words their last ones rise as well.
-    last = first + bench.window[who]
-    cut = np.concatenate([[True], first[1:] > last[:-1]])
-    cut[pair] = True
-    cut = np.flatnonzero(cut)
-    spans = (doc[cut], item[cut], first[cut], np.maximum.reduceat(last, cut))
-    best = np.lexsort((who, first, -size, item, doc))[pair]
-    longest = (doc[best], item[best], first[best] - before[doc[best]], who[best] - bench.before[item[best]], size[best])
-    return before, spans, longest
+    inside = np.cumsum(step[:-1]) > 0
+    edge = np.zeros(len(h) + 1, bool)
+    edge[before[:-1]] = True  # windows of neighbouring documents may touch
+    begin = inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]]))
+    end = inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))
+    return before, (np.flatnonzero(begin), np.flatnonzero(end) + 1), (of, item, at - before[of], who - bench.before[item], words)
 
 
 def covered(first: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Words of each text that lie in any of the hits."""
-    step = np.zeros(int(before[-1]) + 1, np.int64)
-    np.add.at(step, first, 1)
-    np.add.at(step, last, -1)
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(step[:-1]) > 0)])
-    return hit[before[1:]] - hit[before[:-1]]
+    """Words of each text that lie in any of the stretches."""
+    doc = np.searchsorted(before, first, "right") - 1
+    return np.bincount(doc, last - first, len(before) - 1).astype(np.int64)
 
 
 def _digest(ids: list[str]) -> str:
@@ -322,7 +413,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         bench = _prepared(key, sent, window)
         nothing = _digest([])
         for part, data, offs in steps(batches):
-            before, (doc, item, first, last), longest = shard_hits(bench, data, offs)
+            before, (first, last), longest = shard_hits(bench, data, offs)
             n_words, n_hit = np.diff(before), covered(first, last, before)
             ids: dict[int, set] = {}
             for d, i in zip(longest[0].tolist(), longest[1].tolist(), strict=True):
@@ -349,11 +440,13 @@ def _matches(bench: Benchmark, longest: tuple[np.ndarray, ...], n: int) -> pa.Ar
 
 
 def _by_blocks(few: DataFrame, blocks: Iterable[list], window: int, share: int) -> DataFrame:
-    """A benchmark beyond one block: what all blocks hit, as spans of words, meets by row. A block's hits are written before
-    the next block is read. An item lies in one block, and so does its longest match."""
+    """A benchmark beyond one block: what all blocks hit, as stretches of words, meets by row. A block's hits are written before
+    the next block is read; the first block tells every row's words, the others only rows that they hit. An item lies in one
+    block, and so does its longest match."""
     spark = few.sparkSession
     kind = few.schema["doc_id"].dataType.simpleString()
     rows = stored(few.withColumn("uid", F.monotonically_increasing_id()), "rows")
+    spans_type = pa.struct([("a", pa.int64()), ("b", pa.int64())])
     parts = []
     for number, block in enumerate(blocks):
         sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
@@ -361,29 +454,30 @@ def _by_blocks(few: DataFrame, blocks: Iterable[list], window: int, share: int)
         def scan(batches: Iterator[pa.RecordBatch], sent=sent, key=key, number=number) -> Iterator[pa.RecordBatch]:
             bench = _prepared(key, sent, window)
             for part, data, offs in steps(batches):
-                before, (doc, item, first, last), longest = shard_hits(bench, data, offs)
-                uid = part.column("uid").to_numpy()
-                # One row per span, and one without for each document's length and matches.
-                n, none, found = np.diff(before), np.zeros(len(uid), np.int64), _matches(bench, longest, len(uid))
-                yield pa.RecordBatch.from_pydict({
-                    "uid": pa.array(np.concatenate([uid, uid[doc]])), "n_words": pa.array(np.concatenate([n, n[doc]])),
-                    "a": pa.array(np.concatenate([none, first - before[doc]])), "b": pa.array(np.concatenate([none, last - before[doc]])),
-                    "item": pa.array([None] * len(uid) + [bench.ids[i] for i in item.tolist()], pa.string()),
-                    "block": pa.array(np.full(len(uid) + len(doc), number)), "matches": pa.concat_arrays([found, pa.nulls(len(doc), found.type)]),
+                before, (first, last), longest = shard_hits(bench, data, offs)
+                n = np.diff(before)
+                cut = np.searchsorted(first, before).astype(np.int32)
+                doc = np.searchsorted(before, first, "right") - 1
+                pairs = pa.StructArray.from_arrays([pa.array(first - before[doc]), pa.array(last - before[doc])], fields=list(spans_type))
+                ids = [bench.ids[i] for i in longest[1].tolist()]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(longest[0], np.arange(len(n) + 1)), pa.int32()), pa.array(ids, pa.string()))
+                out = pa.RecordBatch.from_pydict({
+                    "uid": part.column("uid"), "n_words": pa.array(n, pa.int64()), "block": pa.array(np.full(len(n), number)),
+                    "spans": pa.ListArray.from_arrays(pa.array(cut), pairs), "items": lists, "matches": _matches(bench, longest, len(n)),
                 })
+                yield out if not number else out.filter(pa.array(np.diff(cut) > 0))
 
-        parts.append(stored(rows.mapInArrow(scan, f"uid bigint, n_words bigint, a bigint, b bigint, item string, block bigint, matches {MATCH}"), "hits"))
+        parts.append(stored(rows.mapInArrow(scan, f"uid bigint, n_words bigint, block bigint, spans array<struct<a:bigint,b:bigint>>, items array<string>, matches {MATCH}"), "hits"))
         sent.destroy()
     union = parts[0]
     for p in parts[1:]:
         union = union.unionAll(p)
-    before = Window.partitionBy("uid").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    stretch = union.groupBy("uid", "a", "b").agg(F.max("n_words").alias("n_words"), F.collect_set("item").alias("items"))
-    merged = stretch.withColumn("done", F.coalesce(F.max("b").over(before), F.lit(0))).withColumn("new", F.greatest(F.lit(0), F.col("b") - F.greatest("a", "done")))
-    out = merged.groupBy("uid").agg(F.max("n_words").alias("n_words"), F.sum("new").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    lists = union.filter(F.size("matches") > 0).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("block", "matches"))).alias("lists"))
-    own = rows.select("uid", "doc_id").join(out, "uid").join(lists.select("uid", F.flatten("lists.matches").alias("matches")), "uid", "left")
-    return own.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), F.coalesce("matches", F.array().cast(MATCH)).alias("matches"))
+    met = union.groupBy("uid").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.array_sort(F.collect_list(F.struct("block", "matches"))).alias("lists"))
+    zero = F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n"))
+    hit = F.aggregate("spans", zero, lambda s, x: F.struct(F.greatest(s["to"], x["b"]).alias("to"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["to"]))).alias("n")), lambda s: s["n"])
+    items = F.array_sort(F.array_compact(F.array_distinct("items")))
+    out = rows.select("uid", "doc_id").join(met, "uid").select("doc_id", "n_words", hit.alias("n_hit"), items.alias("items"), F.flatten("lists.matches").alias("matches"))
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "matches")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, text_col: str = "text", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -403,7 +497,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = _prepared(key, sent, window)
         for part, data, offs in steps(batches, text_col):
-            before, (_, _, first, last), _ = shard_hits(bench, data, offs)
+            before, (first, last), _ = shard_hits(bench, data, offs)
             n_hit = covered(first, last, before)
             yield part.filter(pa.array(~((n_hit > 0) & (share * n_hit >= np.diff(before)))))
 
