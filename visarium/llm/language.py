@@ -6,12 +6,13 @@ bytes before the chunk (behind it, for the way back), so its state runs on from
 byte stand beside edges. Chunks of a step that are the same, with what stands around them, are read once.
 
 The network is trained in numpy by backpropagation through time on a bounded sample of the labelled rows with
-crc32(doc_id) mod 3 other than 1: PER_CLASS documents of each language. Training windows are drawn from their whole
+crc32(doc_id) mod 3 other than 1: PER_CLASS doc_ids of each language, with one row each. Training windows are drawn from their whole
 texts: all windows, or where there are more than WINDOWS an even draw. Only text and lang of those rows are ever read for
 it, and only text for a prediction.
 
 Defined results: null text and text without a letter are `und` with score 0; without labelled rows all are `und`;
-null doc_id is never used for training and is not held out; repeated rows are labelled each; an empty table gives no
+null doc_id is never used for training and is not held out; rows that repeat a doc_id are labelled each, and one of
+them, the least by a hash of text and lang, may train; an empty table gives no
 rows; further columns are not read.
 """
 
@@ -24,9 +25,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visarium.llm.arrays import steps, take_ragged
 from visarium.llm.gru import EDGE, BiGRU
+from visarium.llm.tables import stored
 
 UNDEFINED = "und"
 #: Bytes of a chunk, and of the text around it that is read before it; chunks that are read at once, and
@@ -106,20 +109,21 @@ def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS, training_steps: int = STEPS) -> tuple[list[str], BiGRU | None]:
     """Languages and network, from a bounded sample of the labelled rows that are not held out."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (remainder(F.col(id_col)) != 1)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    known = known.withColumn("row", F.xxhash64("text", "lang"))
+    # A doc_id trains with one of its rows, however often it comes: ids are counted and drawn, not rows.
+    ids = stored(known.groupBy("id").agg(F.min(F.struct("row", "lang", F.octet_length("text").alias("size"))).alias("one")).select("id", "one.*"), "trainable")
+    counts = {r[0]: r[1] for r in ids.groupBy("lang").count().collect()}
     if not counts:
         return [], None
     langs = sorted(counts)
     draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 40))
     # About 1.5 times the documents wanted of each language pass; of those the ones drawn first are taken.
-    bound = lambda limits: F.element_at(F.create_map(*(F.lit(x) for k in langs for x in (k, limits[k]))), F.col("lang"))
-    passing = known.filter(draw < bound({k: int(min(1, 1.5 * (per_class + 20) / counts[k]) * (1 << 40)) + 1 for k in langs}))
+    bound = F.element_at(F.create_map(*(F.lit(x) for k in langs for x in (k, int(min(1, 1.5 * (per_class + 20) / counts[k]) * (1 << 40)) + 1))), F.col("lang"))
     sizes: dict[str, list] = {k: [] for k in langs}
-    for r in passing.select("lang", draw.alias("draw"), F.octet_length("text").alias("size")).collect():
-        sizes[r.lang].append((r.draw, r.size))
+    for r in ids.select("lang", "row", "size", "id", draw.alias("draw")).filter(F.col("draw") < bound).collect():
+        sizes[r.lang].append((r.draw, r.row, r.size, r.id))
     taken = {k: sorted(v)[:per_class] for k, v in sizes.items()}
-    limits = {k: (v[-1][0] if v else -1) + 1 for k, v in taken.items()}
-    share = min(1.0, WINDOWS / max(1, sum(-(-n // WINDOW) for v in taken.values() for _, n in v)))
+    share = min(1.0, WINDOWS / max(1, sum(-(-n // WINDOW) for v in taken.values() for _, _, n, _ in v)))
     number = {k: i for i, k in enumerate(langs)}
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +136,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             codes = codes_of(data, offs, text[keep], start[keep], WINDOW, WARM) if len(keep) else np.zeros((0, WINDOW + 2 * WARM), np.int16)
             yield pa.RecordBatch.from_pydict({"label": pa.array(label[text[keep]]), "codes": pa.array([x.tobytes() for x in codes], pa.binary())})
 
-    drawn = passing.filter(draw < bound(limits)).select("lang", "text", draw.alias("draw")).mapInArrow(windows, "label int, codes binary").toArrow()
+    # PER_CLASS rows of each language; equal rows of one id are the same row.
+    wanted = docs.sparkSession.createDataFrame([(d, r, i) for v in taken.values() for d, r, _, i in v], T.StructType([T.StructField("draw", T.LongType()), T.StructField("row", T.LongType()), T.StructField("id", ids.schema["id"].dataType)]))
+    rows = known.join(F.broadcast(wanted), ["id", "row"]).groupBy("id", "row", "lang", "draw").agg(F.first("text").alias("text"))
+    drawn = rows.select("lang", "text", "draw").mapInArrow(windows, "label int, codes binary").toArrow()
     net = BiGRU(len(langs), UNITS)
     if len(langs) > 1 and drawn.num_rows:
         drawn = drawn.sort_by([("label", "ascending"), ("codes", "ascending")])
