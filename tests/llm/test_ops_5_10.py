@@ -6,6 +6,7 @@ import datetime as dt
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -15,15 +16,16 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tests.llm.test_ops_1_4 import ODD, frame, lower, texts
+from visarium.llm import language
 from visarium.llm.arrays import as_bytes
 from visarium.llm.chunks import tokenizer_path
 from visarium.llm.decontaminate import Benchmark, SuffixArray, contamination, drop_contaminated, shard_hits, word_hashes
 from visarium.llm.gru import EDGE, BiGRU
-from visarium.llm.language import chunked, codes_of, drop_unidentified, label_texts, languages
+from visarium.llm.language import chunked, codes_of, drop_unidentified, label_texts, languages, predict
 from visarium.llm.piece_counts import PieceCounter, token_counts
 from visarium.llm.revisits import PERMITTED, canonical_url, resolve_revisits
 from visarium.llm.sharding import jump_hash, shard_table
-from visarium.llm.toxicity import Model, grams, toxicity, words_of
+from visarium.llm.toxicity import Model, fit, grams, toxicity, words_of
 
 # Language
 
@@ -535,3 +537,51 @@ def test_toxicity_of_long_and_repeated_rows(spark):
     by = {k: [x[1:] for x in got if x[0] == k] for k in (500, 501, 502)}
     assert [len(by[k]) for k in (500, 501, 502)] == [2, 1, 2] and len(set(by[500])) == len(set(by[502])) == 1
     assert by[500][0][1] == 0 and by[501][0][1] == 1 and by[502][0][1] == 1
+
+
+@pytest.mark.parametrize("hot", [0, 1, 2])
+def test_languages_of_a_doc_id_that_repeats(spark, hot):
+    """One doc_id in 100,000 rows, in the sample or out of it, leaves a language's other documents as they are told."""
+    rows = language_rows(240)
+    many = spark.range(100_000).select(F.lit(1000 + hot).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, rows[0][1]).otherwise(rows[3][1]).alias("text"), F.lit("aa").alias("lang"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionAll(many)
+    langs, net = language.fit(docs, training_steps=150)
+    right = [predict(langs, net, *as_bytes(pa.array([t])))[0][0] == lang for k, t, lang in rows if zlib.crc32(str(k).encode()) % 3 == 1]
+    assert sum(right) >= 0.95 * len(right)
+    few = language.fit(docs, per_class=5, training_steps=1)[1]
+    assert few is not None
+
+
+def test_toxicity_of_a_doc_id_that_repeats(spark):
+    """The calibration sample has one row of an id, however often it comes."""
+    rows = [(k, f"plain words here {k} " + ("stupid idiot " * 3 if k % 3 == 0 else "kind people ")) for k in range(120)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = next(k for k in range(120) if zlib.crc32(str(k).encode()) % 3 == 0)
+    many = docs.unionAll(docs.filter(f"doc_id = {hot}").crossJoin(spark.range(50_000)).select("doc_id", "text"))
+    (_, alone), (_, among) = fit(docs, labels), fit(many, labels)
+    assert np.allclose(alone, among, rtol=0.5, atol=1.5)  # counts differ, the sample does not
+    got = {r.doc_id: r.score for r in toxicity(many, labels).filter(f"doc_id <> {hot}").collect()}
+    assert sum((got[k] >= 0.5) == (k % 3 == 0) for k in got) >= 0.95 * len(got)
+
+
+def test_items_that_share_a_window_over_repeated_lines():
+    """A thousand items with one preamble against a step of lines that hold it: memory follows the places and the pairs of
+    document and item, not items times places."""
+
+    preamble = " ".join(f"p{k}" for k in range(16))
+    items = [(str(k), f"{preamble} item{k} its own words {k}") for k in range(1000)]
+    docs = [f"{preamble} other end\n" * 400] * 40 + [f"x {preamble} item7 its own words 7 y", "nothing here"] + [f"{preamble}\n" * 8000]
+    bench = Benchmark(items)
+    data = as_bytes(pa.array(docs))
+    assert len(data[0]) > 1 << 20
+    tracemalloc.start()
+    before, (first, last), (doc, item, at, at_item, size) = shard_hits(bench, *data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6
+    n = np.bincount(doc, minlength=len(docs)).tolist()
+    assert n == [1000] * 41 + [0, 1000]
+    longest = {(d, i): (x, y, s) for d, i, x, y, s in zip(*(v.tolist() for v in (doc, item, at, at_item, size)), strict=True)}
+    assert longest[0, 5] == (0, 0, 16) and longest[40, 7] == (1, 0, 21) and longest[40, 8] == (1, 0, 16)
+    assert (last - first).sum() == 16 * 400 * 40 + 21 + 16 * 8000

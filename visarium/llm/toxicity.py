@@ -17,7 +17,8 @@ rows (24 bytes each). A larger one stays in the shared folder: the models are th
 texts is joined with the strings behind its own contexts. Both ways give the same scores.
 
 Defined results: null and wordless text has figures 0 and the score that follows; labels that are null are not read;
-of several labels of a doc_id the largest counts; null doc_id is not held out and never trains; without labels of both
+of several labels of a doc_id the largest counts; of rows that repeat a doc_id all are counted and one, the least by a hash of
+its text, is in the calibration sample; null doc_id is not held out and never trains; without labels of both
 classes every score is 0; repeated rows are scored each; empty tables give no rows; further columns are not read.
 """
 
@@ -293,11 +294,16 @@ def fit(docs: DataFrame, labels: DataFrame, context: int = CONTEXT, most: int =
     toxic, plain, *by_fold = table.agg(*(F.sum(F.expr(x)) for x in ("t0 + t2", "o0 + o2", "t0 + o0", "t2 + o2"))).first()
     if not toxic or not plain:
         return None
-    # The sample is drawn by a hash of doc_id; its bound holds for either class, whatever the corpus' size.
-    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # The sample is drawn by a hash of doc_id, one row an id however often it comes; its bound holds for either class, whatever the
+    # corpus' size.
+    keyed = rows.withColumn("row", F.xxhash64("text"))
+    ids = stored(keyed.groupBy("doc_id").agg(F.min(F.struct("row", "toxic")).alias("one")).select("doc_id", "one.*"), "calibration")
+    sizes = {r.toxic: r.n for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20))
     bound = lambda k: int(min(1, CALIBRATE / max(sizes.get(k, 1), 1)) * (1 << 20)) + 1
-    sample = rows.filter(draw < F.when(F.col("toxic") > 0, bound(1)).otherwise(bound(0))).select("text", F.col("toxic").cast("int").alias("toxic"), F.col("fold").cast("int").alias("fold"))
+    drawn = ids.filter(draw < F.when(F.col("toxic") > 0, bound(1)).otherwise(bound(0))).select("doc_id", "row")
+    own = keyed.join(F.broadcast(drawn), ["doc_id", "row"]).groupBy("doc_id", "row").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"), F.first("fold").alias("fold"))
+    sample = own.select("text", F.col("toxic").cast("int").alias("toxic"), F.col("fold").cast("int").alias("fold"))
     kind = "a double, b double, c double, toxic int"
     if table.count() > most:
         whole = _model_table(table, F.col("t0") + F.col("t2"), F.col("o0") + F.col("o2"), context)
