@@ -11,6 +11,7 @@ from visarium.llm.chunks import tokenizer_path
 from visarium.llm.decontaminate import contamination
 from visarium.llm.exact_dedup import exact_groups
 from visarium.llm.filter_audit import filter_audit
+from visarium.llm.jaccard_join import jaccard_classes
 from visarium.llm.language import languages
 from visarium.llm.merkle import verified_manifest
 from visarium.llm.packing import packed
@@ -68,6 +69,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_revisits,
         op9_decontamination,
         op10_toxicity,
+        op11_jaccard_join,
         op12_filter_audit,
         op13_merkle,
     )

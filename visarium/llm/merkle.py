@@ -32,6 +32,7 @@ ARITY, CLIMB = 16, 4
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: The tree of the sources' roots.
 TOP = -1
+_PROOF = "array<struct<left:string,right:string>>"
 _NODES = "tree bigint, size bigint, level int, idx bigint, digest string, children array<string>"
 
 
@@ -125,18 +126,19 @@ def _beside(children: Column, pos: Column) -> Column:
     return F.struct(F.array_join(F.slice(children, 1, pos), "").alias("left"), F.array_join(F.slice(children, pos + 2, ARITY), "").alias("right"))
 
 
-def _proved(runs: DataFrame, tops: DataFrame) -> DataFrame:
+def _proved(runs: DataFrame, tops: DataFrame | None = None) -> DataFrame:
     """The lowest runs (tree, idx, children) of all trees with `above`: the proof from the run's parent on. tops: tree, above
-    and further columns that belong to the tree's root. A tree of one leaf has a run without children."""
+    and further columns that belong to the tree's root; without them the roots are the last. A tree of one leaf has a run without children."""
     runs = runs.withColumn("height", _height())
     highest = runs.agg(F.max("height")).first()[0] or 0
-    names = [c for c in tops.columns if c != "tree"]
+    names = ["above"] if tops is None else [c for c in tops.columns if c != "tree"]
+    begun = lambda rows: rows.withColumn("above", F.array().cast(_PROOF)) if tops is None else rows.join(tops, "tree")
     none = F.lit(None).cast("array<string>")
-    single = runs.filter("height = 0").select("tree", "idx", none.alias("children")).join(tops, "tree")
+    single = begun(runs.filter("height = 0").select("tree", "idx", none.alias("children")))
     below = None
     for level in range(highest - 1, -1, -1):
         here = runs.filter((F.col("level") == level) & (F.col("height") > level))
-        out = here.filter(F.col("height") == level + 1).select("tree", "idx", "children").join(tops, "tree")
+        out = begun(here.filter(F.col("height") == level + 1).select("tree", "idx", "children"))
         if below is not None:
             link = here.filter(F.col("height") > level + 1).select("tree", "idx", "children", F.shiftright("idx", 4).alias("up"), F.col("idx").bitwiseAND(F.lit(ARITY - 1)).cast("int").alias("pos"))
             over = below.select("tree", F.col("idx").alias("up"), F.col("children").alias("row"), *names)
@@ -183,12 +185,8 @@ def merkle_manifest(docs: DataFrame, claimed: Column | None = None, fields: tupl
     last = stored(grown(subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("trees").alias("size"), F.col("tree").alias("idx"), F.col("subroot").alias("digest"))), "runs")
     top = last.orderBy(F.col("level").desc()).select(F.col("children")[0]).first()  # one digest
     root = F.lit(top[0] if top else None)
-    spark = docs.sparkSession
-    nothing = F.array().cast("array<struct<left:string,right:string>>")
-    start = spark.range(1).select(F.lit(TOP).cast("long").alias("tree"), nothing.alias("above"))
-    above = _with_proofs(subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), "subroot"), _proved(last, start))
+    above = _with_proofs(subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), "subroot"), _proved(last))
     tops = stored(above.select(F.col("idx").alias("tree"), F.col("proof").alias("above"), "subroot"), "tops")
-    # In a tree of one leaf the finished row is the root itself.
     return _with_proofs(leaves.drop("size"), _proved(runs, tops)).select("doc_id", "source", "leaf", "subroot", root.alias("root"), "proof", "claimed")
 
 
