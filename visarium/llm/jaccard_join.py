@@ -48,8 +48,8 @@ from visarium.llm.tables import stored
 SHINGLE, PERCENT = 5, 80
 #: Shingles of the subsets that light sets enumerate, and the largest size that the boundary may have.
 PICK, MOST_LIGHT = 2, 40
-#: Shingles of a range of hashes, about; sets of a step at most.
-RANGE, SETS = 1 << 20, 60_000
+#: Shingles of a range of hashes, about; sets of a step at most, and bytes of text (a longer text is a step of its own).
+RANGE, SETS, STEP = 1 << 20, 60_000, 1 << 20
 #: Sets of a list that are compared at once; partners of a set that the first scan looks at in a longer list; bytes of a bitmap.
 BLOCK, FIRST, BITMAP = 4096, 32, 128
 #: Digests that are joined by broadcast: 16 bytes each.
@@ -102,7 +102,7 @@ def members_of(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
     few = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offs in steps(batches):
+        for part, data, offs in steps(batches, most=STEP):
             values, cuts = shingle_sets(data, offs, size)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(np.diff(cuts)), "digest": pa.array(_digests(values, cuts), pa.binary())})
 
@@ -133,7 +133,7 @@ def _blocks(docs: DataFrame, bits: int, size: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = TaskContext.get().partitionId() << 33
-        for part, data, offs in steps(batches):
+        for part, data, offs in steps(batches, most=2 * STEP):
             for lo in range(0, part.num_rows, SETS):
                 hi = min(lo + SETS, part.num_rows)
                 digests, values, cuts = _distinct_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], size)
@@ -211,20 +211,15 @@ def _bitmap(values: np.ndarray) -> bytes:
 def sets_of(docs: DataFrame, digests: DataFrame, size: int = SHINGLE) -> DataFrame:
     """sid, digest, n, hashes and bits of the distinct sets with these digests, written once. docs: text."""
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offs in steps(batches):
-            yield pa.RecordBatch.from_pydict({"digest": pa.array(_digests(*shingle_sets(data, offs, size)), pa.binary()), "text": part.column("text")})
-
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offs in steps(batches):
+        for _, data, offs in steps(batches, most=STEP):
             names, values, cuts = _distinct_sets(data, offs, size)
-            each = [values[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            each = [_bitmap(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             hashes = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_pydict({"digest": pa.array(names, pa.binary()), "n": pa.array(np.diff(cuts)), "hashes": hashes, "bits": pa.array([_bitmap(x) for x in each], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"digest": pa.array(names, pa.binary()), "n": pa.array(np.diff(cuts)), "hashes": hashes, "bits": pa.array(each, pa.binary())})
 
     few = F.broadcast(digests) if digests.count() <= BROADCAST else digests
-    texts = docs.mapInArrow(name, "digest binary, text string").join(few, "digest", "left_semi")
-    made = texts.mapInArrow(make, "digest binary, n bigint, hashes array<bigint>, bits binary")
+    made = docs.mapInArrow(make, "digest binary, n bigint, hashes array<bigint>, bits binary").join(few, "digest", "left_semi")
     one = made.groupBy("digest").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("bits").alias("bits"))
     return stored(one.withColumn("sid", F.monotonically_increasing_id()), "sets")
 
