@@ -14,9 +14,9 @@ A document's set holds its distinct shingles. Equal sets collapse to one first.
    at least is heavy (or that may link with less than PICK common shingles). The boundary is the size with the least cost, counted from the real lengths of both kinds of lists.
 4. *Scans* leave out what size, the positions of the common shingle, or a parity bitmap of the sets rule out (bits that differ are
    shingles that differ), none of which a link can fail. What is left is verified on the shingles themselves.
-5. *Long lists.* A first scan looks at every pair of short lists, and of long ones at a share that grows with their length, not with
-   its square, drawn by a hash of the pair. Components are formed of the links verified. A second scan looks at all other
-   pairs of sets that are not in one component yet: so each link lies within a component in the end, and pairs inside a dense group
+5. *Long lists.* A first scan looks at every pair of short lists, and of a set's longest long ones at a share that grows with their
+   length, not with its square, drawn by a hash of the pair. Components are formed of the links verified. A second scan looks at
+   all pairs of the long lists that are not in one component yet: so each link lies within a component in the end, and pairs inside a dense group
    of near copies are never listed. Lists over BLOCK sets are scanned in blocks; in the second scan only sets outside of the
    list's largest component meet all others.
 
@@ -50,8 +50,9 @@ SHINGLE, PERCENT = 5, 80
 PICK, MOST_LIGHT = 2, 40
 #: Shingles of a range of hashes, about; sets of a step at most, and bytes of text (a longer text is a step of its own).
 RANGE, SETS, STEP = 1 << 20, 60_000, 1 << 20
-#: Sets of a list that are compared at once; partners of a set that the first scan looks at in a longer list; bytes of a bitmap.
-BLOCK, FIRST, BITMAP = 4096, 32, 128
+#: Sets of a list that are compared at once; partners of a set that the first scan looks at in a longer list, and such lists of a set;
+#: bytes of a bitmap.
+BLOCK, FIRST, LISTS, BITMAP = 4096, 32, 2, 128
 #: Digests that are joined by broadcast: 16 bytes each.
 BROADCAST = 500_000
 #: Cost of a row that is written and sorted, in compared pairs.
@@ -285,13 +286,11 @@ def _scan(rows: dict[str, np.ndarray], boundary: int, percent: int, block: int,
         ok &= (rows["kind"][x] == 2) | (n[y] > boundary) | (_need(n[y], percent) < PICK)
         a, b = np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
         ok &= a != b
-        share = _share(m[x], block)
         if second:
             ok &= rows["comp"][x] != rows["comp"][y]
             ok &= (rows["role"][x] == 2) | (rows["role"][x] != rows["role"][y])
-            ok &= (m[x] > block) | (_drawn(a, b) >= share)
         else:
-            ok &= _drawn(a, b) < share
+            ok &= _drawn(a, b) < _share(m[x], block)
         x, y, a, b = x[ok], y[ok], a[ok], b[ok]
         alpha = -(-percent * (n[x] + n[y]) // (100 + percent))
         most = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
@@ -350,9 +349,12 @@ def links_of(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> Dat
     lists, boundary = entries(sets, percent, block)
     parts = F.ceil(F.col("m") / block).cast("int")
     # Longer lists are dealt out twice, so that their parts' components meet.
+    # In longer lists a set takes part where most others are: the first scan only has to find components.
+    rank = F.row_number().over(Window.partitionBy("sid").orderBy(F.col("m").desc(), "kind", "key"))
     deal = lambda salt: F.pmod(F.xxhash64("sid", F.lit(salt)), parts) + salt * parts
     dealt = F.when(F.col("m") <= block, F.array(F.lit(0))).otherwise(F.array(deal(0).cast("int"), deal(1).cast("int")))
-    whole = lists.withColumns({"part": F.explode(dealt), "comp": F.col("sid"), "role": F.lit(2)})
+    use = lists.withColumn("rank", rank).filter((F.col("m") <= FIRST + 1) | (F.col("rank") <= LISTS))
+    whole = use.withColumns({"part": F.explode(dealt), "comp": F.col("sid"), "role": F.lit(2)})
     links = stored(_verified(stored(_pairs(whole, boundary, percent, block, False), "pairs"), sets, percent), "links")
     long = lists.filter(F.col("m") > FIRST + 1)
     if long.isEmpty():
