@@ -20,11 +20,12 @@ def frame_name(frame_idx: Column, fps: float = 25.0) -> Column:
 
 
 def stem(name: Column) -> Column:
-    return F.regexp_replace(name, r"\.[^.]*$", "")
+    return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]+$", "")
 
 
 def suffix(name: Column) -> Column:
-    return F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    """With the dot; none for a name that begins or ends with its last dot."""
+    return F.regexp_extract(name, r"(?s)(?<=.)(\.[^.]+)$", 1)
 
 
 def face_name(frame: Column, face_id: Column) -> Column:

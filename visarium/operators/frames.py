@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visarium.functions import boxes, names
+from visarium.operators.files import unique_names
 from visarium.tables import stored
 
 #: Up to so many rows a global number comes from one sorted task; beyond, from sorted ranges with offsets.
@@ -124,22 +125,3 @@ def objects_of(detections: DataFrame, classes: list[int] | None = None, least: f
 def largest_file(files: DataFrame, by: str) -> DataFrame:
     """The largest file of each folder; of equal ones the first path."""
     return files.groupBy(by).agg(F.min_by("path", F.struct(-F.col("length"), F.col("path"))).alias("path"), F.max("length").alias("length"))
-
-
-def rename_in_order(files: DataFrame, by: str, base: Column) -> DataFrame:
-    """new_name: base_001.ext and so on, in the order of names in each folder."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy("name"))
-    return files.withColumn("new_name", F.format_string("%s_%03d%s", base, place, names.suffix(F.col("name"))))
-
-
-def unique_names(files: DataFrame, by: str, order: str) -> DataFrame:
-    """target: the name, or the name with _001, _002 ... for those that come later with the same name in a folder."""
-    place = F.row_number().over(Window.partitionBy(by, "name").orderBy(order)) - 1
-    numbered = F.format_string("%s_%03d%s", names.stem(F.col("name")), place, names.suffix(F.col("name")))
-    return files.withColumn("target", F.when(place == 0, F.col("name")).otherwise(numbered))
-
-
-def unique_folders(folders: DataFrame, wanted: str, order: str) -> DataFrame:
-    """new_folder: the wanted name, then with _0, _1 ... for later ones."""
-    place = F.row_number().over(Window.partitionBy(wanted).orderBy(order))
-    return folders.withColumn("new_folder", F.when(place == 1, F.col(wanted)).otherwise(F.format_string("%s_%d", F.col(wanted), place - 2)))
