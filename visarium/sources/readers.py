@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from visarium.functions import names
@@ -125,24 +125,30 @@ class FrameSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _FrameReader(dict(self.options))
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _FrameStream(dict(self.options))
+
 
 class _Stretch(InputPartition):
     def __init__(self, start: int, stop: int):
         self.start, self.stop = start, stop
 
 
-class _FrameReader(DataSourceReader):
+class _Frames:
+    """What reading once and reading on share: how many frames there are, and the frames of a stretch."""
+
     def __init__(self, options: dict):
         self.o = options
 
-    def partitions(self) -> list[_Stretch]:
-        step = int(self.o.get("stretch", 1000))
+    def there(self) -> int:
         if "count" in self.o:
-            n = int(self.o["count"])
-        else:
-            module, _, fn = self.o["counter"].partition(":")
-            n = int(getattr(importlib.import_module(module), fn)(self.o["path"]))
-        return [_Stretch(k, min(n, k + step)) for k in range(0, n, step)]
+            return int(self.o["count"])
+        module, _, fn = self.o["counter"].partition(":")
+        return int(getattr(importlib.import_module(module), fn)(self.o["path"]))
+
+    def stretches(self, start: int, stop: int) -> list[_Stretch]:
+        step = int(self.o.get("stretch", 1000))
+        return [_Stretch(k, min(stop, k + step)) for k in range(start, stop, step)]
 
     def read(self, partition: _Stretch) -> Iterator[tuple]:
         module, _, fn = self.o["decoder"].partition(":")
@@ -153,6 +159,34 @@ class _FrameReader(DataSourceReader):
                 yield self.o["path"], k, ts, f"frame_{ts}_{k:05d}.jpg", (self.o["path"], h, w, c, 16 if c == 3 else 0, data)
 
 
+class _FrameReader(_Frames, DataSourceReader):
+    def partitions(self) -> list[_Stretch]:
+        return self.stretches(0, self.there())
+
+
+class _FrameStream(_Frames, DataSourceStreamReader):
+    """A video that may still grow: its offset is the number of frames read. A micro-batch has the frames that have come since the last
+    one's offset, which Spark keeps with the query's checkpoint, so a query that starts again goes on where it was."""
+
+    def initialOffset(self) -> dict:
+        return {"frame": int(self.o.get("start", 0))}
+
+    def latestOffset(self) -> dict:
+        return {"frame": max(self.there(), int(self.o.get("start", 0)))}
+
+    def partitions(self, start: dict, end: dict) -> list[_Stretch]:
+        return self.stretches(start["frame"], end["frame"])
+
+    def commit(self, end: dict) -> None:
+        """Frames can be decoded again: nothing is let go."""
+
+
+def read_stream(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The frames of a video as a stream (options as for FrameSource; counter tells how many there are by now; start: the first)."""
+    spark.dataSource.register(FrameSource)
+    return spark.readStream.format("frames").options(path=path, **options).load()
+
+
 def read_source(spark: SparkSession, path: str, **options) -> DataFrame:
     """Frames of a video if count (its frames) or counter and a decoder are given, else of a folder of images."""
     if {"count", "counter"} & set(options):

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visarium.functions.names import cluster_name
-from visarium.operators.frames import original_copies, unique_names
+from visarium.operators.files import unique_names
+from visarium.operators.frames import original_copies
 
 
 def write_clusters(faces: DataFrame, labels: DataFrame, path: str, order: str = "face_id") -> None:
