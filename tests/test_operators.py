@@ -160,22 +160,19 @@ def test_density_methods(spark):
     rng = np.random.default_rng(6)
     centers = rng.normal(0, 4, (5, 8))
     x = np.concatenate([c + rng.normal(0, 0.05, (20, 8)) for c in centers] + [rng.uniform(-8, 8, (15, 8))])
-    label, p = density.hdbscan(x)
-    assert set(label) - {-1} == set(range(5)) and all(len(set(label[20 * k : 20 * k + 20])) == 1 for k in range(5)) and ((p >= 0) & (p <= 1)).all()
-    for fn in (density.agglomerative, density.spectral):
-        got = fn(x[:100], 5)
+    label = lambda n, *a, **kw: density.cluster(vecs(spark, x[:n]), *a, **kw).orderBy("vec_id").toPandas()
+    got = label(115, "hdbscan")
+    assert set(got["label"]) - {-1} == set(range(5)) and got["probability"].between(0, 1).all()
+    assert all(len(set(got["label"][20 * k : 20 * k + 20])) == 1 for k in range(5))
+    for name, options in (("agglomerative", {"clusters": 5}), ("spectral", {"clusters": 5}), ("chinese_whispers", {"tolerance": 1.0})):
+        got = label(100, name, **options)["label"]
         assert len(set(got)) == 5 and all(len(set(got[20 * k : 20 * k + 20])) == 1 for k in range(5))
-    got = density.chinese_whispers(x[:100], 1.0)
-    assert len(set(got)) == 5
-    got = density.affinity_propagation(x[:100])
+    got = label(100, "affinity_propagation")["label"]
     assert all(len(set(got[:20]) & set(got[20 * k : 20 * k + 20])) == 0 for k in range(1, 5))
-    for fn in (density.hdbscan, density.agglomerative, density.spectral, density.affinity_propagation, density.chinese_whispers):
+    for name in density.METHODS:
         for n in (0, 1):
-            out = fn(np.zeros((n, 8)))
-            assert list(out[0] if isinstance(out, tuple) else out) == [0] * n
-    with pytest.raises(ValueError):
-        density.cluster(vecs(spark, x), "hdbscan", most=10)
-    out, failed = density.run_methods(vecs(spark, x), ["hdbscan", "nothing"])
+            assert label(n, name)["label"].tolist() == [0] * n
+    out, failed = pl.cluster_methods(vecs(spark, x), ["hdbscan", "nothing"])
     assert list(failed) == ["nothing"] and out.count() == len(x)
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visarium import views as v
 from visarium.functions import boxes, geometry, images, names, vectors
 from visarium.functions.geometry import CropConfig
-from visarium.operators import density, frames as fr, links, reconcile as rc, render, track
+from visarium.operators import candidates, density, files, frames as fr, links, reconcile as rc, render, track
 from visarium.plans import pipelines as pl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,12 +167,13 @@ def annotation_join(spark, d):
     return marked.select("video_id", "frame_idx", F.coalesce(text, F.lit("")).alias("marks"))
 
 
-@query("WITH {faces} SELECT face_id, round(face_id / 100.0::DOUBLE, 2) AS seconds, face_id AS frame, l::INT AS l, b::INT AS b FROM faces WHERE r > 0 AND b >= 0 AND r >= 0")
+@query("""WITH {faces}, p AS (SELECT *, r >= 0 AND b >= 0 AND l >= 0 AND t >= 0 AS ok FROM faces)
+    SELECT face_id, CASE WHEN ok THEN round(face_id / 100.0::DOUBLE, 2) ELSE -1 END AS seconds, CASE WHEN ok THEN face_id ELSE -1 END AS frame, CASE WHEN ok THEN l::INT ELSE -1 END AS l, CASE WHEN ok THEN b::INT ELSE -1 END AS b FROM p""")
 def parse_annotation_name(spark, d):
-    f = v.faces(spark, d).filter("bbox.right > 0 and bbox.bottom >= 0")
+    """Sides below zero make a name of another form: nothing is read from it (-1 here)."""
     name = F.format_string("scene_0055_%s_%d_face_%05d_(%d, %d, %d, %d).jpg", F.round(F.col("face_id") / 100.0, 2).cast("string"), "face_id", "face_id", "bbox.left", "bbox.top", "bbox.right", "bbox.bottom")
     a = names.annotation(F.col("name"))
-    return f.withColumn("name", name).select("face_id", a["seconds"].alias("seconds"), a["frame"].alias("frame"), a["bbox"]["left"].alias("l"), a["bbox"]["bottom"].alias("b"))
+    return v.faces(spark, d).withColumn("name", name).select("face_id", *(F.coalesce(x, F.lit(-1)).alias(n) for x, n in ((a["seconds"], "seconds"), (a["frame"], "frame"), (a["bbox"]["left"], "l"), (a["bbox"]["bottom"], "b"))))
 
 
 @query("""WITH {frames}, {faces}, m AS (SELECT round(frame_idx / 25.0::DOUBLE, 2) AS at, string_agg(printf('person_%03d', label) || ':' || l, ';' ORDER BY face_id) AS marks FROM faces GROUP BY ALL)
@@ -223,24 +224,60 @@ def sanitize_name(spark, d):
     return v.table(spark, d, "pages").select("page_id", names.sanitised(F.col("url")).alias("safe"))
 
 
-@query("SELECT doc_id, printf('%s_%03d', source, row_number() OVER (PARTITION BY source ORDER BY printf('n%d.txt', doc_id))) || '.txt' AS new_name FROM documents")
+@query("""WITH f AS (SELECT doc_id, source, CASE WHEN doc_id % 9 = 8 THEN 'n' || doc_id || '.txt' ELSE CASE WHEN doc_id % 2 = 0 THEN 'n' ELSE 'N.b' END || doc_id || (['.jpg', '.JPG', '.Jpeg', '.webp'])[doc_id % 4 + 1] END AS name FROM documents)
+    SELECT doc_id, printf('%s_%03d', source, row_number() OVER (PARTITION BY source ORDER BY name)) || lower(regexp_extract(name, '\\.[^.]+$')) AS new_name FROM f WHERE NOT ends_with(name, '.txt')""")
 def rename_seq(spark, d):
-    files = v.table(spark, d, "documents").select("doc_id", "source", F.format_string("n%d.txt", "doc_id").alias("name"))
-    return fr.rename_in_order(files, "source", F.col("source")).select("doc_id", "new_name")
+    i = F.col("doc_id")
+    image = F.concat(F.when(i % 2 == 0, "n").otherwise("N.b"), i.cast("string"), F.element_at(F.array(*map(F.lit, (".jpg", ".JPG", ".Jpeg", ".webp"))), (i % 4 + 1).cast("int")))
+    names_ = v.table(spark, d, "documents").select("doc_id", "source", F.when(i % 9 == 8, F.concat(F.lit("n"), i.cast("string"), F.lit(".txt"))).otherwise(image).alias("name"))
+    return files.rename_in_order(names_, "source", F.col("source")).select("doc_id", "new_name")
+
+
+#: One after another, in SQL: the first file of each name has it, then each of the others looks for a number until one is free.
+_FREE = """WITH RECURSIVE {rows}, p AS (SELECT *, row_number() OVER (PARTITION BY folder, stem, suffix ORDER BY id) AS k FROM n),
+    kept AS (SELECT id, folder, stem || suffix AS target FROM p WHERE k = 1),
+    queue AS (SELECT id, folder, stem, suffix, row_number() OVER (PARTITION BY folder ORDER BY id) AS q FROM p WHERE k > 1),
+    walk(folder, q, taken, id, target) AS (
+        SELECT folder, 0::BIGINT, list(target), NULL::BIGINT, NULL::VARCHAR FROM kept GROUP BY folder
+        UNION ALL
+        SELECT w.folder, w.q + 1, list_append(w.taken, t), u.id, t
+        FROM walk w JOIN queue u ON u.folder = w.folder AND u.q = w.q + 1,
+            LATERAL (SELECT list_filter(list_transform(range({first}, {first} + 1 + len(w.taken)), lambda j: u.stem || '_' || printf('{format}', j) || u.suffix), lambda x: NOT list_contains(w.taken, x))[1] AS t)
+    )
+    SELECT id AS {id}, target AS {target} FROM kept UNION ALL SELECT id, target FROM walk WHERE id IS NOT NULL"""
+
+
+def _free(rows, id, target, first, format):
+    return _FREE.replace("{rows}", rows).replace("{id}", id).replace("{target}", target).replace("{first}", str(first)).replace("{format}", format)
 
 
-@query("""WITH n AS (SELECT doc_id, source, 'f' || (n_chars % 7) || '.jpg' AS name FROM documents),
-    p AS (SELECT *, row_number() OVER (PARTITION BY source, name ORDER BY doc_id) - 1 AS k FROM n)
-    SELECT doc_id, CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') || printf('_%03d', k) || '.jpg' END AS target FROM p""")
+@query(_free("""n AS (SELECT doc_id AS id, source AS folder, 'f' || (n_chars % 5) || CASE WHEN doc_id % 3 = 0 THEN printf('_%03d', doc_id % 4) WHEN doc_id % 11 = 0 THEN '_2' ELSE '' END AS stem,
+    CASE WHEN doc_id % 13 = 0 THEN '.JPG' ELSE '.jpg' END AS suffix FROM documents)""", "doc_id", "target", 1, "%03d"))
 def collision_suffix(spark, d):
-    files = v.table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("f"), (F.col("n_chars") % 7).cast("string"), F.lit(".jpg")).alias("name"))
-    return fr.unique_names(files, "source", "doc_id").select("doc_id", "target")
+    i = F.col("doc_id")
+    number = F.when(i % 3 == 0, F.format_string("_%03d", i % 4)).when(i % 11 == 0, "_2").otherwise("")
+    name = F.concat(F.lit("f"), (F.col("n_chars") % 5).cast("string"), number, F.when(i % 13 == 0, ".JPG").otherwise(".jpg"))
+    return files.unique_names(v.table(spark, d, "documents").select("doc_id", "source", name.alias("name")), "source", "doc_id").select("doc_id", "target")
 
 
-@query("""WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
-    SELECT doc_id, CASE WHEN k = 1 THEN source ELSE source || '_' || (k - 2) END AS new_folder FROM p""")
+@query(_free("""n AS (SELECT doc_id AS id, source AS folder, CASE WHEN doc_id % 4 = 0 THEN source || '_' || (doc_id % 6) WHEN doc_id % 7 = 0 THEN source || '_03' ELSE source END AS stem, '' AS suffix FROM documents)""", "doc_id", "new_folder", 0, "%d"))
 def folder_suffix(spark, d):
-    return fr.unique_folders(v.table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "new_folder")
+    i, s = F.col("doc_id"), F.col("source")
+    wanted = F.when(i % 4 == 0, F.concat(s, F.lit("_"), (i % 6).cast("string"))).when(i % 7 == 0, F.concat(s, F.lit("_03"))).otherwise(s)
+    return files.unique_folders(v.table(spark, d, "documents").select("doc_id", wanted.alias("wanted")), "wanted", "doc_id").select("doc_id", "new_folder")
+
+
+@query(_free("""m AS (SELECT doc_id, doc_id % 3 = 0 AS came, source, row_number() OVER (PARTITION BY source, doc_id % 3 = 0 ORDER BY doc_id) AS k FROM documents),
+    n AS (SELECT row_number() OVER (ORDER BY came, source, 'f' || k || CASE WHEN k % 5 = 0 THEN '_001' ELSE '' END || '.jpg') * 1000000000 + doc_id AS id, CASE WHEN came THEN 'src' || (length(source) - 3) ELSE source END AS folder,
+        'f' || k || CASE WHEN k % 5 = 0 THEN '_001' ELSE '' END AS stem, '.jpg' AS suffix FROM m)""", "id", "target", 1, "%03d").replace("SELECT id AS id, target AS target FROM kept", "SELECT id % 1000000000 AS doc_id, target FROM kept").replace("SELECT id, target FROM walk", "SELECT id % 1000000000, target FROM walk"))
+def merge_folder_names(spark, d):
+    """Every third file of a folder lies in a folder beside it, which merges into src1 or src2."""
+    beside = F.col("doc_id") % 3 == 0
+    k = F.row_number().over(Window.partitionBy("source", beside).orderBy("doc_id"))
+    name = F.concat(F.lit("f"), k.cast("string"), F.when(k % 5 == 0, "_001").otherwise(""), F.lit(".jpg"))
+    own = v.table(spark, d, "documents").select("doc_id", "source", F.when(beside, F.concat("source", F.lit("/part"))).otherwise(F.col("source")).alias("cluster"), name.alias("name"))
+    merges = own.filter(F.col("cluster").endswith("/part")).select("cluster", F.concat(F.lit("src"), F.length("source") - 3).alias("into")).distinct()
+    return files.merge_folders(own.drop("source"), merges).select("doc_id", "target")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN round(event_id / 100.0::DOUBLE, 2) WHEN event_id % 3 = 1 THEN event_id::DOUBLE END AS seconds FROM events""")
@@ -324,6 +361,12 @@ def leader_cosine(spark, d):
     return pl.cosine_leaders(v.table(spark, d, "embeddings"), COS)
 
 
+@query(_leader_sql(_LOW.format(f"list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {COS}")))
+def leader_rounds(spark, d):
+    """The same by parallel rounds alone: no task decides what is left."""
+    return pl.cosine_leaders(v.table(spark, d, "embeddings"), COS, small=0)
+
+
 @query(_leader_sql(_LOW.format(f"list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {COS}")))
 def leader_dot(spark, d):
     return pl.cosine_leaders(v.table(spark, d, "embeddings"), COS, metric="dot")
@@ -624,7 +667,7 @@ def background_image(spark, d):
 # Density
 
 
-_CORE = "core AS MATERIALIZED (SELECT vec_id, d AS core FROM (SELECT a.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS n FROM embeddings a CROSS JOIN embeddings b) WHERE n = 3)"
+_CORE = "core AS (SELECT a.vec_id, min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 3)[-1] AS core FROM embeddings a CROSS JOIN embeddings b GROUP BY a.vec_id)"
 
 
 @query(f"WITH {_CORE} SELECT vec_id, round(core, 6) AS core FROM core")
@@ -632,7 +675,7 @@ def core_distance(spark, d):
     return links.nearest_distances(v.table(spark, d, "embeddings"), 3).withColumn("core", F.round("core", 6))
 
 
-@query(f"""WITH {_CORE}, near AS MATERIALIZED (SELECT src, dst, d FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d {_PAIRS}) WHERE d <= {EUCLID})
+@query(f"""WITH {_CORE}, near AS (SELECT src, dst, d FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d {_PAIRS}) WHERE d <= {EUCLID})
     SELECT src, dst, round(greatest(d, x.core, y.core), 6) AS value FROM near JOIN core x ON x.vec_id = src JOIN core y ON y.vec_id = dst""")
 def mutual_reachability(spark, d):
     e = v.table(spark, d, "embeddings")
@@ -642,8 +685,16 @@ def mutual_reachability(spark, d):
     return both.select("src", "dst", F.round(F.greatest("value", "ca", "cb"), 6).alias("value"))
 
 
+@query(f"""SELECT count(*) AS links, true AS enough FROM (SELECT 1 {_PAIRS} AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {COS})""")
+def bucket_recall(spark, d):
+    """Links that buckets must find: nine in ten of all at least, and no others."""
+    found, every = candidates.recall_of(v.table(spark, d, "embeddings"), COS)
+    return spark.range(1).select(F.lit(every).cast("long").alias("links"), F.lit(found >= 0.9 * every).alias("enough"))
+
+
 @query()
 def hdbscan(spark, d):
+    """Against a plain version: tests/test_hierarchy.py, tests/test_density.py."""
     return density.cluster(v.table(spark, d, "embeddings"), "hdbscan")
 
 
