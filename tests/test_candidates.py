@@ -30,12 +30,9 @@ def paired(seed, n=600, size=32, close=0.93):
     return np.concatenate([x, c * x + np.sqrt(1 - c * c) * other])
 
 
-@pytest.mark.parametrize("kind", ["clustered", "unstructured"])
-@pytest.mark.parametrize("metric, threshold", [("cosine", 0.92), ("euclid", 0.45)])
+@pytest.mark.parametrize("kind, metric, threshold", [("clustered", "cosine", 0.92), ("unstructured", "cosine", 0.92), ("unstructured", "euclid", 0.45)])
 def test_recall(spark, kind, metric, threshold):
     x = clustered(1) if kind == "clustered" else paired(2)
-    if metric == "euclid" and kind == "clustered":
-        x = x / 2
     df = frame(spark, x)
     found, every = recall_of(df, threshold, metric)
     assert every > 300 and found >= 0.9 * every
