@@ -12,6 +12,7 @@ from visarium import tables
 from visarium.functions import boxes, geometry, images, names, vectors
 from visarium.functions.geometry import CropConfig, TrackConfig, smoothed
 from visarium.operators import density, frames as fr, reconcile as rc, track
+from visarium.operators import leader as leader_module
 from visarium.operators.leader import leaders, ordered_leader
 from visarium.operators.links import blocks_compared, nearest_distances, vector_links
 from visarium.plans import pipelines as pl
@@ -59,6 +60,29 @@ def test_leaders_of_a_long_chain(spark):
     assert got == {k: k - k % 2 for k in range(n)}
 
 
+@pytest.mark.parametrize("metric, threshold, small", [("cosine", 0.3, 0), ("dot", 0.5, 500_000), ("euclid", 2.2, 500_000), ("adaptive", 2.6, 500_000), ("euclid", 0.3, 500_000)])
+def test_leaders_by_prefixes(spark, monkeypatch, metric, threshold, small):
+    """Vectors that a leader of a prefix reaches are in no list of links; labels are those of one vector after another."""
+    rng = np.random.default_rng(3)
+    x, tol = rng.normal(size=(150, 4)), rng.uniform(0.5, 2.6, 150)
+    order = rng.permutation(150)
+    listed, links = [], leader_module.lk.vector_links
+    monkeypatch.setattr(leader_module.lk, "vector_links", lambda rows, *a: listed.append(rows.count()) or links(rows, *a))
+    rows = spark.createDataFrame([(k, [float(v) for v in x[k]], int(order[k]), float(tol[k])) for k in range(150)], "id long, v array<double>, ord long, tol double").repartition(3)
+    kind = "euclid" if metric == "adaptive" else metric
+    got = {r.id: r.label for r in leader_module.vector_leaders(rows if metric == "adaptive" else rows.drop("tol"), threshold, kind, small, prefix=20).collect()}
+    heads, want = [], {}
+    for b in np.argsort(order):
+        near = lambda a, b: {"cosine": lambda: x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b]) >= threshold, "dot": lambda: x[a] @ x[b] >= threshold, "euclid": lambda: np.linalg.norm(x[a] - x[b]) <= threshold, "adaptive": lambda: np.linalg.norm(x[a] - x[b]) <= tol[a]}[metric]()
+        found = next((k for k, a in enumerate(heads) if near(a, b)), None)
+        if found is None:
+            heads.append(b)
+            found = len(heads) - 1
+        want[int(b)] = found
+    assert got == want
+    assert listed[0] == 20 and (threshold == 0.3 and metric == "euclid" or max(listed) < 75)
+
+
 def test_leader_is_one_hop_and_empty(spark):
     v = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, ord int")
     chain = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
