@@ -336,3 +336,21 @@ def test_unknown_needs_positive_similarity(spark):
     ask = people(spark, [(7, "unknown", [0.0, 1.0], 1.0, 0.0), (8, "unknown", [-1.0, 0.0], 1.0, 0.0), (9, "unknown", [2.0, 0.0], 1.0, 0.0)])
     assert [(r.face_id, r.cluster) for r in rc.assign_unknown(ask, reps, 0.0).collect()] == [(9, "a")]
     assert rc.move_rate(ask.filter("false"), ask.filter("false")).first().percent == 0.0
+
+
+def test_marks_take_form_once_a_time(spark):
+    """A form of the annotations is worked out for each time, not for each frame that meets it."""
+    from visarium.operators.frames import annotate_at
+
+    frames = spark.createDataFrame([(v, k, k / 25.0) for v in range(40) for k in range(3)], "video_id long, frame_idx long, ts_sec double")
+    box = F.struct(*(F.col("x").alias(s) for s in ("left", "top", "right", "bottom")))
+    marks = spark.createDataFrame([(k / 25.0, f, f) for k in range(2) for f in (7, 5)], "seconds double, frame long, x int").select("seconds", "frame", box.alias("bbox"), F.lit("p").alias("label"))
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def form(found):
+        calls.add(1)
+        return ";".join(f"{a.label}:{a.bbox.left}" for a in found)
+
+    got = {(r.video_id, r.frame_idx): r.annotations for r in annotate_at(frames, marks, form("annotations")).collect()}
+    assert got == {(v, k): "p:5;p:7" if k < 2 else None for v in range(40) for k in range(3)} and calls.value == 2
