@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from visarium.operators.candidates import bucket_links, pairs_compared, plan_for, recall_of
+from visarium.operators import candidates
+from visarium.operators.candidates import Plan, bucket_links, pairs_compared, plan_for, recall_of
 from visarium.operators.links import vector_links
 
 
@@ -42,6 +43,19 @@ def test_recall(spark, kind, metric, threshold):
     assert got.count() == got.select("src", "dst").distinct().count()
 
 
+@pytest.mark.parametrize("metric, threshold", [("cosine", 0.8), ("euclid", 1.2)])
+def test_recall_is_counted_without_the_links(spark, monkeypatch, metric, threshold):
+    """The same counts as of the links themselves, of a plan that misses many, and no table of links to join."""
+    df = frame(spark, clustered(4, 20, 12))
+    plan = Plan(metric, 6, 2, 0.0 if metric == "cosine" else 1.5, 0.5)
+    found, every = bucket_links(df, threshold, metric, plan=plan).count(), vector_links(df, threshold, metric).count()
+    assert 0 < found < every
+    monkeypatch.setattr(candidates, "bucket_links", None)
+    monkeypatch.setattr(candidates.lk, "vector_links", None)
+    assert recall_of(df, threshold, metric, plan=plan, block=16) == (found, every)
+    assert recall_of(df.limit(0), threshold, metric) == (0, 0)
+
+
 def test_work_falls_without_structure(spark):
     """A tenth of all pairs at most, where no bound of the exact join leaves anything out."""
     x = paired(3, 3000, 48)

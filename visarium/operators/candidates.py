@@ -122,18 +122,25 @@ def _spread(rows: DataFrame) -> float:
     return float(np.sqrt(((x - x.mean(0)) ** 2).sum(1).mean()))
 
 
+def _planned(rows: DataFrame, threshold: float, metric: str, recall: float, plan: Plan | None) -> Plan | None:
+    """The plan given or one for these vectors; none if there are none."""
+    n, low, high = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if not n:
+        return None
+    if low != high:
+        raise ValueError("vectors of several lengths")
+    return plan or plan_for(n, threshold, metric, recall, _spread(rows) if metric == "euclid" else 1.0)
+
+
 def bucket_links(df: DataFrame, threshold: float, metric: str = "cosine", recall: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, plan: Plan | None = None) -> DataFrame:
     """src < dst, value of pairs with cosine >= threshold or euclid <= threshold: about the share `recall` of those just at the threshold,
     more of closer ones, and no others. Null vectors and ids have no links; vectors of several lengths are an error."""
     if metric not in ("cosine", "euclid"):
         raise ValueError(f"no buckets for {metric!r}")
     rows = stored(lk._rows(df, id_col, vec_col), "vectors")
-    n, low, high = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
-    if not n:
+    plan = _planned(rows, threshold, metric, recall, plan)
+    if plan is None:
         return rows.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("value"))
-    if low != high:
-        raise ValueError("vectors of several lengths")
-    plan = plan or plan_for(n, threshold, metric, recall, _spread(rows) if metric == "euclid" else 1.0)
     visits = VISITS
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,11 +197,49 @@ def bucket_links(df: DataFrame, threshold: float, metric: str = "cosine", recall
     return found.groupBy("src", "dst").agg((F.max if metric == "cosine" else F.min)("value").alias("value"))
 
 
-def recall_of(df: DataFrame, threshold: float, metric: str = "cosine", **options) -> tuple[int, int]:
-    """Links that buckets find, and all links (by the exact join): what a plan misses on these vectors."""
-    every = lk.vector_links(df, threshold, metric)
-    found = bucket_links(df, threshold, metric, **options)
-    return found.join(every.select("src", "dst"), ["src", "dst"]).count(), every.count()
+def recall_of(df: DataFrame, threshold: float, metric: str = "cosine", recall: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", plan: Plan | None = None, block: int = lk.BLOCK) -> tuple[int, int]:
+    """Links that bucket_links finds, and all links (by the exact join): what a plan misses on these vectors. It finds those of which one lies in
+    a bucket where the other lies or that the other visits; the tile that finds a link looks there, and only counts leave it."""
+    if metric not in ("cosine", "euclid"):
+        raise ValueError(f"no buckets for {metric!r}")
+    rows = stored(lk._rows(df, id_col, vec_col), "vectors")
+    plan = _planned(rows, threshold, metric, recall, plan)
+    if plan is None:
+        return 0, 0
+    packed = lk._packed(rows, metric, lk.pivots(rows, metric, block), block, lk.GROUP)
+    reach, held = lk._reach(metric, threshold), []
+
+    def buckets(x: np.ndarray) -> list[list[np.ndarray]]:
+        """For each table the buckets of all vectors: at home first, then those visited."""
+        out: list[list[np.ndarray]] = [[] for _ in range(plan.tables)]
+        for t, _, bucket, _ in _codes(x, plan, VISITS):
+            out[t].append(bucket)
+        return out
+
+    def run(ga: int, gb: int, x: lk._Blocks, k: int, y: lk._Blocks) -> Iterator[pa.RecordBatch]:
+        if not held or held[0] is not x:
+            held[:] = [x, [buckets(v) for v in x.vecs]]
+        other, found, every = buckets(y.vecs[0]), 0, 0
+        for i in np.flatnonzero(x.apart(y)[:, 0] <= reach):
+            if ga == gb and x.blk[i] > k:
+                continue
+            p, q, _ = lk._compare(x.vecs[i], y.vecs[0], metric, threshold)
+            keep = x.ids[i][p] < y.ids[0][q] if ga == gb and x.blk[i] == k else x.ids[i][p] != y.ids[0][q]
+            p, q = p[keep], q[keep]
+            every += len(p)
+            for own, their in zip(held[1][i], other, strict=True):
+                if not len(p):
+                    break
+                home, seat = own[0][p], their[0][q]
+                apart = home != seat
+                for mine, yours in zip(own[1:], their[1:], strict=True):
+                    apart &= (mine[p] != seat) & (home != yours[q])
+                found += len(p) - int(apart.sum())
+                p, q = p[apart], q[apart]
+        yield pa.RecordBatch.from_pydict({"found": pa.array([found], pa.int64()), "every": pa.array([every], pa.int64())})
+
+    counts = lk._stream_tiles(packed, packed, lk._tiles(packed, packed, False, F.lit(reach)), run, "found bigint, every bigint")
+    return tuple(counts.agg(F.coalesce(F.sum("found"), F.lit(0)), F.coalesce(F.sum("every"), F.lit(0))).first())
 
 
 def pairs_compared(df: DataFrame, plan: Plan, id_col: str = "vec_id", vec_col: str = "embedding") -> int:
