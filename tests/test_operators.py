@@ -354,3 +354,18 @@ def test_marks_take_form_once_a_time(spark):
 
     got = {(r.video_id, r.frame_idx): r.annotations for r in annotate_at(frames, marks, form("annotations")).collect()}
     assert got == {(v, k): "p:5;p:7" if k < 2 else None for v in range(40) for k in range(3)} and calls.value == 2
+
+
+def test_texts_of_a_time_are_written_once(spark, tmp_path):
+    """Frames of all videos share a time's text: written tables grow with the texts, not with texts times frames."""
+    from visarium.operators.frames import annotate_at
+
+    rng = np.random.default_rng(3)
+    marks = spark.createDataFrame([(k / 25, 1, rng.bytes(40_000).hex()) for k in range(20)], "seconds double, frame long, label string").withColumn("bbox", F.struct(F.lit(1).alias("left")))
+    frames = spark.range(600).select((F.col("id") / 30).cast("long").alias("video_id"), (F.col("id") % 30).alias("frame_idx")).withColumn("ts_sec", F.round(F.col("frame_idx") / 25, 2))
+    drawn = annotate_at(frames, marks, F.array_join(F.transform("annotations", lambda a: a["label"]), ";")).select("video_id", "frame_idx", "annotations")
+    drawn.write.parquet(f"{tmp_path}/drawn")
+    assert sum(f.stat().st_size for f in (tmp_path / "drawn").glob("*.parquet")) < 10_000_000
+    label = {r.seconds: r.label for r in marks.collect()}
+    got = {(r.video_id, r.frame_idx): r.annotations for r in spark.read.parquet(f"{tmp_path}/drawn").collect()}
+    assert got == {(v, k): label.get(k / 25) for v in range(20) for k in range(30)}

@@ -11,6 +11,8 @@ from visarium.tables import stored
 
 #: Up to so many rows a global number comes from one sorted task; beyond, from sorted ranges with offsets.
 ONE_TASK = 200_000
+#: Bytes of texts that frames meet by broadcast; bytes of them that a task is to have, so that Parquet writes each of its texts once.
+TEXTS, TASK_TEXTS = 64 << 20, 256 << 10
 
 
 def ordinal(df: DataFrame, order: list[Column], name: str, one_task: int = ONE_TASK) -> DataFrame:
@@ -97,11 +99,18 @@ def annotate(frames: DataFrame, faces: DataFrame) -> DataFrame:
 def annotate_at(frames: DataFrame, marks: DataFrame, form: Column | None = None) -> DataFrame:
     """frames (with ts_sec) with the (bbox, label) of the marks (seconds, frame, bbox, label) at exactly their time, to the
     hundredth of a second, in order of frame and label: marks from annotated files know a time and no video. form, an expression of annotations, is worked out
-    once for each time, before frames meet it, and stands in their place."""
+    once for each time, before frames meet it, and stands in their place. Frames are then dealt out by time, in order: a task has few of the texts,
+which are as long as faces are many, and a writer that keeps a dictionary writes each once and not for each frame."""
     drawn = F.transform(F.array_sort(F.collect_list(F.struct("frame", "label", "bbox"))), lambda s: F.struct(s["bbox"].alias("bbox"), s["label"].alias("label")))
     at = marks.groupBy(F.round("seconds", 2).alias("_at")).agg(drawn.alias("annotations"))
     if form is not None:
         at = stored(at.select("_at", form.alias("annotations")), "marks")
+        size = at.agg(F.sum(F.octet_length("annotations"))).first()[0] or 0
+        parts = max(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_TEXTS))
+        spread = F.xxhash64(*(c for c, kind in frames.dtypes if not kind.startswith(("binary", "map"))))
+        own = frames.withColumn("_at", F.round("ts_sec", 2))
+        dealt = own.repartitionByRange(parts, "_at", spread).sortWithinPartitions("_at")
+        return dealt.join(F.broadcast(at) if size <= TEXTS else at, "_at", "left").drop("_at")
     return frames.withColumn("_at", F.round("ts_sec", 2)).join(at, "_at", "left").drop("_at")
 
 
