@@ -369,3 +369,18 @@ def test_texts_of_a_time_are_written_once(spark, tmp_path):
     label = {r.seconds: r.label for r in marks.collect()}
     got = {(r.video_id, r.frame_idx): r.annotations for r in spark.read.parquet(f"{tmp_path}/drawn").collect()}
     assert got == {(v, k): label.get(k / 25) for v in range(20) for k in range(30)}
+
+
+def test_own_tolerances_bound_the_links(spark, monkeypatch):
+    """Leaders with tolerances of their own list links within the largest of these, not within the caller's wide bound."""
+    x = np.random.default_rng(4).normal(0, 1, (40, 3))
+    rows = spark.createDataFrame([(k, v.tolist(), k, 0.3 + k / 100) for k, v in enumerate(x)], "id long, v array<double>, ord long, tol double")
+    asked, links = [], leader_module.lk.vector_links
+    monkeypatch.setattr(leader_module.lk, "vector_links", lambda df, threshold, *a: asked.append(threshold) or links(df, threshold, *a))
+    got = {r.id: r.label for r in leader_module.vector_leaders(rows, 50.0, "euclid").collect()}
+    heads, want = [], {}
+    for k, v in enumerate(x):
+        near = [i for i, h in enumerate(heads) if np.sqrt(((v - x[h]) ** 2).sum()) <= 0.3 + h / 100]
+        want[k] = near[0] if near else len(heads)
+        heads += [] if near else [k]
+    assert got == want and asked == [0.69]
